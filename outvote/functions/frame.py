@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # Above this many features, per-pair aggregate expressions give way to an Arrow kernel.
 EXPRESSION_FEATURES = 16
+# Rows per core below which a kernel's input is spread over all cores.
+SPREAD_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -100,6 +102,14 @@ class Features:
         profile = Profile(p.n, np.zeros(self.d), p.std / unit, (p.low - p.mean) / unit, (p.high - p.mean) / unit)
         return Features(self.df.select(*ids, *self.scaled_columns()), self.cols, self.id_col, profile)
 
+    def spread(self) -> DataFrame:
+        """df for a CPU-heavy row-wise kernel: a small table is spread over all cores, a
+        large one already has more partitions than that and stays where it is."""
+        cores = self.df.sparkSession.sparkContext.defaultParallelism
+        if self.n >= cores * SPREAD_ROWS:
+            return self.df
+        return self.df.repartition(cores, self.id_col) if self.id_col else self.df.repartition(cores)
+
     def neighbours(self, k: int) -> DataFrame:
         """The k-nearest-other-rows table, computed once and shared by the detectors.
 

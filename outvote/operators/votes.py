@@ -66,7 +66,7 @@ def restrict_flags(flags: DataFrame, kept: DataFrame, id_col: str = "row_id") ->
 
 def percent(n_votes: Column | str, n_detectors: int) -> Column:
     n_votes = F.col(n_votes) if isinstance(n_votes, str) else n_votes
-    return F.floor(n_votes * F.lit(100.0) / F.lit(float(n_detectors)) + F.lit(0.5))
+    return F.bround(n_votes * F.lit(100.0) / F.lit(float(n_detectors)), 0).cast("bigint")
 
 
 def confidence(consensus_rows: DataFrame, n_detectors: int) -> DataFrame:
