@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from outvote.functions.text import name, number
+
 # Above this many features, per-pair aggregate expressions give way to an Arrow kernel.
 EXPRESSION_FEATURES = 16
 # Rows per core below which a kernel's input is spread over all cores.
@@ -45,6 +47,7 @@ class Features:
         if profile is not None:
             self.__dict__["profile"] = profile
         self._neighbours = None
+        self.neighbour_hint = 0
 
     @property
     def d(self) -> int:
@@ -56,15 +59,10 @@ class Features:
 
     @cached_property
     def profile(self) -> Profile:
-        aggs = [F.count(F.lit(1)).alias("n")]
-        for i, c in enumerate(self.cols):
-            aggs += [
-                F.avg(c).alias(f"m{i}"),
-                F.stddev_pop(c).alias(f"s{i}"),
-                F.min(c).alias(f"l{i}"),
-                F.max(c).alias(f"h{i}"),
-            ]
-        row = self.df.agg(*aggs).first()
+        aggs = ["count(*) as n"]
+        for i, c in enumerate(map(name, self.cols)):
+            aggs += [f"avg({c}) as m{i}", f"stddev_pop({c}) as s{i}", f"min({c}) as l{i}", f"max({c}) as h{i}"]
+        row = self.df.selectExpr(*aggs).first()
 
         def stat(key):
             return np.array([math.nan if row[f"{key}{i}"] is None else row[f"{key}{i}"] for i in range(self.d)])
@@ -90,7 +88,7 @@ class Features:
     def scaled_columns(self) -> list[Column]:
         """(x - mean) / population std; a constant feature is divided by 1."""
         return [
-            ((F.col(c) - F.lit(float(m))) / F.lit(float(s) if s > 0 else 1.0)).alias(c)
+            F.expr(f"({name(c)} - {number(m)}) / {number(s if s > 0 else 1.0)} as {name(c)}")
             for c, m, s in zip(self.cols, self.profile.mean, self.profile.std)
         ]
 
@@ -113,9 +111,11 @@ class Features:
     def neighbours(self, k: int) -> DataFrame:
         """The k-nearest-other-rows table, computed once and shared by the detectors.
 
-        Ask for the largest k first: a smaller one is a prefix of the stored lists."""
+        A smaller k reads a prefix of the stored lists; neighbour_hint announces the
+        largest k that will be asked for."""
         if self._neighbours is None or self._neighbours[0] < min(k, self.n - 1):
             from outvote.operators.knn_join import nearest_others
 
+            k = max(k, self.neighbour_hint)
             self._neighbours = (k, nearest_others(self, k))
         return self._neighbours[1]

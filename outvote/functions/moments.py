@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from outvote.functions import kernels
 from outvote.functions.frame import EXPRESSION_FEATURES, Features
+from outvote.functions.text import name, number
 
 
 def moments(df: DataFrame, cols: list[str], center: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
@@ -20,10 +21,10 @@ def moments(df: DataFrame, cols: list[str], center: np.ndarray) -> tuple[int, np
     d = len(cols)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     if d <= EXPRESSION_FEATURES:
-        gap = [F.col(c) - F.lit(float(m)) for c, m in zip(cols, center)]
-        sums = [F.sum(g).alias(f"s{i}") for i, g in enumerate(gap)]
-        products = [F.sum(gap[i] * gap[j]).alias(f"p{i}_{j}") for i, j in pairs]
-        row = df.agg(F.count(F.lit(1)).alias("n"), *sums, *products).first()
+        gap = [f"({name(c)} - {number(m)})" for c, m in zip(cols, center)]
+        sums = [f"sum({g}) as s{i}" for i, g in enumerate(gap)]
+        products = [f"sum({gap[i]} * {gap[j]}) as p{i}_{j}" for i, j in pairs]
+        row = df.selectExpr("count(*) as n", *sums, *products).first()
         n = row["n"]
         first = np.array([row[f"s{i}"] or 0.0 for i in range(d)])
         second = [row[f"p{i}_{j}"] or 0.0 for i, j in pairs]
@@ -60,26 +61,24 @@ def covariance(features: Features) -> np.ndarray:
 
 
 def with_quadratic_form(
-    df: DataFrame, cols: list[str], center: np.ndarray, inverse: np.ndarray, name: str
+    df: DataFrame, cols: list[str], center: np.ndarray, inverse: np.ndarray, name_: str
 ) -> DataFrame:
     """Append (x - center)' inverse (x - center): squared Mahalanobis distance."""
     d = len(cols)
     if d <= EXPRESSION_FEATURES // 2:
-        gap = [F.col(c) - F.lit(float(m)) for c, m in zip(cols, center)]
-        total = F.lit(0.0)
-        for i in range(d):
-            for j in range(i, d):
-                weight = float(inverse[i, j]) if i == j else 2.0 * float(inverse[i, j])
-                total = total + F.lit(weight) * gap[i] * gap[j]
-        return df.withColumn(name, total)
+        gap = [f"({name(c)} - {number(m)})" for c, m in zip(cols, center)]
+        terms = [
+            f"{number(inverse[i, j] * (1 if i == j else 2))} * {gap[i]} * {gap[j]}" for i in range(d) for j in range(i, d)
+        ]
+        return df.withColumn(name_, F.expr(" + ".join(terms)))
 
     def measure(batches):
         for batch in batches:
             x = kernels.matrix(batch, cols) - center
             value = pa.array(np.einsum("ij,ij->i", x @ inverse, x))
-            yield pa.RecordBatch.from_arrays([*batch.columns, value], [*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, value], [*batch.schema.names, name_])
 
-    return df.mapInArrow(measure, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
+    return df.mapInArrow(measure, T.StructType([*df.schema.fields, T.StructField(name_, T.DoubleType())]))
 
 
 def _lower_gamma(a: float, x: float) -> float:

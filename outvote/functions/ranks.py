@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outvote.functions.frame import Features
+from outvote.functions.text import name
 from outvote.staging import stage
 
 # Up to this many rows a feature's values are ordered in one window partition.
@@ -15,8 +16,8 @@ WINDOW_ROWS = 200_000
 def value_counts(features: Features) -> DataFrame:
     """(feature index, value, cnt): pre-aggregated before the shuffle, so copies of a
     hot value never travel."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).alias("v")) for i, c in enumerate(features.cols)]))
-    return features.df.select(pairs.alias("p")).groupBy("p.f", "p.v").agg(F.count(F.lit(1)).alias("cnt"))
+    pairs = ", ".join(f"named_struct('f', {i}, 'v', {name(c)})" for i, c in enumerate(features.cols))
+    return features.df.select(F.expr(f"explode(array({pairs})) as p")).groupBy("p.f", "p.v").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def cumulative_counts(features: Features, window_rows: int = WINDOW_ROWS) -> tuple[DataFrame, dict[int, int]]:

@@ -143,17 +143,26 @@ def reweighted(features: Features, raw: Scatter, h: int) -> Scatter:
     return Scatter(location, cov)
 
 
-def robust_scatter(features: Features, support: float, seed: int, start: Scatter | None = None) -> Scatter:
-    """Minimum covariance determinant with correction and reweighting. A given start is
-    concentrated directly; otherwise the best sampled start is."""
+def robust_scatter(features: Features, support: float, seed: int) -> Scatter:
+    """Minimum covariance determinant with correction and reweighting."""
     h = max(1, int(support * features.n))
-    if start is None and features.d == 1:
+    if features.d == 1:
         raw = _shortest_half(features, h, seed)
     else:
-        sampled = start is None
-        start = _starting_scatter(features, support, seed) if sampled else start
+        raw = _starting_scatter(features, support, seed)
         # a sample that is the whole table has already converged
-        raw = start if sampled and features.n <= start_rows(features.d) else concentrate(features, start, h)
+        if features.n > start_rows(features.d):
+            raw = concentrate(features, raw, h)
+    return reweighted(features, raw, h)
+
+
+def from_classical_start(features: Features, support: float, steps: int) -> Scatter:
+    """A fixed number of concentration steps from the ordinary mean and covariance: no
+    randomness, for data known to be mildly contaminated."""
+    h = max(1, int(support * features.n))
+    raw = Scatter(features.profile.mean, covariance(features))
+    for _ in range(steps):
+        raw = concentration_step(features, raw, h)
     return reweighted(features, raw, h)
 
 
@@ -197,9 +206,10 @@ def mean_distance(features: Features, contamination: float, seed: int = 0) -> Da
     return flag_top(stage(mean_distance_scores(features, seed), "mean-distance"), contamination, features.n)
 
 
-def elliptic(features: Features, contamination: float, seed: int = 0, start: Scatter | None = None) -> DataFrame:
+def elliptic(features: Features, contamination: float, seed: int = 0, steps: int | None = None) -> DataFrame:
     """Robust elliptic envelope. Falls back to mean pairwise distance when the covariance
-    cannot be estimated or inverted."""
+    cannot be estimated or inverted. With `steps`, a fixed number of concentration steps
+    from the classical estimate replaces the search from random starts."""
     n = features.n
     varying = features.varying()
     if n < 2 or varying.d == 0:
@@ -214,12 +224,14 @@ def elliptic(features: Features, contamination: float, seed: int = 0, start: Sca
             singular = True
         if singular:
             return mean_distance(features, contamination, seed)
-    scatter = robust_scatter(varying, parameters.elliptic_support(n, features.d), seed, start)
+    support = parameters.elliptic_support(n, features.d)
+    scatter = robust_scatter(varying, support, seed) if steps is None else from_classical_start(varying, support, steps)
     return _flag_distances(varying, scatter, contamination, features)
 
 
-def mcd(features: Features, contamination: float, seed: int = 0, start: Scatter | None = None) -> DataFrame:
-    """Minimum covariance determinant distances, with z-score and mean-distance fallbacks."""
+def mcd(features: Features, contamination: float, seed: int = 0, steps: int | None = None) -> DataFrame:
+    """Minimum covariance determinant distances, with z-score and mean-distance fallbacks.
+    `steps` as in elliptic."""
     n = features.n
     if n < 2:
         return _none_flagged(features)
@@ -228,8 +240,9 @@ def mcd(features: Features, contamination: float, seed: int = 0, start: Scatter
     varying = features.varying()
     if varying.d == 0:
         return _none_flagged(features)
+    support = parameters.mcd_support(n, varying.d)
     try:
-        scatter = robust_scatter(varying, parameters.mcd_support(n, varying.d), seed, start)
+        scatter = robust_scatter(varying, support, seed) if steps is None else from_classical_start(varying, support, steps)
     except (np.linalg.LinAlgError, ValueError):
         return mean_distance(features, contamination, seed)
     return _flag_distances(varying, scatter, contamination, features)

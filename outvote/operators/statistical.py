@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
+import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outvote.functions import parameters
@@ -13,6 +12,7 @@ from outvote.functions.frame import Features
 from outvote.functions.lookup import lookup_join
 from outvote.functions.ranks import cumulative_counts
 from outvote.functions.selection import flag_top, order_statistics
+from outvote.functions.text import name, number
 from outvote.staging import stage
 
 # Summed scores are rounded before flags are taken, so that equal sums added in a
@@ -20,11 +20,11 @@ from outvote.staging import stage
 SCORE_DIGITS = 9
 
 
-def largest(columns: list[Column]) -> Column:
-    return columns[0] if len(columns) == 1 else F.greatest(*columns)
+def largest(terms: list[str]) -> str:
+    return terms[0] if len(terms) == 1 else f"greatest({', '.join(terms)})"
 
 
-def absolute_z(features: Features, guarded: bool = True) -> list[Column]:
+def absolute_z(features: Features, guarded: bool = True) -> list[str]:
     """|x - mean| / population std per feature. The guard zeroes a feature whose spread is
     negligible, absolutely or relative to its mean; without it only constants drop out."""
     p = features.profile
@@ -33,13 +33,13 @@ def absolute_z(features: Features, guarded: bool = True) -> list[Column]:
         mean, std = float(p.mean[i]), float(p.std[i])
         reach = max(p.high[i] - mean, mean - p.low[i]) / (abs(mean) + 1e-10)
         flat = std < 1e-10 or reach < 1e-12 if guarded else std == 0
-        out.append(F.lit(0.0) if flat else F.abs((F.col(c) - F.lit(mean)) / F.lit(std)))
+        out.append("0D" if flat else f"abs(({name(c)} - {number(mean)}) / {number(std)})")
     return out
 
 
 def zscore_scores(features: Features, guarded: bool = True) -> DataFrame:
-    score = F.round(largest(absolute_z(features, guarded)), SCORE_DIGITS)
-    return features.df.withColumn("score", score)
+    score = f"round({largest(absolute_z(features, guarded))}, {SCORE_DIGITS})"
+    return features.df.withColumn("score", F.expr(score))
 
 
 def zscore(features: Features, contamination: float, seed: int = 0) -> DataFrame:
@@ -51,34 +51,36 @@ def max_abs_z(features: Features, contamination: float) -> DataFrame:
     return flag_top(zscore_scores(features, guarded=False), contamination, features.n)
 
 
-def _bin_columns(features: Features, i: int, bins: int) -> tuple[Column, Column, list[float]]:
-    """The bin a value belongs to, the bin whose density is looked up, and the edges."""
+def _edges(features: Features, i: int, bins: int) -> tuple[float, float, list[float]]:
+    """Lower end, bin width and all edges of a feature's histogram; a constant feature gets
+    half a unit on either side."""
     low, high = float(features.profile.low[i]), float(features.profile.high[i])
     if low == high:
         low, high = low - 0.5, high + 0.5
     step = (high - low) / bins
-    edges = [low + b * step for b in range(bins)] + [high]
-    x = F.col(features.cols[i])
-
-    def edge(b: Column) -> Column:
-        return F.lit(low) + b * F.lit(step)
-
-    # floor division is only a first guess: the explicit edges decide
-    guess = F.least(F.greatest(F.floor((x - F.lit(low)) / F.lit(step)), F.lit(0)), F.lit(bins - 1)).cast("int")
-    lowered = F.when((x < edge(guess)) & (guess > 0), guess - 1).otherwise(guess)
-    own = F.when((lowered < bins - 1) & (x >= edge(lowered + 1)), lowered + 1).otherwise(lowered)
-    looked_up = F.least(F.when(x > edge(own), own + 1).otherwise(own), F.lit(bins - 1))
-    return own, looked_up, edges
+    return low, step, [low + b * step for b in range(bins)] + [high]
+
+
+def _with_bins(features: Features, bins: int) -> DataFrame:
+    """Add the bin of every feature value, __own0, __own1, ..."""
+    ends = [_edges(features, i, bins)[:2] for i in range(features.d)]
+    # floor division is only a first guess (one projection): the explicit edges decide (the next)
+    guesses, owns = {}, {}
+    for i, (c, (low, step)) in enumerate(zip(features.cols, ends)):
+        x, low, step, guess = name(c), number(low), number(step), f"__guess{i}"
+        guesses[guess] = F.expr(f"least(greatest(cast(floor(({x} - {low}) / {step}) as int), 0), {bins - 1})")
+        owns[f"__own{i}"] = F.expr(
+            f"{guess} + if({guess} < {bins - 1} and {x} >= {low} + ({guess} + 1) * {step}, 1, 0)"
+            f" - if({guess} > 0 and {x} < {low} + {guess} * {step}, 1, 0)"
+        )
+    return features.df.withColumns(guesses).withColumns(owns).drop(*guesses)
 
 
 def histograms(features: Features, bins: int) -> DataFrame:
     """(f, bin, cnt): at most bins rows per feature."""
-    cells = [
-        F.struct(F.lit(i).alias("f"), _bin_columns(features, i, bins)[0].alias("bin")) for i in range(features.d)
-    ]
-    return (
-        features.df.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.f", "c.bin").agg(F.count(F.lit(1)).alias("cnt"))
-    )
+    cells = ", ".join(f"named_struct('f', {i}, 'bin', __own{i})" for i in range(features.d))
+    exploded = _with_bins(features, bins).select(F.expr(f"explode(array({cells})) as c"))
+    return exploded.groupBy("c.f", "c.bin").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def hbos_scores(features: Features, own_bin: bool = False) -> DataFrame:
@@ -92,43 +94,41 @@ def hbos_scores(features: Features, own_bin: bool = False) -> DataFrame:
     for row in histograms(features, bins).collect():
         counts[row["f"]][row["bin"]] = row["cnt"]
     terms = []
-    for i in range(features.d):
-        own, looked_up, edges = _bin_columns(features, i, bins)
-        density = [max(c / (n * (edges[b + 1] - edges[b])), 1e-6) for b, c in enumerate(counts[i])]
-        terms.append(-F.ln(F.element_at(F.array(*[F.lit(p) for p in density]), (own if own_bin else looked_up) + 1)))
-    return features.df.withColumn("score", F.round(reduce(add, terms), SCORE_DIGITS))
+    for i, c in enumerate(features.cols):
+        low, step, edges = _edges(features, i, bins)
+        costs = [-math.log(max(k / (n * (edges[b + 1] - edges[b])), 1e-6)) for b, k in enumerate(counts[i])]
+        bin_ = f"__own{i}"
+        if not own_bin:
+            past_edge = f"if({name(c)} > {number(low)} + {bin_} * {number(step)}, 1, 0)"
+            bin_ = f"least({bin_} + {past_edge}, {bins - 1})"
+        terms.append(f"get(array({', '.join(map(number, costs))}), {bin_})")
+    total = F.expr(f"round({' + '.join(terms)}, {SCORE_DIGITS}) as score")
+    return _with_bins(features, bins).select(*features.df.columns, total)
 
 
 def hbos(features: Features, contamination: float, seed: int = 0, own_bin: bool = False) -> DataFrame:
     return flag_top(hbos_scores(features, own_bin), contamination, features.n)
 
 
-def _with_tails(features: Features, tail, **limits) -> DataFrame:
-    """Add one column per feature: tail(cum, cnt) looked up by value. Returned lazily."""
+def _with_tails(features: Features, tail: str, **limits) -> DataFrame:
+    """Add one column per feature, __t0, __t1, ...: `tail`, an expression over cum and cnt,
+    looked up by value. Returned lazily."""
     table, distinct = cumulative_counts(features, **limits)
     rows = features.df
     spread = F.col(features.id_col) if features.id_col else F.monotonically_increasing_id()
     for i, c in enumerate(features.cols):
-        tails = table.filter(F.col("f") == i).select(
-            F.col("v").alias(c), tail(F.col("cum"), F.col("cnt")).alias(f"__t{i}"), F.col("cnt").alias("__uses")
-        )
+        tails = table.filter(f"f = {i}").selectExpr(f"v as {name(c)}", f"{tail} as __t{i}", "cnt as __uses")
         rows = lookup_join(rows, tails, c, distinct[i], features.n, "__uses", spread)
     return rows
 
 
 def copod_scores(features: Features, **limits) -> DataFrame:
     """Sum over features of the larger tail's -ln probability at the average rank."""
-    n = features.n
-    eps = F.lit(1.0 / (n + 1.0))
-
-    def tail(cum, cnt):
-        f = (cum - (cnt - 1) / F.lit(2.0)) / F.lit(n + 1.0)
-        return F.greatest(-F.ln(f + eps), -F.ln(F.lit(1.0) - f + eps))
-
-    rows = _with_tails(features, tail, **limits)
-    total = reduce(add, [F.col(f"__t{i}") for i in range(features.d)])
-    scored = rows.select(*features.df.columns, F.round(total, SCORE_DIGITS).alias("raw_score"))
-    return stage(scored, "copod")
+    above = number(features.n + 1.0)
+    f, eps = f"(cum - (cnt - 1) / 2D) / {above}", f"1D / {above}"
+    rows = _with_tails(features, f"greatest(-ln({f} + {eps}), -ln(1D - {f} + {eps}))", **limits)
+    total = " + ".join(f"__t{i}" for i in range(features.d))
+    return stage(rows.select(*features.df.columns, F.expr(f"round({total}, {SCORE_DIGITS}) as raw_score")), "copod")
 
 
 def _median(df: DataFrame, col: str, n: int) -> float:
@@ -143,23 +143,17 @@ def copod(features: Features, contamination: float, seed: int = 0) -> DataFrame:
     median = _median(raw, "raw_score", n)
     mad = _median(raw.select(F.abs(F.col("raw_score") - F.lit(median)).alias("gap")), "gap", n) or 1.0
     flagged = flag_top(raw, contamination, n, "raw_score")
-    score = (F.col("raw_score") - F.lit(median)) / F.lit(mad)
+    score = F.round((F.col("raw_score") - F.lit(median)) / F.lit(mad), SCORE_DIGITS)
     return flagged.select(*features.df.columns, score.alias("score"), "is_outlier")
 
 
 def ecod_scores(features: Features, **limits) -> DataFrame:
     """exp of the mean over features of -ln(min(F, 1 - F) + 1e-10), F = share of values <= x."""
-    n = F.lit(float(features.n))
-
-    def tail(cum, cnt):
-        f = cum / n
-        return -F.ln(F.least(f, F.lit(1.0) - f) + F.lit(1e-10))
-
-    rows = _with_tails(features, tail, **limits)
-    mean = reduce(add, [F.col(f"__t{i}") for i in range(features.d)]) / F.lit(float(features.d))
-    # exp magnifies the last digits of the mean, so the mean is what gets rounded
-    scored = rows.select(*features.df.columns, F.exp(F.round(mean, SCORE_DIGITS)).alias("score"))
-    return stage(scored, "ecod")
+    f = f"cum / {number(features.n)}"
+    rows = _with_tails(features, f"-ln(least({f}, 1D - {f}) + 1e-10D)", **limits)
+    mean = f"({' + '.join(f'__t{i}' for i in range(features.d))}) / {number(features.d)}"
+    score = f"round(exp(round({mean}, {SCORE_DIGITS})), {SCORE_DIGITS}) as score"
+    return stage(rows.select(*features.df.columns, F.expr(score)), "ecod")
 
 
 def ecod(features: Features, contamination: float, seed: int = 0) -> DataFrame:
