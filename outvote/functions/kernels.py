@@ -7,6 +7,7 @@ import pyarrow as pa
 
 # Doubles per distance block: about 32 MB.
 BLOCK = 4_000_000
+SLACK = 1 + 1e-12
 
 
 def matrix(table, cols: list[str]) -> np.ndarray:
@@ -40,15 +41,16 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def smallest(d2: np.ndarray, k: int, limit2: np.ndarray | None = None):
-    """Per row, the k smallest entries ordered by (value, column) as flat arrays
-    (row, column, value). Ties at the k-th value go to the lowest columns. Entries
-    above limit2 (one bound per row) are left out."""
+    """Per row of squared distances, the k smallest distances ordered by (distance, column)
+    as flat arrays (row, column, distance). Ties at the k-th go to the lowest columns.
+    Entries above limit2 (one bound per row) are left out."""
     k = min(k, d2.shape[1])
     cut = np.partition(d2, k - 1, axis=1)[:, k - 1] if k < d2.shape[1] else np.full(len(d2), np.inf)
     if limit2 is not None:
         cut = np.minimum(cut, limit2)
-    row, col = np.nonzero(d2 <= cut[:, None])
-    value = d2[row, col]
+    # a hair of slack: squares that differ in the last digit can have equal roots
+    row, col = np.nonzero(d2 <= (cut * SLACK)[:, None])
+    value = np.sqrt(d2[row, col])
     order = np.lexsort((col, value, row))
     row, col, value = row[order], col[order], value[order]
     starts = np.searchsorted(row, np.arange(len(d2)))
@@ -62,10 +64,9 @@ def nearest_points(queries: np.ndarray, points: np.ndarray, k: int, limit: np.nd
     parts = []
     for at in range(0, len(queries), step):
         block = slice(at, at + step)
-        # a hair of slack: the bound was computed from the same differences, then squared back
-        bound = None if limit is None else limit[block] ** 2 * (1 + 1e-12)
+        bound = None if limit is None else limit[block] ** 2
         row, col, value = smallest(squared_distances(queries[block], points), k, bound)
-        parts.append((row + at, col, np.sqrt(value)))
+        parts.append((row + at, col, value))
     if not parts:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     return tuple(np.concatenate(p) for p in zip(*parts))
