@@ -78,7 +78,7 @@ def start_rows(d: int) -> int:
 
 
 def _starting_scatter(features: Features, support: float, seed: int) -> Scatter:
-    """Best of many random starts, each concentrated on a bounded row sample in its own task."""
+    """Best of many random starts, each concentrated on a bounded row sample."""
     spark, d = features.df.sparkSession, features.d
     rows = row_sample(features, start_rows(d), seed)[features.cols].to_numpy(float)
     h = max(1, int(support * len(rows)))
@@ -89,7 +89,8 @@ def _starting_scatter(features: Features, support: float, seed: int) -> Scatter:
         for batch in batches:
             for start in batch.column("id").to_pylist():
                 rng = np.random.default_rng([seed, start])
-                chosen = rng.permutation(len(x))[: d + 1]
+                # small starts escape outliers, large ones find points held by most rows
+                chosen = rng.permutation(len(x))[: d + 1 if start % 2 else h]
                 last = math.inf
                 for _ in range(MAX_STEPS):
                     location = x[chosen].mean(axis=0)

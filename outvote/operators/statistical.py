@@ -18,6 +18,8 @@ from outvote.staging import stage
 # Summed scores are rounded before flags are taken, so that equal sums added in a
 # different order still tie.
 SCORE_DIGITS = 9
+# Above this many features, value look-ups share one join.
+WIDE_FEATURES = 8
 
 
 def largest(terms: list[str]) -> str:
@@ -110,25 +112,35 @@ def hbos(features: Features, contamination: float, seed: int = 0, own_bin: bool
     return flag_top(hbos_scores(features, own_bin), contamination, features.n)
 
 
-def _with_tails(features: Features, tail: str, **limits) -> DataFrame:
-    """Add one column per feature, __t0, __t1, ...: `tail`, an expression over cum and cnt,
-    looked up by value. Returned lazily."""
+def _tail_total(features: Features, tail: str, wide_features: int = WIDE_FEATURES, **limits) -> DataFrame:
+    """features.df plus `total`: the sum over features of `tail`, an expression over cum and
+    cnt, looked up by value."""
     table, distinct = cumulative_counts(features, **limits)
+    if features.d > wide_features and features.id_col:
+        # many features: one join on (feature, value) instead of a join per feature. A row's
+        # terms are added up where they were exploded, so the last shuffle has n rows.
+        pairs = ", ".join(f"named_struct('f', {i}, 'v', {name(c)})" for i, c in enumerate(features.cols))
+        key = features.id_col
+        exploded = features.df.select(key, F.expr(f"inline(array({pairs}))"))
+        tails = table.selectExpr("f", "v", f"{tail} as t", "cnt as __uses")
+        rows = features.n * features.d
+        joined = lookup_join(exploded, tails, ["f", "v"], sum(distinct.values()), rows, "__uses", F.col(key))
+        return features.df.join(joined.groupBy(key).agg(F.sum("t").alias("total")), key)
     rows = features.df
     spread = F.col(features.id_col) if features.id_col else F.monotonically_increasing_id()
     for i, c in enumerate(features.cols):
         tails = table.filter(f"f = {i}").selectExpr(f"v as {name(c)}", f"{tail} as __t{i}", "cnt as __uses")
         rows = lookup_join(rows, tails, c, distinct[i], features.n, "__uses", spread)
-    return rows
+    total = " + ".join(f"__t{i}" for i in range(features.d))
+    return rows.select(*features.df.columns, F.expr(f"{total} as total"))
 
 
 def copod_scores(features: Features, **limits) -> DataFrame:
     """Sum over features of the larger tail's -ln probability at the average rank."""
     above = number(features.n + 1.0)
     f, eps = f"(cum - (cnt - 1) / 2D) / {above}", f"1D / {above}"
-    rows = _with_tails(features, f"greatest(-ln({f} + {eps}), -ln(1D - {f} + {eps}))", **limits)
-    total = " + ".join(f"__t{i}" for i in range(features.d))
-    return stage(rows.select(*features.df.columns, F.expr(f"round({total}, {SCORE_DIGITS}) as raw_score")), "copod")
+    rows = _tail_total(features, f"greatest(-ln({f} + {eps}), -ln(1D - {f} + {eps}))", **limits)
+    return stage(rows.select(*features.df.columns, F.round("total", SCORE_DIGITS).alias("raw_score")), "copod")
 
 
 def _median(df: DataFrame, col: str, n: int) -> float:
@@ -150,9 +162,8 @@ def copod(features: Features, contamination: float, seed: int = 0) -> DataFrame:
 def ecod_scores(features: Features, **limits) -> DataFrame:
     """exp of the mean over features of -ln(min(F, 1 - F) + 1e-10), F = share of values <= x."""
     f = f"cum / {number(features.n)}"
-    rows = _with_tails(features, f"-ln(least({f}, 1D - {f}) + 1e-10D)", **limits)
-    mean = f"({' + '.join(f'__t{i}' for i in range(features.d))}) / {number(features.d)}"
-    score = f"round(exp(round({mean}, {SCORE_DIGITS})), {SCORE_DIGITS}) as score"
+    rows = _tail_total(features, f"-ln(least({f}, 1D - {f}) + 1e-10D)", **limits)
+    score = f"round(exp(round(total / {number(features.d)}, {SCORE_DIGITS})), {SCORE_DIGITS}) as score"
     return stage(rows.select(*features.df.columns, F.expr(score)), "ecod")
 
 

@@ -115,3 +115,8 @@ def test_shuffled_tail_lookup_equals_broadcast(frame, scores, monkeypatch):
     expected = scores(S.ecod_scores(frame(x)))
     monkeypatch.setattr(lookup.lookup_join, "__defaults__", (None, None, "inner", 0))
     assert np.array_equal(scores(S.ecod_scores(frame(x))), expected)
+
+
+def test_wide_tail_lookup_equals_narrow(frame, scores):
+    x = INPUTS["copies"]
+    assert np.array_equal(scores(S.ecod_scores(frame(x), wide_features=1)), scores(S.ecod_scores(frame(x))))
