@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import cached_property
+from threading import Lock
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -48,6 +49,7 @@ class Features:
             self.__dict__["profile"] = profile
         self._neighbours = None
         self.neighbour_hint = 0
+        self._joining = Lock()
 
     @property
     def d(self) -> int:
@@ -113,9 +115,10 @@ class Features:
 
         A smaller k reads a prefix of the stored lists; neighbour_hint announces the
         largest k that will be asked for."""
-        if self._neighbours is None or self._neighbours[0] < min(k, self.n - 1):
-            from outvote.operators.knn_join import nearest_others
+        from outvote.operators.knn_join import nearest_others
 
-            k = max(k, self.neighbour_hint)
-            self._neighbours = (k, nearest_others(self, k))
-        return self._neighbours[1]
+        with self._joining:
+            if self._neighbours is None or self._neighbours[0] < min(k, self.n - 1):
+                k = max(k, self.neighbour_hint)
+                self._neighbours = (k, nearest_others(self, k))
+            return self._neighbours[1]

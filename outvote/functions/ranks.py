@@ -10,7 +10,7 @@ from outvote.functions.text import name
 from outvote.staging import stage
 
 # Up to this many rows a feature's values are ordered in one window partition.
-WINDOW_ROWS = 200_000
+WINDOW_ROWS = 1_000_000
 
 
 def value_counts(features: Features) -> DataFrame:

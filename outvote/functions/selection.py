@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate, groupby
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from outvote.functions.text import number
+
 # Up to this many values the exact aggregate (a value -> count map in one reducer) is used.
 EXACT_LIMIT = 100_000
 SKETCH_ACCURACY = 10_000
@@ -31,71 +34,82 @@ def order_statistics(
     """
     values = df.select(F.col(col).cast("double").alias("__v"))
     v = F.col("__v")
-    wanted = sorted(set(positions))
-    # position -> (low, high, rows below low, rows in [low, high])
-    open_ = {p: (-math.inf, math.inf, 0, n) for p in wanted}
     found: dict[int, float] = {}
+    # brackets: (low, high, rows below low, rows in [low, high], positions wanted inside).
+    # Conditions stay inside the aggregates: a filter would be pushed into the expressions
+    # the column is computed from and repeat them.
+    open_ = [(-math.inf, math.inf, 0, n, sorted(set(positions)))]
 
-    def inside(low: float, high: float) -> Column:
-        return (v >= F.lit(low)) & (v <= F.lit(high))
+    def inside(low: float, high: float) -> str:
+        return f"__v >= {number(low)} and __v <= {number(high)}"
 
     while open_:
-        small = {p: b for p, b in open_.items() if b[3] <= exact_limit}
+        small = [b for b in open_ if b[3] <= exact_limit]
         if small:
-            # one pass: neighbours in the same bracket share the scan
-            picks = []
-            span = values
-            lows, highs = min(b[0] for b in small.values()), max(b[1] for b in small.values())
-            if math.isfinite(lows) or math.isfinite(highs):
-                span = values.filter(inside(lows, highs))
-            for p, (low, high, below, count) in small.items():
-                masked = f"if(__v >= double('{low!r}') and __v <= double('{high!r}'), __v, null)"
-                fraction = (p - below + 0.5) / count
-                picks.append(
-                    F.expr(f"percentile_disc({fraction!r}D) within group (order by {masked})").alias(f"p{p}")
+            picks = [
+                F.expr(
+                    f"percentile_disc({number((p - below + 0.5) / count)}) "
+                    f"within group (order by if({inside(low, high)}, __v, null)) as p{p}"
                 )
-            row = span.agg(*picks).first()
-            for p in small:
-                found[p] = row[f"p{p}"]
-                del open_[p]
-            continue
-
-        sketches = []
-        for p, (low, high, below, count) in open_.items():
-            q = (p - below + 0.5) / count
+                for low, high, below, count, wanted in small
+                for p in wanted
+            ]
+            found.update({int(k[1:]): value for k, value in values.agg(*picks).first().asDict().items()})
+        open_ = [b for b in open_ if b[3] > exact_limit]
+        if not open_:
+            break
+
+        sketches, spans = [], []
+        for low, high, below, count, wanted in open_:
+            # positions closer than the sketch can tell apart share a bracket
             margin = 2.0 / SKETCH_ACCURACY
-            qs = [max(0.0, q - margin), min(1.0, q + margin)]
+            for p in wanted:
+                q = (p - below + 0.5) / count
+                if spans and spans[-1][0] == (low, high) and q - margin <= spans[-1][2]:
+                    spans[-1][2] = q + margin
+                    spans[-1][3].append(p)
+                else:
+                    spans.append([(low, high), q - margin, q + margin, [p], below, count])
+        for (low, high), group in groupby(spans, key=lambda s: s[0]):
+            fractions = [min(1.0, max(0.0, q)) for s in group for q in s[1:3]]
             sketches.append(
-                F.percentile_approx(F.when(inside(low, high), v), qs, SKETCH_ACCURACY).alias(f"p{p}")
+                F.expr(
+                    f"percentile_approx(if({inside(low, high)}, __v, null), "
+                    f"array({', '.join(map(number, fractions))}), {SKETCH_ACCURACY})"
+                )
             )
-        brackets = values.agg(*sketches).first()
+        ends = [value for column in values.agg(*sketches).first() for value in column]
         counts = []
-        for p in open_:
-            low, high = (F.lit(x) for x in brackets[f"p{p}"])
+        for i in range(len(spans)):
+            low, high = number(ends[2 * i]), number(ends[2 * i + 1])
             counts += [
-                F.count(F.when(v < low, 1)).alias(f"under{p}"),
-                F.count(F.when(v == low, 1)).alias(f"low{p}"),
-                F.count(F.when((v > low) & (v < high), 1)).alias(f"mid{p}"),
-                F.count(F.when((v == high) & (v > low), 1)).alias(f"high{p}"),
+                F.expr(f"count_if(__v < {low})"),
+                F.expr(f"count_if(__v = {low})"),
+                F.expr(f"count_if(__v > {low} and __v < {high})"),
+                F.expr(f"count_if(__v = {high} and __v > {low})"),
             ]
-        counted = values.agg(*counts).first()
-        for p, (old_low, old_high, _, _) in list(open_.items()):
-            low, high = brackets[f"p{p}"]
-            at_low = counted[f"under{p}"]
-            at_mid = at_low + counted[f"low{p}"]
-            at_high = at_mid + counted[f"mid{p}"]
-            above = at_high + counted[f"high{p}"]
-            _, _, below, count = open_[p]
-            if at_low <= p < at_mid or at_high <= p < above:
-                found[p] = low if p < at_mid else high
-                del open_[p]
-            elif at_mid <= p < at_high:
-                # ties at either end are outside, so this is at most the sketch window
-                open_[p] = (math.nextafter(low, math.inf), math.nextafter(high, -math.inf), at_mid, at_high - at_mid)
-            elif p < at_low:
-                open_[p] = (old_low, math.nextafter(low, -math.inf), below, at_low - below)
-            else:
-                open_[p] = (math.nextafter(high, math.inf), old_high, above, below + count - above)
+        counted = values.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first()
+        open_ = []
+        for i, ((old_low, old_high), _, _, wanted, below, count) in enumerate(spans):
+            low, high = ends[2 * i], ends[2 * i + 1]
+            at_low, at_mid, at_high, above = accumulate(counted[4 * i : 4 * i + 4])
+            under, middle, over = [], [], []
+            for p in wanted:
+                if at_low <= p < at_mid:
+                    found[p] = low
+                elif at_high <= p < above:
+                    found[p] = high
+                else:
+                    (under if p < at_low else middle if p < at_high else over).append(p)
+            # ties at either end are outside the middle, so it is at most the sketch window
+            after, before = math.nextafter(low, math.inf), math.nextafter(high, -math.inf)
+            for part in (
+                (old_low, math.nextafter(low, -math.inf), below, at_low - below, under),
+                (after, before, at_mid, at_high - at_mid, middle),
+                (math.nextafter(high, math.inf), old_high, above, below + count - above, over),
+            ):
+                if part[4]:
+                    open_.append(part)
     return [found[p] for p in positions]
 
 

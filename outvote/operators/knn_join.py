@@ -40,6 +40,7 @@ VISITORS_PER_TASK = 20_000
 TASK_WORK = 40_000_000
 
 FOUND = "point bigint, nbr bigint, dist double, copies bigint"
+LISTS = "point bigint, nbrs array<bigint>, dists array<double>"
 
 
 @dataclass(frozen=True)
@@ -69,6 +70,23 @@ def _found(queries, points, copies, row, col, dist) -> pa.Table:
     )
 
 
+def _lists(queries: np.ndarray, points: np.ndarray, copies: np.ndarray, row, col, dist, k: int) -> dict:
+    """Flat (query, point, distance) results as list columns with one entry per table row
+    of the neighbour, at most k entries per query; a query is its own neighbour once per
+    further copy."""
+    weight = np.minimum(copies[col] - (queries[row] == points[col]), k)
+    row, col, dist = np.repeat(row, weight), np.repeat(col, weight), np.repeat(dist, weight)
+    starts = np.searchsorted(row, np.arange(len(queries)))
+    keep = np.arange(len(row)) - starts[row] < k
+    row, col, dist = row[keep], col[keep], dist[keep]
+    lengths = np.bincount(row, minlength=len(queries))
+    return {
+        "point": queries,
+        "nbrs": kernels.list_array(points[col], lengths),
+        "dists": kernels.list_array(dist, lengths),
+    }
+
+
 def _against_broadcast(points: DataFrame, cols: list[str], k: int, count: int) -> DataFrame:
     spark = points.sparkSession
     local = points.orderBy("point").toArrow()
@@ -81,10 +99,11 @@ def _against_broadcast(points: DataFrame, cols: list[str], k: int, count: int) -
         for batch in batches:
             if batch.num_rows:
                 row, col, dist = kernels.nearest_points(kernels.matrix(batch, cols), x, k + 1)
-                yield from _found(kernels.column(batch, "point"), point, copies, row, col, dist).to_batches()
+                found = _lists(kernels.column(batch, "point"), point, copies, row, col, dist, k)
+                yield pa.RecordBatch.from_pydict(found)
 
     tasks = max(1, math.ceil(count * count * len(cols) / TASK_WORK))
-    return points.repartition(tasks, "point").mapInArrow(search, FOUND)
+    return points.repartition(tasks, "point").mapInArrow(search, LISTS)
 
 
 def _cut_oversized(points: DataFrame, cols: list[str], limits: Limits, count: int) -> DataFrame:
@@ -151,17 +170,11 @@ def _through_partition(points: DataFrame, cols: list[str], k: int, limits: Limit
         other = names[visit_box] != own_leaf
         visit_row, visit = visit_row[other], names[visit_box[other]]
         order = np.argsort(visit_row, kind="stable")
-        keep = weight > 0
-        row, col, dist, weight = row[keep], col[keep], dist[keep], weight[keep]
-        lengths = np.bincount(row, minlength=len(x))
         return pa.table(
             {
-                "point": point,
+                **_lists(point, point, copies, row, col, dist, k),
                 **{c: x[:, j].copy() for j, c in enumerate(cols)},
                 "radius": radius,
-                "nbrs": kernels.list_array(point[col], lengths),
-                "dists": kernels.list_array(dist, lengths),
-                "copies": kernels.list_array(weight, lengths),
                 "visits": kernels.list_array(visit[order].astype(np.int32), np.bincount(visit_row, minlength=len(x))),
             }
         )
@@ -170,17 +183,10 @@ def _through_partition(points: DataFrame, cols: list[str], k: int, limits: Limit
     first = stage(
         leaves.groupBy("leaf").applyInArrow(
             inside,
-            f"point bigint, {numbers}, radius double, nbrs array<bigint>, dists array<double>, "
-            "copies array<bigint>, visits array<int>",
+            f"{LISTS}, {numbers}, radius double, visits array<int>",
         ),
         "knn-inside",
     )
-    def spelled_out(lists: DataFrame) -> DataFrame:
-        entries = lists.select("point", F.explode(F.arrays_zip("nbrs", "dists", "copies")).alias("e"))
-        return entries.select(
-            "point", F.col("e.nbrs").alias("nbr"), F.col("e.dists").alias("dist"), F.col("e.copies").alias("copies")
-        )
-
     visits = first.select("point", *cols, "radius", F.explode("visits").alias("leaf"))
     # a leaf with many visitors is worked on by several tasks, each with its own copy of the leaf
     shares = visits.groupBy("leaf").agg(
@@ -218,12 +224,22 @@ def _through_partition(points: DataFrame, cols: list[str], k: int, limits: Limit
         .cogroup(copies_of.select("leaf", "chunk", "point", "copies", *cols).groupBy("leaf", "chunk"))
         .applyInArrow(across, FOUND)
     )
-    # only points that visited other leaves need a second choice among all candidates
-    at_home = spelled_out(first.filter(F.size("visits") == 0))
-    travelled = spelled_out(first.filter(F.size("visits") > 0)).unionByName(elsewhere)
+    # only points that visited other leaves need a second choice among all candidates; the
+    # window keeps the k best of each map task before it shuffles them
+    entries = F.explode(F.arrays_zip("nbrs", "dists"))
+    started = first.filter(F.size("visits") > 0).select("point", entries.alias("e"))
+    started = started.select(
+        "point", F.col("e.nbrs").alias("nbr"), F.col("e.dists").alias("dist"), F.lit(1).cast("bigint").alias("copies")
+    )
     best = Window.partitionBy("point").orderBy("dist", "nbr")
-    merged = travelled.withColumn("__at", F.row_number().over(best)).filter(F.col("__at") <= k).drop("__at")
-    return at_home.unionByName(merged)
+    chosen = started.unionByName(elsewhere).withColumn("__at", F.row_number().over(best)).filter(F.col("__at") <= k)
+    ordered = F.array_sort(F.collect_list(F.struct("dist", "nbr", "copies")))
+    merged = chosen.groupBy("point").agg(ordered.alias("e"))
+    spelled = F.flatten(F.transform("e", lambda e: F.array_repeat(e, F.least(e["copies"], F.lit(k)).cast("int"))))
+    merged = merged.select("point", F.slice(spelled, 1, k).alias("e")).select(
+        "point", F.col("e.nbr").alias("nbrs"), F.col("e.dist").alias("dists")
+    )
+    return first.filter(F.size("visits") == 0).select("point", "nbrs", "dists").unionByName(merged)
 
 
 def nearest_others(features: Features, k: int, limits: Limits = Limits()) -> DataFrame:
@@ -237,18 +253,9 @@ def nearest_others(features: Features, k: int, limits: Limits = Limits()) -> Dat
     count = points.count()
     k = max(1, min(k, features.n - 1))
     if count <= limits.broadcast_points and count * len(cols) <= BROADCAST_CELLS:
-        found = _against_broadcast(points, cols, k, count)
+        lists = _against_broadcast(points, cols, k, count)
     else:
-        found = _through_partition(points, cols, k, limits, count)
-    entries = F.array_sort(F.collect_list(F.struct("dist", "nbr", "copies")))
-    # at most k + 1 entries per point reach this grouping
-    lists = found.groupBy("point").agg(entries.alias("e"))
-    spelled = F.slice(F.flatten(F.transform("e", lambda e: F.array_repeat(e, F.least(e["copies"], F.lit(k)).cast("int")))), 1, k)
-    lists = lists.select("point", spelled.alias("e")).select(
-        "point", F.col("e.nbr").alias("nbrs"), F.col("e.dist").alias("dists")
-    )
+        lists = _through_partition(points, cols, k, limits, count)
     named = points.select("point", *cols, F.col("copies").alias("rows"))
-    empty = [F.coalesce("nbrs", F.array().cast("array<bigint>")).alias("nbrs"),
-             F.coalesce("dists", F.array().cast("array<double>")).alias("dists")]
-    joined = named.join(lists, "point", "left").select("point", *cols, "rows", *empty)
+    joined = named.join(lists, "point")
     return stage(joined, "neighbours")

@@ -44,13 +44,13 @@ def knn(features: Features, contamination: float, seed: int = 0, k: int | None =
     return flag_top(knn_scores(features, k), contamination, features.n)
 
 
-def _join_neighbour(edges: DataFrame, values: DataFrame, points: int) -> DataFrame:
+def _join_neighbour(edges: DataFrame, values: DataFrame, points: int, k: int) -> DataFrame:
     """Edges with a value of their neighbour. A point may be the neighbour of very many
     others, so a large join is salted by how often each neighbour occurs."""
     if points <= BROADCAST_ROWS:
         return lookup_join(edges, values, "nbr", points, 0)
     uses = edges.groupBy("nbr").agg(F.count(F.lit(1)).alias("uses"))
-    return lookup_join(edges, values.join(uses, "nbr"), "nbr", points, edges.count(), "uses", F.col("point"))
+    return lookup_join(edges, values.join(uses, "nbr"), "nbr", points, points * k, "uses", F.col("point"))
 
 
 def lof_scores(features: Features, k: int | None = None) -> DataFrame:
@@ -61,21 +61,15 @@ def lof_scores(features: Features, k: int | None = None) -> DataFrame:
     table = features.neighbours(k)
     points = table.count()
     kdist = table.select(F.col("point").alias("nbr"), _nth_distance(k).alias("kdist"))
-    pairs = F.slice(F.arrays_zip("nbrs", "dists"), 1, k)
-    # copies of one neighbour become one edge with a weight
-    edges = (
-        table.select("point", F.explode(pairs).alias("e"))
-        .groupBy("point", F.col("e.nbrs").alias("nbr"))
-        .agg(F.first("e.dists").alias("dist"), F.count(F.lit(1)).alias("weight"))
+    pairs = F.explode(F.slice(F.arrays_zip("nbrs", "dists"), 1, k))
+    edges = table.select("point", pairs.alias("e")).select(
+        "point", F.col("e.nbrs").alias("nbr"), F.col("e.dists").alias("dist")
     )
-    edges = stage(edges, "lof-edges")
-    reach = _join_neighbour(edges, kdist, points).select(
-        "point", "weight", (F.greatest("dist", "kdist") * F.col("weight")).alias("reach")
-    )
-    density = reach.groupBy("point").agg((F.lit(1.0) / (F.sum("reach") / F.sum("weight") + F.lit(1e-10))).alias("lrd"))
+    reach = F.avg(F.greatest("dist", "kdist"))
+    density = _join_neighbour(edges, kdist, points, k).groupBy("point").agg((1 / (reach + F.lit(1e-10))).alias("lrd"))
     density = stage(density, "lof-density")
-    around = _join_neighbour(edges, density.select(F.col("point").alias("nbr"), "lrd"), points)
-    mean = around.groupBy("point").agg((F.sum(F.col("lrd") * F.col("weight")) / F.sum("weight")).alias("mean"))
+    around = _join_neighbour(edges.drop("dist"), density.withColumnRenamed("point", "nbr"), points, k)
+    mean = around.groupBy("point").agg(F.avg("lrd").alias("mean"))
     factor = mean.join(density, "point").select("point", (F.col("mean") / F.col("lrd")).alias("score"))
     scored = table.select("point", *features.cols, "rows").join(factor, "point")
     return _to_rows(features, stage(scored, "lof"))
@@ -97,14 +91,10 @@ def density_radius(features: Features, neighbours: int, min_samples: int) -> Dat
     table = scaled.neighbours(neighbours - 1)
     points = table.count()
     core = table.select(F.col("point").alias("nbr"), _nth_distance(min_samples - 1).alias("core"))
-    pairs = F.arrays_zip("nbrs", "dists")
-    edges = (
-        table.select("point", F.explode(pairs).alias("e"))
-        .groupBy("point", F.col("e.nbrs").alias("nbr"))
-        .agg(F.first("e.dists").alias("dist"))
+    edges = table.select("point", F.explode(F.arrays_zip("nbrs", "dists")).alias("e")).select(
+        "point", F.col("e.nbrs").alias("nbr"), F.col("e.dists").alias("dist")
     )
-    edges = stage(edges, "dbscan-edges") if points > BROADCAST_ROWS else edges
-    reached = _join_neighbour(edges, core, points).groupBy("point").agg(
+    reached = _join_neighbour(edges, core, points, neighbours).groupBy("point").agg(
         F.min(F.greatest("dist", "core")).alias("reached")
     )
     scored = (

@@ -18,6 +18,8 @@ from outvote.staging import stage
 # Summed scores are rounded before flags are taken, so that equal sums added in a
 # different order still tie.
 SCORE_DIGITS = 9
+# Distinct values, over all features together, whose look-up tables may be broadcast.
+BROADCAST_VALUES = 1_000_000
 # Above this many features, value look-ups share one join.
 WIDE_FEATURES = 8
 
@@ -109,7 +111,7 @@ def hbos_scores(features: Features, own_bin: bool = False) -> DataFrame:
 
 
 def hbos(features: Features, contamination: float, seed: int = 0, own_bin: bool = False) -> DataFrame:
-    return flag_top(hbos_scores(features, own_bin), contamination, features.n)
+    return flag_top(stage(hbos_scores(features, own_bin), "hbos"), contamination, features.n)
 
 
 def _tail_total(features: Features, tail: str, wide_features: int = WIDE_FEATURES, **limits) -> DataFrame:
@@ -128,9 +130,11 @@ def _tail_total(features: Features, tail: str, wide_features: int = WIDE_FEATURE
         return features.df.join(joined.groupBy(key).agg(F.sum("t").alias("total")), key)
     rows = features.df
     spread = F.col(features.id_col) if features.id_col else F.monotonically_increasing_id()
-    for i, c in enumerate(features.cols):
+    budget = BROADCAST_VALUES
+    for i, c in sorted(enumerate(features.cols), key=lambda f: distinct[f[0]]):
         tails = table.filter(f"f = {i}").selectExpr(f"v as {name(c)}", f"{tail} as __t{i}", "cnt as __uses")
-        rows = lookup_join(rows, tails, c, distinct[i], features.n, "__uses", spread)
+        rows = lookup_join(rows, tails, c, distinct[i], features.n, "__uses", spread, broadcast_rows=budget)
+        budget -= distinct[i] if distinct[i] <= budget else 0
     total = " + ".join(f"__t{i}" for i in range(features.d))
     return rows.select(*features.df.columns, F.expr(f"{total} as total"))
 

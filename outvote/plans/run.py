@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,8 +131,10 @@ def run_all(
     contamination: float | None = None,
     id_col: str | None = None,
     seed: int = 0,
+    at_once: int = 4,
 ) -> RunResult:
-    """Run detectors one after the other. An error in one is recorded and the others go on.
+    """Run detectors, `at_once` of them submitting Spark jobs at a time. An error in one is
+    recorded and the others go on.
 
     Each detector's flags are written to the shared folder inside its own try, so that a
     failure is attributed to it, and votes and reports read three narrow columns."""
@@ -145,7 +149,8 @@ def run_all(
         features.neighbour_hint = max(parameters.lof_neighbours(features.n), parameters.knn_neighbours(features.n) - 1)
     flagged, errors, seconds = {}, {}, {}
     begin = time.perf_counter()
-    for name in names:
+
+    def run_one(name: str) -> None:
         started = time.perf_counter()
         try:
             found = DETECTORS[name](features, contamination, seed=seed)
@@ -156,6 +161,10 @@ def run_all(
             seconds[name] = time.perf_counter() - started
         except Exception as error:  # any failure belongs to this detector alone
             errors[name] = str(error).split("\n")[0]
+
+    with ThreadPoolExecutor(max_workers=max(1, at_once)) as pool:
+        list(pool.map(inheritable_thread_target(features.df.sparkSession)(run_one), names))
+    flagged = {n: flagged[n] for n in names if n in flagged}
     successful = [n for n in names if n in flagged]
     return RunResult(
         features.df.sparkSession, features, contamination, names, successful, errors, seconds,
