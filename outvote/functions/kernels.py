@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 
+from outvote.functions.partition_tree import boxes_within, build_cuts, leaf_of
+
 # Doubles per distance block: about 32 MB.
 BLOCK = 4_000_000
 SLACK = 1 + 1e-12
+# Points per cell of a task's local search, and the most features cells are of use for.
+CELL_POINTS = 512
+CELL_FEATURES = 12
 
 
 def matrix(table, cols: list[str]) -> np.ndarray:
@@ -58,20 +65,65 @@ def smallest(d2: np.ndarray, k: int, limit2: np.ndarray | None = None):
     return row[keep], col[keep], value[keep]
 
 
-def nearest_points(queries: np.ndarray, points: np.ndarray, k: int, limit: np.ndarray | None = None):
-    """k nearest points per query, in blocks: flat (query, point, distance) arrays."""
+def _nearest_in_blocks(queries: np.ndarray, points: np.ndarray, k: int, limit: np.ndarray):
     step = max(1, BLOCK // max(1, len(points)))
     parts = []
     for at in range(0, len(queries), step):
         block = slice(at, at + step)
-        bound = None if limit is None else limit[block] ** 2
-        row, col, value = smallest(squared_distances(queries[block], points), k, bound)
+        row, col, value = smallest(squared_distances(queries[block], points), k, limit[block] ** 2)
         parts.append((row + at, col, value))
     if not parts:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
+def nearest_points(queries: np.ndarray, points: np.ndarray, k: int, limit: np.ndarray | None = None):
+    """k nearest points per query as flat (query, point, distance) arrays, at most `limit`
+    away. Many points in few dimensions are cut into cells first: a query's own cell bounds
+    its radius, and only cells within that radius are looked at."""
+    radius = np.full(len(queries), np.inf) if limit is None else np.array(limit, float)
+    if len(points) <= CELL_POINTS * 4 or points.shape[1] > CELL_FEATURES or len(queries) == 0:
+        return _nearest_in_blocks(queries, points, k, radius)
+    depth = math.ceil(math.log2(len(points) / CELL_POINTS))
+    cuts = build_cuts(points[:: max(1, CELL_POINTS // 16)], depth)
+    cell_of_point = leaf_of(points, *cuts, depth)
+    order = np.argsort(cell_of_point, kind="stable")
+    cells, starts = np.unique(cell_of_point[order], return_index=True)
+    ends = np.append(starts[1:], len(order))
+    low, high = np.minimum.reduceat(points[order], starts), np.maximum.reduceat(points[order], starts)
+    found = []
+
+    def look(rows: np.ndarray, cell: int) -> None:
+        members = order[starts[cell] : ends[cell]]
+        row, col, dist = _nearest_in_blocks(queries[rows], points[members], k, radius[rows])
+        found.append((rows[row], members[col], dist))
+
+    def each(rows: np.ndarray, at: np.ndarray) -> None:
+        by_cell = np.argsort(at, kind="stable")
+        named, firsts = np.unique(at[by_cell], return_index=True)
+        for cell, group in zip(named, np.split(rows[by_cell], firsts[1:])):
+            look(group, cell)
+
+    leaf = leaf_of(queries, *cuts, depth)
+    own = np.minimum(np.searchsorted(cells, leaf), len(cells) - 1)
+    own[cells[own] != leaf] = -1
+    inside = np.nonzero(own >= 0)[0]
+    each(inside, own[inside])
+    if found:
+        row, _, dist = (np.concatenate(p) for p in zip(*found))
+        counts, farthest = np.bincount(row, minlength=len(queries)), np.zeros(len(queries))
+        np.maximum.at(farthest, row, dist)
+        radius = np.where(counts >= k, np.minimum(radius, farthest), radius)
+    row, box = boxes_within(queries, radius, low, high)
+    other = box != own[row]
+    each(row[other], box[other])
+    row, col, dist = (np.concatenate(p) for p in zip(*found)) if found else (np.zeros(0, int),) * 3
+    best = np.lexsort((col, dist, row))
+    row, col, dist = row[best], col[best], dist[best]
+    keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(queries)))[row] < k
+    return row[keep], col[keep], dist[keep]
+
+
 def mean_nearest(queries: np.ndarray, points: np.ndarray, k: int) -> np.ndarray:
     """Mean distance to the k nearest points."""
     step = max(1, BLOCK // 8 // max(1, len(points)))

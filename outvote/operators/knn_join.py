@@ -32,7 +32,7 @@ from outvote.staging import stage
 # Points x features that may be broadcast (8 bytes each).
 BROADCAST_CELLS = 400_000
 BROADCAST_POINTS = 20_000
-LEAF_POINTS = 4_096
+LEAF_POINTS = 16_384
 MAX_DEPTH = 16
 SAMPLE_PER_LEAF = 16
 VISITORS_PER_TASK = 20_000

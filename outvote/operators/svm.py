@@ -265,7 +265,7 @@ def candidate_scores(features: Features, decided: DataFrame, grid: list[Candidat
     limits = F.create_map(*[F.lit(v) for (c, o), s in share.items() for v in (f"{c}{o}", f"{int(s * 2**32):08x}" if s < 1 else "g")])
     wanted = F.array(*[F.struct(F.lit(c).alias("c"), (F.col("decision")[c] < 0).alias("o")) for c in kept])
     sides = (
-        features.scaled.df.join(decided.select(id_col, "decision"), id_col)
+        decided.select(id_col, "decision", *features.scaled_columns())
         .withColumn("key", sample_key(id_col, seed))
         .withColumn("s", F.explode(wanted))
         .withColumn("limit", limits[F.concat(F.col("s.c").cast("string"), F.when(F.col("s.o"), "True").otherwise("False"))])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outvote.functions.frame import Features
+from outvote.functions.parameters import histogram_bins
 from outvote.functions.ranks import cumulative_counts
 from outvote.functions.selection import percentiles
 from outvote.operators import clean as C
@@ -62,6 +63,10 @@ def lineitem_measures(spark: SparkSession, folder: str) -> Features:
     return C.prepare(table(spark, folder, "lineitem").select(*MEASURES), staged=False)
 
 
+def lineitem_with_ids(spark: SparkSession, folder: str) -> Features:
+    return C.prepare(table(spark, folder, "lineitem").select(*MEASURES), assign_ids=True)
+
+
 def part_features(spark: SparkSession, folder: str) -> Features:
     return C.prepare(table(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice"), "p_partkey")
 
@@ -92,7 +97,7 @@ def _shown(flagged: DataFrame, *keys: str) -> DataFrame:
 def detector_query(features_of, detector, **settings):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         features = features_of(spark, folder)
-        keys = [features.id_col] if features.id_col else features.cols
+        keys = [features.id_col] if features.id_col and features_of is not lineitem_with_ids else features.cols
         return _shown(detector(features, SHARE, **settings), *keys)
 
     return run
@@ -160,8 +165,6 @@ def percentile_prices(spark, folder):
 
 def histogram_events(spark, folder):
     features = events_features(spark, folder)
-    from outvote.functions.parameters import histogram_bins
-
     return statistical.histograms(features, histogram_bins(features.n))
 
 
@@ -376,6 +379,7 @@ QUERIES = {
     "knn_customers": detector_query(customer_profile, neighbourhood.knn),
     "knn_parts": detector_query(part_features, neighbourhood.knn),
     "knn_parts_partitioned": knn_parts_partitioned,
+    "knn_lineitem": detector_query(lineitem_with_ids, neighbourhood.knn),
     "knn_embeddings": detector_query(embeddings_8, neighbourhood.knn),
     "lof_customers": detector_query(customer_profile, neighbourhood.lof),
     "lof_documents": detector_query(documents_features, neighbourhood.lof),
@@ -390,6 +394,7 @@ QUERIES = {
     "elliptic_events": detector_query(events_features, robust.elliptic),
     "mcd_customers": detector_query(customer_profile, robust.mcd),
     "isoforest_events": detector_query(events_features, forest.isoforest),
+    "isoforest_lineitem": detector_query(lineitem_with_ids, forest.isoforest),
     "isoforest_customers": detector_query(customer_profile, forest.isoforest),
     "svm_customers": detector_query(customer_profile, svm_.svm),
     "contamination_estimate": contamination_estimate,
