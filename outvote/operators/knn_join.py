@@ -180,8 +180,10 @@ def _through_partition(points: DataFrame, cols: list[str], k: int, limits: Limit
         )
 
     numbers = ", ".join(f"`{c}` double" for c in cols)
+    # explicit partition counts: these stages are heavy in CPU, not in bytes, so they must not
+    # be coalesced by size
     first = stage(
-        leaves.groupBy("leaf").applyInArrow(
+        leaves.repartition(max(1, boxes.num_rows // 2), "leaf").groupBy("leaf").applyInArrow(
             inside,
             f"{LISTS}, {numbers}, radius double, visits array<int>",
         ),
@@ -193,6 +195,7 @@ def _through_partition(points: DataFrame, cols: list[str], k: int, limits: Limit
         F.ceil(F.count(F.lit(1)) / F.lit(limits.visitors_per_task)).cast("int").alias("tasks")
     )
     shares = stage(shares, "knn-shares")
+    groups = max(1, (shares.agg(F.sum("tasks")).first()[0] or 0) // 2)
     chunked = visits.join(F.broadcast(shares), "leaf").withColumn(
         "chunk", F.pmod(F.xxhash64("point"), F.col("tasks")).cast("int")
     )
@@ -218,10 +221,11 @@ def _through_partition(points: DataFrame, cols: list[str], k: int, limits: Limit
             dist,
         )
 
+    visitors_by_task = chunked.select("leaf", "chunk", "point", *cols, "radius").repartition(groups, "leaf", "chunk")
+    residents_by_task = copies_of.select("leaf", "chunk", "point", "copies", *cols).repartition(groups, "leaf", "chunk")
     elsewhere = (
-        chunked.select("leaf", "chunk", "point", *cols, "radius")
-        .groupBy("leaf", "chunk")
-        .cogroup(copies_of.select("leaf", "chunk", "point", "copies", *cols).groupBy("leaf", "chunk"))
+        visitors_by_task.groupBy("leaf", "chunk")
+        .cogroup(residents_by_task.groupBy("leaf", "chunk"))
         .applyInArrow(across, FOUND)
     )
     # only points that visited other leaves need a second choice among all candidates; the

@@ -226,12 +226,13 @@ def dbscan(name: str) -> str:
 def neighbours(name: str, k: int) -> str:
     key, cols, base = source(name)
     return (
-        f"with {base}, {ranked_pairs(key, cols)} select id as {key}, r as place, nrep as neighbour, "
+        f"with {base}, {ranked_pairs(key, cols)} select id as {key}, cast(r as int) as place, nrep as neighbour, "
         f"round(dist, 6) as dist from o where r <= {k}"
     )
 
 
 def inne(name: str) -> str:
+    """Five rounds of 256 rows, disjoint chunks of one seeded order: needs 1,280 rows."""
     key, cols, base = scaled_source(name)
     parts = []
     for i, subset in enumerate(INNE_SUBSPACES):
@@ -329,6 +330,25 @@ def event_components() -> str:
                     case when abs(ax) >= abs(ay) then sign(ax) else sign(ay) end * ay as uy from un)"""
 
 
+def event_hull() -> str:
+    """Per hour only the extreme values can be hull vertices, so edges are tried between
+    those: an edge has every candidate on its left or on itself."""
+    _, _, base = source("events2")
+    return f"""with {base},
+      p as (select distinct x, y from (select min(value) as x, hour_of_day as y from f group by hour_of_day
+            union all select max(value), hour_of_day from f group by hour_of_day)),
+      e as (select a.x as ax, a.y as ay, b.x as qx, b.y as qy from p a join p b on (a.x, a.y) <> (b.x, b.y)
+            where not exists (select 1 from p c where
+              (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
+              or ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0
+                  and ((c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y)) > 0))),
+      v as (select ax as x, ay as y from e union select qx, qy from e),
+      m as (select avg(x) as mx, avg(y) as my, count(*) as n from v),
+      r as (select x, y, n, row_number() over (order by atan2(y - my, x - mx)) - 1 as r,
+                   row_number() over (order by x, y) as place from v, m)
+      select cast((r - (select r from r where place = 1) + n) % n as int) as position, x, y from r"""
+
+
 def oracle_sql() -> dict[str, str]:
     lines = source("lines")[2]
     hex_source = source("events2")[2]
@@ -341,7 +361,7 @@ def oracle_sql() -> dict[str, str]:
         for x in MEASURES
     )
     bins = " union all ".join(
-        f"select {i} as f, own as bin, count(*) as cnt from f join x_v{i} on {x} = v group by own"
+        f"select {i} as f, cast(own as int) as bin, count(*) as cnt from f join x_v{i} on {x} = v group by own"
         for i, x in enumerate(["value", "hour_of_day"])
     )
     scaled_cols = ", ".join(f"round({x}, 6) as {x}" for x in PROFILE_COLS)
@@ -439,6 +459,7 @@ def oracle_sql() -> dict[str, str]:
             o as (select *, row_number() over (order by md5(cast(o_custkey as varchar) || ':0'), o_custkey) as r from z where not is_outlier)
             select o_custkey, is_outlier from z where is_outlier
             union all select o_custkey, is_outlier from o, k where r <= greatest(0, least(n // 2 - k, n - k))""",
+        "convex_hull": event_hull(),
         "hex_density": f"""with {hex_source},
             g as (select min(value) as a, max(value) as b, min(hour_of_day) as p, max(hour_of_day) as q from f),
             w as (select a - 1e-9 * (b - a) as x0, b + 1e-9 * (b - a) as x1, p - 1e-9 * (q - p) as y0, q + 1e-9 * (q - p) as y1 from g),
