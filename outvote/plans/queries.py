@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outvote.functions.frame import Features
-from outvote.functions.parameters import histogram_bins
+from outvote.functions.parameters import histogram_bins, knn_neighbours
 from outvote.functions.ranks import cumulative_counts
 from outvote.functions.selection import percentiles
 from outvote.operators import clean as C
@@ -191,7 +191,10 @@ def neighbours_customers(spark, folder):
 def knn_parts_partitioned(spark, folder):
     """The large-table route of the neighbour join, on a table small enough to check."""
     features = part_features(spark, folder)
-    features._neighbours = (25, nearest_others(features, 25, Limits(broadcast_points=0, leaf_points=128, visitors_per_task=64)))
+    part = max(1, features.n // 16)
+    limits = Limits(broadcast_points=0, leaf_points=part, visitors_per_task=part)
+    k = knn_neighbours(features.n) - 1
+    features._neighbours = (k, nearest_others(features, k, limits))
     return _shown(neighbourhood.knn(features, SHARE), "p_partkey")
 
 
