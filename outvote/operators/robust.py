@@ -135,7 +135,7 @@ def reweighted(features: Features, raw: Scatter, h: int) -> Scatter:
     re-estimate from all rows that are not far out."""
     d, n = features.d, features.n
     if h < n and np.allclose(raw.cov, 0):
-        raise ValueError("The covariance matrix of the support data is equal to 0, try to increase support_fraction")
+        raise ValueError("the supporting rows all lie on one point: no robust covariance")
     measured = raw.distances(features)
     low, high = order_statistics(measured, "score", [(n - 1) // 2, n // 2], n)
     correction = (low + high) / 2 / chi2_quantile(CORRECTION, d)
