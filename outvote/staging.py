@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,12 +46,17 @@ def _application_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/outvote/{spark.sparkContext.applicationId}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def staged_path(spark: SparkSession, label: str) -> str:
+    """A new path for a table below this application's part of the shared folder."""
+    return f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write df once and read it back. Cuts lineage, survives the loss of any executor,
     and later passes read only the columns they need."""
     spark = df.sparkSession
-    path = f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = staged_path(spark, label)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
