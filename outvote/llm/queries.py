@@ -8,15 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outvote.llm.curriculum_mix import mix
+from outvote.llm.jaccard_join import jaccard_join
 from outvote.llm.kd_shards import shard_documents
 from outvote.llm.line_dedup import dedup_lines
 from outvote.llm.packing import pack
+from outvote.llm.toxicity import score
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     sharded = shard_documents(_table(spark, folder, "documents"))
     return sharded.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -39,11 +46,17 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
 
 
+def jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity,
     "op4_kd_shards": kd_shards,
     "op6_packing": packing,
     "op8_curriculum_mix": curriculum_mix,
     "op9_line_dedup": line_dedup,
+    "op10_jaccard_join": jaccard,
 }
 
 _MIX = r"""
