@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outvote.llm.curriculum_mix import mix
+from outvote.llm.hamming_search import sign_code, top_k
 from outvote.llm.jaccard_join import jaccard_join
 from outvote.llm.kd_shards import shard_documents
 from outvote.llm.line_dedup import dedup_lines
 from outvote.llm.packing import pack
+from outvote.llm.quality_ratio import judge
 from outvote.llm.toxicity import score
 
 
@@ -24,6 +26,16 @@ def toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def hamming_topk(spark: SparkSession, folder: str) -> DataFrame:
+    codes = _table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), sign_code("embedding").alias("code"))
+    return top_k(codes, codes.filter("id % 50 = 0"), k=10).withColumnRenamed("id", "vec_id")
+
+
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = judge(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     sharded = shard_documents(_table(spark, folder, "documents"))
     return sharded.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -52,8 +64,10 @@ def jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity,
+    "op2_hamming_topk": hamming_topk,
     "op4_kd_shards": kd_shards,
     "op6_packing": packing,
+    "op7_quality_rules": quality_rules,
     "op8_curriculum_mix": curriculum_mix,
     "op9_line_dedup": line_dedup,
     "op10_jaccard_join": jaccard,
@@ -105,4 +119,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT keeps) AS n_dropped,
 FROM kept GROUP BY doc_id, text
 """
 
-ORACLES: dict[str, str] = {"op8_curriculum_mix": _MIX, "op9_line_dedup": _LINES}
+#: Bits as ones and zeros; the distance of two codes is the ones of their exclusive or.
+_HAMMING = """
+WITH codes AS (
+  SELECT vec_id,
+         array_to_string(list_transform(generate_series(1, 64), lambda i: CASE WHEN coalesce(embedding[i], 0) > 0 THEN '1' ELSE '0' END), '')::BIT AS code
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+pairs AS (
+  SELECT q.vec_id, r.vec_id AS neighbour, bit_count(xor(q.code, r.code))::BIGINT AS distance
+  FROM codes q, codes r WHERE q.vec_id % 50 = 0 AND q.vec_id != r.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour)::INT AS rank FROM pairs)
+SELECT vec_id, rank, neighbour, distance FROM ranked WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op2_hamming_topk": _HAMMING, "op8_curriculum_mix": _MIX, "op9_line_dedup": _LINES}
