@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from outvote.llm.curriculum_mix import mix
 from outvote.llm.hamming_search import sign_code, top_k
+from outvote.llm.html_text import extract
 from outvote.llm.jaccard_join import jaccard_join
 from outvote.llm.kd_shards import shard_documents
 from outvote.llm.line_dedup import dedup_lines
 from outvote.llm.packing import pack
 from outvote.llm.quality_ratio import judge
+from outvote.llm.token_files import document_tokens
 from outvote.llm.toxicity import score
 
 
@@ -31,6 +33,10 @@ def hamming_topk(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(codes, codes.filter("id % 50 = 0"), k=10).withColumnRenamed("id", "vec_id")
 
 
+def html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(_table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = judge(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
@@ -41,6 +47,10 @@ def kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharded.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return document_tokens(_table(spark, folder, "documents"))
+
+
 def packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"))
 
@@ -65,7 +75,9 @@ def jaccard(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity,
     "op2_hamming_topk": hamming_topk,
+    "op3_html_text": html_text,
     "op4_kd_shards": kd_shards,
+    "op5_token_counts": token_counts,
     "op6_packing": packing,
     "op7_quality_rules": quality_rules,
     "op8_curriculum_mix": curriculum_mix,
