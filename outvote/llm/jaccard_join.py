@@ -27,10 +27,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outvote.llm.columns import needed
+from outvote.llm.columns import named, needed
 from outvote.llm.components import components
 from outvote.llm.text_arrays import BASE, Texts, chunked, mix, span_hashes, texts_of, window_hashes, words_of
 from outvote.staging import stage
@@ -306,24 +306,21 @@ def _block_pairs(rows: DataFrame, group: str) -> DataFrame:
 # --- the join ---------------------------------------------------------------------------
 
 
-def jaccard_join(
-    documents: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    threshold: float = THRESHOLD,
-    tolerance: float = TOLERANCE,
-) -> DataFrame:
-    """Per document: id, class_id (the least id of the documents it is linked to, directly
-    or through others, itself among them), n_links (other documents at the threshold or
-    over), copy_id (the least id of those with the same shingles)."""
+def _first(doc_id: Column, text_key: Column) -> Column:
+    """The row of least id of a group; null ids come last."""
+    return F.min(F.struct(doc_id.isNull().alias("last"), doc_id.alias("doc_id"), text_key.alias("text_key")))
+
+
+def _grouped(documents: DataFrame, id_col: str, text_col: str, threshold: float, tolerance: float) -> DataFrame:
+    """Per document: doc_id, text_key, its class's first document copy_id, its group's
+    first document class_id and class_key (with the text's hash), docs, links."""
     rows = needed(documents, doc_id=id_col, text=text_col).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text"
     )
     sketches = stage(rows.mapInArrow(_sketch, SKETCH), "sketches")
     # copies meet in partial aggregates, so they don't travel
-    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key"))
     classes = sketches.groupBy("class").agg(
-        least_row.alias("copy"),
+        _first(F.col("doc_id"), F.col("text_key")).alias("copy"),
         F.count(F.lit(1)).alias("docs"),
         F.max("n_shingles").alias("n_shingles"),
         F.min("bands").alias("bands"),
@@ -353,15 +350,44 @@ def jaccard_join(
     verified = stage(verified.mapInArrow(_verified_links(threshold), "a long, b long, links long"), "verified")
     linked = verified.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
     grouped = components(verified.filter("a != b").select("a", "b")).withColumnsRenamed({"node": "class", "component": "group"})
-    named = small.join(grouped, "class", "left").join(linked, "class", "left")
-    named = named.withColumn("group", F.coalesce("group", "class"))
-    least = named.groupBy("group").agg(F.min("copy_id").alias("class_id"))
-    named = stage(named.join(least, "group").select("class", "copy_id", "class_id", "docs", "links"), "named")
-    result = sketches.select("doc_id", "class").join(named, "class")
-    return result.select(
-        F.col("doc_id").alias(id_col),
-        "class_id",
-        (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        "copy_id",
+    found = small.join(grouped, "class", "left").join(linked, "class", "left")
+    found = found.withColumn("group", F.coalesce("group", "class"))
+    least = found.groupBy("group").agg(_first(F.col("copy_id"), F.col("text_key")).alias("first"))
+    found = found.join(least, "group").select(
+        "class", "copy_id", F.col("first.doc_id").alias("class_id"), F.col("first.text_key").alias("class_key"), "docs", "links"
     )
+    return sketches.select("doc_id", "text_key", "class").join(stage(found, "grouped"), "class")
 
+
+def jaccard_join(
+    documents: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = THRESHOLD,
+    tolerance: float = TOLERANCE,
+) -> DataFrame:
+    """Per document: id, class_id (the least id of the documents it is linked to, directly
+    or through others, itself among them), n_links (other documents at the threshold or
+    over), copy_id (the least id of those with the same shingles)."""
+    grouped = _grouped(documents, id_col, text_col, threshold, tolerance)
+    links = F.col("docs") - 1 + F.coalesce("links", F.lit(0))
+    return grouped.select(F.col("doc_id").alias(id_col), "class_id", links.alias("n_links"), "copy_id")
+
+
+def one_of_each(
+    documents: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = THRESHOLD,
+    tolerance: float = TOLERANCE,
+) -> DataFrame:
+    """The first document (least id) of each group of linked ones, with its columns."""
+    grouped = _grouped(documents, id_col, text_col, threshold, tolerance)
+    kept = grouped.filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key")))
+    kept = stage(kept.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")), "kept")
+    keyed = documents.withColumn("__key", F.xxhash64(F.col(text_col)))
+    same = keyed[id_col].cast("long").eqNullSafe(kept["doc_id"]) & (keyed["__key"] == kept["text_key"])
+    first = keyed.join(kept.select("doc_id", "text_key"), same, "left_semi")
+    if kept.filter("n > 1").head(1):
+        first = first.dropDuplicates([id_col, "__key"])
+    return first.select(*map(named, documents.columns))
