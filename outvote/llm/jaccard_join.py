@@ -344,7 +344,8 @@ def _grouped(documents: DataFrame, id_col: str, text_col: str, threshold: float,
     )
     wanted = near.join(blocks, "component").select("component", "class", "docs", "blocks", "copy_id", F.col("text_key").alias("own_key"))
     same_row = wanted["copy_id"].eqNullSafe(rows["doc_id"]) & (wanted["own_key"] == rows["text_key"])
-    texts = wanted.join(rows, same_row).select("component", "class", "docs", "blocks", "text")
+    # by shuffle at every size: the classes to be verified have no bound
+    texts = wanted.hint("merge").join(rows, same_row).select("component", "class", "docs", "blocks", "text")
     held = texts.mapInArrow(_class_shingles, "component long, class long, docs long, blocks long, shingles array<long>")
     verified = _block_pairs(held, "component").select("component", "low", "high", "block", "class", "docs", "shingles")
     verified = stage(verified.mapInArrow(_verified_links(threshold), "a long, b long, links long"), "verified")
