@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,7 +54,7 @@ def write_token_files(documents: DataFrame, folder: str, path: str | None = None
                 rows.append((ids + np.uint32(1)).astype(f"<u{WIDTH}").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
 
-    encoded = documents.select("text").mapInArrow(encode, "value binary")
+    encoded = documents.select("doc_id", "text").mapInArrow(encode, "value binary")
     # the text writer puts the bytes out as they are, each row followed by the separator
     lines = encoded.select(F.col("value").cast("string").alias("value"))
     lines.write.option("lineSep", "\0" * WIDTH).option("compression", "none").text(folder)
@@ -114,19 +115,29 @@ def count_tokens(spark: SparkSession, folder: str, width: int = WIDTH, end_id: i
 def document_tokens(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Write the documents' token files and count them: id, n_tokens.
 
-    Files have no ids, so documents are found again by their place: the partition and row
-    that a scan of the same input gives them, whichever columns it reads. A count of each
-    partition guards this."""
+    Files have no ids, so documents are found again by their place, which a second run of
+    the same plan over the same columns gives them: partition and row. The count of each
+    partition and the length of each text guard this."""
     spark = documents.sparkSession
-    rows = needed(documents, doc_id=id_col, text=text_col)
+    rows = needed(documents, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     folder = staged_path(spark, "token-files")
     write_token_files(rows, folder, path)
     counted = count_tokens(spark, folder).withColumn("part", F.regexp_extract("file", r"part-(\d+)-", 1).cast("int"))
     counted = stage(counted, "token-counts")
-    numbered = rows.select("doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("number"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size], ["doc_id", "size"])
+
+    numbered = rows.mapInArrow(measure, "doc_id long, size long").select(
+        "doc_id", "size", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("number")
+    )
     numbered = numbered.withColumn("ordinal", F.col("number").bitwiseAND(F.lit((1 << 33) - 1)))
-    numbered = stage(numbered.select("doc_id", "part", "ordinal"), "document-places")
+    numbered = stage(numbered.select("doc_id", "size", "part", "ordinal"), "document-places")
     there, here = (d.groupBy("part").agg(F.count(F.lit(1)).alias(n)) for d, n in ((counted, "a"), (numbered, "b")))
-    if there.join(here, "part", "full").filter("a is distinct from b").head(1):
+    placed = numbered.join(counted, ["part", "ordinal"])
+    unlike = placed.filter("n_tokens > size or (n_tokens = 0) != (size = 0)")
+    if there.join(here, "part", "full").filter("a is distinct from b").head(1) or unlike.head(1):
         raise RuntimeError("the input gave its rows in another order; write it to a table first")
-    return numbered.join(counted, ["part", "ordinal"]).select(F.col("doc_id").alias(id_col), "n_tokens")
+    return placed.select(F.col("doc_id").alias(id_col), "n_tokens")
