@@ -10,6 +10,7 @@ from threading import Lock
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from outvote.functions.text import name, number
 
@@ -76,6 +77,21 @@ class Features:
             raise ValueError("this detector needs a unique id column")
         return self.id_col
 
+    @property
+    def integer_id(self) -> bool:
+        return isinstance(self.df.schema[self.require_id()].dataType, T.IntegralType)
+
+    @cached_property
+    def numbered(self) -> tuple["Features", DataFrame]:
+        """The same rows with whole numbers for ids, and the numbers' table (__number, id)."""
+        from outvote.operators.clean import with_row_positions
+
+        placed = with_row_positions(self.df, "__number")
+        key = name(self.require_id())
+        inner = Features(placed.drop(placed[key]), self.cols, "__number", self.profile)
+        inner.neighbour_hint = self.neighbour_hint
+        return inner, placed.select("__number", key)
+
     def subset(self, cols: list[str]) -> "Features":
         keep = [self.cols.index(c) for c in cols]
         p = self.profile
@@ -96,7 +112,7 @@ class Features:
 
     @cached_property
     def scaled(self) -> "Features":
-        ids = [] if self.id_col is None else [self.id_col]
+        ids = [] if self.id_col is None else [name(self.id_col)]
         p = self.profile
         unit = np.where(p.std > 0, p.std, 1.0)
         profile = Profile(p.n, np.zeros(self.d), p.std / unit, (p.low - p.mean) / unit, (p.high - p.mean) / unit)
@@ -108,7 +124,7 @@ class Features:
         cores = self.df.sparkSession.sparkContext.defaultParallelism
         if self.n >= cores * SPREAD_ROWS:
             return self.df
-        return self.df.repartition(cores, self.id_col) if self.id_col else self.df.repartition(cores)
+        return self.df.repartition(cores, name(self.id_col)) if self.id_col else self.df.repartition(cores)
 
     def neighbours(self, k: int) -> DataFrame:
         """The k-nearest-other-rows table, computed once and shared by the detectors.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from outvote.functions.text import name
+
 # A lookup table is broadcast only when its counted rows stay under this bound.
 BROADCAST_ROWS = 200_000
 # A key is hot when it holds more than 1/HOT_SHARE of the rows: at most HOT_SHARE keys are.
@@ -37,7 +39,7 @@ def lookup_join(
         return rows.join(table, keys, how)
     per_salt = max(1, total_rows // HOT_SHARE)
     salted = table.withColumn("__salts", F.greatest(F.lit(1), F.ceil(F.col(uses) / F.lit(per_salt)).cast("int")))
-    hot = salted.filter("__salts > 1").select(*keys, F.col("__salts").alias("__n"))
+    hot = salted.filter("__salts > 1").select(*map(name, keys), F.col("__salts").alias("__n"))
     salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("__n")).cast("int"), F.lit(0))
     left = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__n")
     right = salted.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts", uses)

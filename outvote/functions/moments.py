@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from outvote.functions.arrow import map_in_arrow
 from outvote.functions import kernels
 from outvote.functions.frame import EXPRESSION_FEATURES, Features
 from outvote.functions.text import name, number
@@ -40,7 +41,7 @@ def moments(df: DataFrame, cols: list[str], center: np.ndarray) -> tuple[int, np
                 total[d + 1 :] += (x.T @ x)[upper]
             yield pa.RecordBatch.from_pydict({"cell": pa.array(np.arange(len(total)), pa.int32()), "v": total})
 
-        cells = df.select(*cols).mapInArrow(partial, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v"))
+        cells = map_in_arrow(df.select(*map(name, cols)), partial, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v"))
         # 1 + d + d(d+1)/2 rows, whatever the table size
         flat = np.zeros(1 + d + len(pairs))
         for row in cells.collect():
@@ -78,7 +79,7 @@ def with_quadratic_form(
             value = pa.array(np.einsum("ij,ij->i", x @ inverse, x))
             yield pa.RecordBatch.from_arrays([*batch.columns, value], [*batch.schema.names, name_])
 
-    return df.mapInArrow(measure, T.StructType([*df.schema.fields, T.StructField(name_, T.DoubleType())]))
+    return map_in_arrow(df, measure, T.StructType([*df.schema.fields, T.StructField(name_, T.DoubleType())]))
 
 
 def _lower_gamma(a: float, x: float) -> float:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from outvote.functions.frame import Features
+from outvote.functions.text import name
 from outvote.staging import stage
 
+# fixed values: texts that callers match
 EMPTY = "Input DataFrame is empty or None"
 NOTHING_NUMERIC = "No numeric columns with valid finite values found"
 
@@ -26,19 +28,19 @@ def select_columns(df: DataFrame, columns: list[str] | None) -> DataFrame:
         return df
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"Columns not found in dataset: {missing}")
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+        raise ValueError(f"The table has no columns named {missing}")
+    return df.select(*[F.col(name(c)) for c in columns])
 
 
 def finite_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     """Rows where every listed column is neither null, NaN nor infinite. NaN sorts above
     infinity in Spark and null compares to null, so one comparison covers all of them."""
-    return df.filter(reduce(and_, [F.abs(F.col(c)) < F.lit(float("inf")) for c in cols]))
+    return df.filter(reduce(and_, [F.abs(F.col(name(c))) < F.lit(float("inf")) for c in cols]))
 
 
 def _features_only(df: DataFrame, cols: list[str], id_col: str | None) -> DataFrame:
-    ids = [] if id_col is None else [F.col(id_col)]
-    return df.select(*ids, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+    ids = [] if id_col is None else [F.col(name(id_col))]
+    return df.select(*ids, *[F.col(name(c)).cast("double").alias(c) for c in cols])
 
 
 def clean(df: DataFrame | None, id_col: str | None = None) -> DataFrame:
@@ -54,7 +56,7 @@ def clean(df: DataFrame | None, id_col: str | None = None) -> DataFrame:
     return out
 
 
-def with_row_positions(df: DataFrame, name: str = "row_id") -> DataFrame:
+def with_row_positions(df: DataFrame, position_col: str = "row_id") -> DataFrame:
     """Consecutive 0-based ids in partition order, without a global sort.
 
     The table is staged with Spark's per-partition ids first, so they can no longer
@@ -69,7 +71,7 @@ def with_row_positions(df: DataFrame, name: str = "row_id") -> DataFrame:
     table = df.sparkSession.createDataFrame(offsets or [(0, 0)], "__part bigint, __offset bigint")
     placed = raw.withColumn("__part", part).join(F.broadcast(table), "__part")
     position = F.col("__offset") + F.col("__raw").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn(name, position).select(name, *df.columns)
+    return placed.select(position.alias(position_col), *map(name, df.columns))
 
 
 def prepare(
@@ -111,7 +113,7 @@ def feature_profile(features: Features) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         *[
             F.struct(
-                F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")
+                *(f(name(c)).alias(k) for k, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max)))
             ).alias(f"s{i}")
             for i, c in enumerate(features.cols)
         ],

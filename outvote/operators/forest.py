@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from outvote.functions.arrow import map_in_arrow
 from outvote.functions import kernels, parameters
 from outvote.functions.frame import Features
 from outvote.functions.sampling import row_sample
@@ -104,7 +105,7 @@ class Forest:
                 yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, "score"])
 
         schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
-        return df.mapInArrow(walk, schema)
+        return map_in_arrow(df, walk, schema)
 
 
 def fit_forest(features: Features, trees: int, sample_size: int, seed: int) -> Forest:

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from outvote.functions import kernels, partition_tree
 from outvote.functions.frame import Features
 from outvote.functions.sampling import first_by_key
+from outvote.functions.text import name
 from outvote.staging import stage
 
 # Points x features that may be broadcast (8 bytes each).
@@ -53,10 +54,10 @@ class Limits:
 def distinct_points(features: Features) -> DataFrame:
     """(point, copies, features...): point is the smallest id among equal rows."""
     id_col = features.require_id()
-    if not isinstance(features.df.schema[id_col].dataType, T.IntegralType):
-        raise ValueError(f"neighbour detectors need an integer id column, {id_col} is not one")
-    return features.df.groupBy(*features.cols).agg(
-        F.min(F.col(id_col).cast("bigint")).alias("point"), F.count(F.lit(1)).alias("copies")
+    if not features.integer_id:
+        raise ValueError(f"neighbours need an integer id column, {id_col} is not one: see Features.numbered")
+    return features.df.groupBy(*map(name, features.cols)).agg(
+        F.min(F.col(name(id_col)).cast("bigint")).alias("point"), F.count(F.lit(1)).alias("copies")
     )
 
 
@@ -113,7 +114,7 @@ def _cut_oversized(points: DataFrame, cols: list[str], limits: Limits, count: in
     target = max(limits.leaf_points, count / 2**depth)
     pending, finished, base, rows = points, [], 0, count
     while True:
-        sample = first_by_key(pending, "point", SAMPLE_PER_LEAF * 2**depth, rows, seed=base).select(*cols)
+        sample = first_by_key(pending, "point", SAMPLE_PER_LEAF * 2**depth, rows, seed=base).select(*map(name, cols))
         feature, value = partition_tree.build_cuts(kernels.matrix(sample.toArrow(), cols), depth)
         shared = pending.sparkSession.sparkContext.broadcast((feature, value))
 
@@ -145,7 +146,7 @@ def _cut_oversized(points: DataFrame, cols: list[str], limits: Limits, count: in
 
 def _through_partition(points: DataFrame, cols: list[str], k: int, limits: Limits, count: int) -> DataFrame:
     leaves = _cut_oversized(points, cols, limits, count)
-    extremes = [F.min(c).alias(f"l{i}") for i, c in enumerate(cols)] + [F.max(c).alias(f"h{i}") for i, c in enumerate(cols)]
+    extremes = [f(name(c)).alias(f"{k}{i}") for k, f in (("l", F.min), ("h", F.max)) for i, c in enumerate(cols)]
     # one row per leaf, at most a few 2^MAX_DEPTH
     boxes = leaves.groupBy("leaf").agg(*extremes).orderBy("leaf").toArrow()
     low = kernels.matrix(boxes, [f"l{i}" for i in range(len(cols))])
@@ -179,7 +180,7 @@ def _through_partition(points: DataFrame, cols: list[str], k: int, limits: Limit
             }
         )
 
-    numbers = ", ".join(f"`{c}` double" for c in cols)
+    numbers = ", ".join(f"{name(c)} double" for c in cols)
     # explicit partition counts: these stages are heavy in CPU, not in bytes, so they must not
     # be coalesced by size
     first = stage(
@@ -189,7 +190,7 @@ def _through_partition(points: DataFrame, cols: list[str], k: int, limits: Limit
         ),
         "knn-inside",
     )
-    visits = first.select("point", *cols, "radius", F.explode("visits").alias("leaf"))
+    visits = first.select("point", *map(name, cols), "radius", F.explode("visits").alias("leaf"))
     # a leaf with many visitors is worked on by several tasks, each with its own copy of the leaf
     shares = visits.groupBy("leaf").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(limits.visitors_per_task)).cast("int").alias("tasks")
@@ -221,8 +222,8 @@ def _through_partition(points: DataFrame, cols: list[str], k: int, limits: Limit
             dist,
         )
 
-    visitors_by_task = chunked.select("leaf", "chunk", "point", *cols, "radius").repartition(groups, "leaf", "chunk")
-    residents_by_task = copies_of.select("leaf", "chunk", "point", "copies", *cols).repartition(groups, "leaf", "chunk")
+    visitors_by_task = chunked.select("leaf", "chunk", "point", *map(name, cols), "radius").repartition(groups, "leaf", "chunk")
+    residents_by_task = copies_of.select("leaf", "chunk", "point", "copies", *map(name, cols)).repartition(groups, "leaf", "chunk")
     elsewhere = (
         visitors_by_task.groupBy("leaf", "chunk")
         .cogroup(residents_by_task.groupBy("leaf", "chunk"))
@@ -252,14 +253,15 @@ def nearest_others(features: Features, k: int, limits: Limits = Limits()) -> Dat
 
     `rows` is how many table rows the point stands for. Copies of a neighbour appear as
     repeated entries, so entry i is the (i + 1)-th nearest row."""
-    cols = features.cols
-    points = stage(distinct_points(features), "points")
+    # kernels travel with features under numbers, whatever their names
+    cols = [f"x{i}" for i in range(features.d)]
+    points = stage(distinct_points(features).toDF(*cols, "point", "copies"), "points")
     count = points.count()
     k = max(1, min(k, features.n - 1))
     if count <= limits.broadcast_points and count * len(cols) <= BROADCAST_CELLS:
         lists = _against_broadcast(points, cols, k, count)
     else:
         lists = _through_partition(points, cols, k, limits, count)
-    named = points.select("point", *cols, F.col("copies").alias("rows"))
+    named = points.select("point", *(F.col(c).alias(own) for c, own in zip(cols, features.cols)), F.col("copies").alias("rows"))
     joined = named.join(lists, "point")
     return stage(joined, "neighbours")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,24 +11,40 @@ from outvote.functions import parameters
 from outvote.functions.frame import Features
 from outvote.functions.lookup import BROADCAST_ROWS, lookup_join
 from outvote.functions.selection import flag_top, percentiles
-from outvote.operators.statistical import SCORE_DIGITS
+from outvote.functions.text import name, significant
 from outvote.staging import stage
 
 EPS_PERCENTILES = [0.80, 0.85, 0.90, 0.95, 0.98]  # fixed values: radii tried in this order
 
 
+def any_id(detector):
+    """Neighbours are told apart by whole numbers. Rows with other ids are numbered for the
+    detector, and the result gets their ids back."""
+
+    @wraps(detector)
+    def run(features: Features, *args, **kwargs) -> DataFrame:
+        if features.integer_id:
+            return detector(features, *args, **kwargs)
+        inner, ids = features.numbered
+        found = detector(inner, *args, **kwargs)
+        made = [c for c in found.columns if c not in inner.df.columns]
+        back = found.join(ids, "__number")
+        return back.select(*map(name, [*features.df.columns, *made]))
+
+    return run
+
+
 def _to_rows(features: Features, scored: DataFrame) -> DataFrame:
     """Give every table row the score of its point. scored: point, features..., rows, score."""
-    scored = scored.withColumn("score", F.round("score", SCORE_DIGITS))
     points = scored.count()
     if points == features.n:
         renamed = scored.withColumnRenamed("point", features.id_col)
-        return renamed.select(*features.df.columns, "score")
-    table = scored.select(*features.cols, "rows", "score")
+        return renamed.select(*map(name, features.df.columns), "score")
+    table = scored.select(*map(name, features.cols), "rows", "score")
     joined = lookup_join(
-        features.df, table, features.cols, points, features.n, "rows", F.col(features.id_col)
+        features.df, table, features.cols, points, features.n, "rows", F.col(name(features.id_col))
     )
-    return stage(joined.select(*features.df.columns, "score"), "point-scores")
+    return stage(joined.select(*map(name, features.df.columns), "score"), "point-scores")
 
 
 def _nth_distance(others: int):
@@ -40,6 +58,7 @@ def knn_scores(features: Features, k: int | None = None) -> DataFrame:
     return _to_rows(features, table.withColumn("score", _nth_distance(others)))
 
 
+@any_id
 def knn(features: Features, contamination: float, seed: int = 0, k: int | None = None) -> DataFrame:
     return flag_top(knn_scores(features, k), contamination, features.n)
 
@@ -70,11 +89,12 @@ def lof_scores(features: Features, k: int | None = None) -> DataFrame:
     density = stage(density, "lof-density")
     around = _join_neighbour(edges.drop("dist"), density.withColumnRenamed("point", "nbr"), points, k)
     mean = around.groupBy("point").agg(F.avg("lrd").alias("mean"))
-    factor = mean.join(density, "point").select("point", (F.col("mean") / F.col("lrd")).alias("score"))
-    scored = table.select("point", *features.cols, "rows").join(factor, "point")
+    factor = mean.join(density, "point").select("point", F.expr(significant("mean / lrd")).alias("score"))
+    scored = table.select("point", *map(name, features.cols), "rows").join(factor, "point")
     return _to_rows(features, stage(scored, "lof"))
 
 
+@any_id
 def lof(features: Features, contamination: float, seed: int = 0, k: int | None = None) -> DataFrame:
     return flag_top(lof_scores(features, k), contamination, features.n)
 
@@ -101,18 +121,19 @@ def density_radius(features: Features, neighbours: int, min_samples: int) -> Dat
         table.withColumn("core", _nth_distance(min_samples - 1))
         .withColumn("spread", _nth_distance(neighbours - 1))
         .join(reached, "point")
-        .select("point", *features.cols, "rows", F.least("core", "reached").alias("score"), "spread")
+        .select("point", *map(name, features.cols), "rows", F.least("core", "reached").alias("score"), "spread")
     )
     if points == features.n:
-        rows = scored.withColumnRenamed("point", features.id_col).select(*scaled.df.columns, "score", "spread")
+        rows = scored.withColumnRenamed("point", features.id_col).select(*map(name, scaled.df.columns), "score", "spread")
     else:
         table = stage(scored.drop("point"), "dbscan-points")
-        rows = lookup_join(scaled.df, table, features.cols, points, features.n, "rows", F.col(features.id_col))
-        rows = rows.select(*scaled.df.columns, "score", "spread")
-    digits = [F.round(c, SCORE_DIGITS).alias(c) for c in ("score", "spread")]
-    return stage(rows.select(*scaled.df.columns, *digits), "dbscan")
+        rows = lookup_join(scaled.df, table, features.cols, points, features.n, "rows", F.col(name(features.id_col)))
+    # scaling leaves its own noise in the last bits, and equal distances must tie
+    tied = [F.expr(significant(c)).alias(c) for c in ("score", "spread")]
+    return stage(rows.select(*map(name, scaled.df.columns), *tied), "dbscan")
 
 
+@any_id
 def dbscan(
     features: Features,
     contamination: float,

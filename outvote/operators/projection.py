@@ -13,6 +13,7 @@ from outvote.functions import kernels
 from outvote.functions.frame import Features
 from outvote.functions.moments import covariance
 from outvote.functions.sampling import first_by_key, sample_key
+from outvote.functions.text import name
 from outvote.staging import stage
 
 # fixed values: sample sizes by table size, density grid, fewest inliers for a density
@@ -46,7 +47,7 @@ class Components:
         for axis in range(dim):
             total = F.lit(0.0)
             for c, m, w in zip(self.cols, self.mean, self.axes[axis]):
-                total = total + (F.col(c) - F.lit(float(m))) * F.lit(float(w))
+                total = total + (F.col(name(c)) - F.lit(float(m))) * F.lit(float(w))
             out.append(total.alias(f"pc{axis + 1}"))
         return out
 

@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from outvote.functions.arrow import map_in_arrow
 from outvote.functions import kernels, parameters
 from outvote.functions.frame import Features
 from outvote.functions.moments import chi2_quantile, covariance, moments, with_quadratic_form
 from outvote.functions.sampling import row_sample
 from outvote.functions.selection import flag_top, order_statistics
+from outvote.functions.text import significant
 from outvote.operators.knn_join import distinct_points
-from outvote.operators.statistical import SCORE_DIGITS, max_abs_z
+from outvote.operators.statistical import max_abs_z
 from outvote.staging import stage
 
 STARTS = 64
@@ -173,7 +175,7 @@ def _none_flagged(features: Features) -> DataFrame:
 
 def _flag_distances(features: Features, scatter: Scatter, contamination: float, all_features: Features) -> DataFrame:
     scored = with_quadratic_form(all_features.df, features.cols, scatter.location, scatter.inverse, "score")
-    return flag_top(scored.withColumn("score", F.round("score", SCORE_DIGITS)), contamination, features.n)
+    return flag_top(scored.withColumn("score", F.expr(significant("score"))), contamination, features.n)
 
 
 def mean_distance_scores(features: Features, seed: int = 0) -> DataFrame:
@@ -200,7 +202,7 @@ def mean_distance_scores(features: Features, seed: int = 0) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
 
     schema = T.StructType([*features.df.schema.fields, T.StructField("score", T.DoubleType())])
-    return features.spread().mapInArrow(measure, schema).withColumn("score", F.round("score", SCORE_DIGITS))
+    return map_in_arrow(features.spread(), measure, schema).withColumn("score", F.expr(significant("score")))
 
 
 def mean_distance(features: Features, contamination: float, seed: int = 0) -> DataFrame:

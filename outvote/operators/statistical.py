@@ -12,12 +12,9 @@ from outvote.functions.frame import Features
 from outvote.functions.lookup import lookup_join
 from outvote.functions.ranks import cumulative_counts
 from outvote.functions.selection import flag_top, order_statistics
-from outvote.functions.text import name, number
+from outvote.functions.text import name, number, significant
 from outvote.staging import stage
 
-# Summed scores are rounded before flags are taken, so that equal sums added in a
-# different order still tie.
-SCORE_DIGITS = 9
 # Distinct values, over all features together, whose look-up tables may be broadcast.
 BROADCAST_VALUES = 1_000_000
 # Above this many features, value look-ups share one join.
@@ -42,8 +39,7 @@ def absolute_z(features: Features, guarded: bool = True) -> list[str]:
 
 
 def zscore_scores(features: Features, guarded: bool = True) -> DataFrame:
-    score = f"round({largest(absolute_z(features, guarded))}, {SCORE_DIGITS})"
-    return features.df.withColumn("score", F.expr(score))
+    return features.df.withColumn("score", F.expr(largest(absolute_z(features, guarded))))
 
 
 def zscore(features: Features, contamination: float, seed: int = 0) -> DataFrame:
@@ -106,8 +102,8 @@ def hbos_scores(features: Features, own_bin: bool = False) -> DataFrame:
             past_edge = f"if({name(c)} > {number(low)} + {bin_} * {number(step)}, 1, 0)"
             bin_ = f"least({bin_} + {past_edge}, {bins - 1})"
         terms.append(f"get(array({', '.join(map(number, costs))}), {bin_})")
-    total = F.expr(f"round({' + '.join(terms)}, {SCORE_DIGITS}) as score")
-    return _with_bins(features, bins).select(*features.df.columns, total)
+    scored = _with_bins(features, bins).select(*map(name, features.df.columns), F.expr(f"{' + '.join(terms)} as score"))
+    return scored.withColumn("score", F.expr(significant("score")))
 
 
 def hbos(features: Features, contamination: float, seed: int = 0, own_bin: bool = False) -> DataFrame:
@@ -129,14 +125,14 @@ def _tail_total(features: Features, tail: str, wide_features: int = WIDE_FEATURE
         joined = lookup_join(exploded, tails, ["f", "v"], sum(distinct.values()), rows, "__uses", F.col(key))
         return features.df.join(joined.groupBy(key).agg(F.sum("t").alias("total")), key)
     rows = features.df
-    spread = F.col(features.id_col) if features.id_col else F.monotonically_increasing_id()
+    spread = F.col(name(features.id_col)) if features.id_col else F.monotonically_increasing_id()
     budget = BROADCAST_VALUES
     for i, c in sorted(enumerate(features.cols), key=lambda f: distinct[f[0]]):
         tails = table.filter(f"f = {i}").selectExpr(f"v as {name(c)}", f"{tail} as __t{i}", "cnt as __uses")
         rows = lookup_join(rows, tails, c, distinct[i], features.n, "__uses", spread, broadcast_rows=budget)
         budget -= distinct[i] if distinct[i] <= budget else 0
     total = " + ".join(f"__t{i}" for i in range(features.d))
-    return rows.select(*features.df.columns, F.expr(f"{total} as total"))
+    return rows.select(*map(name, features.df.columns), F.expr(f"{total} as total"))
 
 
 def copod_scores(features: Features, **limits) -> DataFrame:
@@ -144,7 +140,7 @@ def copod_scores(features: Features, **limits) -> DataFrame:
     above = number(features.n + 1.0)
     f, eps = f"(cum - (cnt - 1) / 2D) / {above}", f"1D / {above}"
     rows = _tail_total(features, f"greatest(-ln({f} + {eps}), -ln(1D - {f} + {eps}))", **limits)
-    return stage(rows.select(*features.df.columns, F.round("total", SCORE_DIGITS).alias("raw_score")), "copod")
+    return stage(rows.select(*map(name, features.df.columns), F.expr(significant("total")).alias("raw_score")), "copod")
 
 
 def _median(df: DataFrame, col: str, n: int) -> float:
@@ -159,16 +155,16 @@ def copod(features: Features, contamination: float, seed: int = 0) -> DataFrame:
     median = _median(raw, "raw_score", n)
     mad = _median(raw.select(F.abs(F.col("raw_score") - F.lit(median)).alias("gap")), "gap", n) or 1.0
     flagged = flag_top(raw, contamination, n, "raw_score")
-    score = F.round((F.col("raw_score") - F.lit(median)) / F.lit(mad), SCORE_DIGITS)
-    return flagged.select(*features.df.columns, score.alias("score"), "is_outlier")
+    score = (F.col("raw_score") - F.lit(median)) / F.lit(mad)
+    return flagged.select(*map(name, features.df.columns), score.alias("score"), "is_outlier")
 
 
 def ecod_scores(features: Features, **limits) -> DataFrame:
     """exp of the mean over features of -ln(min(F, 1 - F) + 1e-10), F = share of values <= x."""
     f = f"cum / {number(features.n)}"
     rows = _tail_total(features, f"-ln(least({f}, 1D - {f}) + 1e-10D)", **limits)
-    score = f"round(exp(round(total / {number(features.d)}, {SCORE_DIGITS})), {SCORE_DIGITS}) as score"
-    return stage(rows.select(*features.df.columns, F.expr(score)), "ecod")
+    score = f"exp({significant(f'total / {number(features.d)}')}) as score"
+    return stage(rows.select(*map(name, features.df.columns), F.expr(score)), "ecod")
 
 
 def ecod(features: Features, contamination: float, seed: int = 0) -> DataFrame:

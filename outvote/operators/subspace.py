@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from outvote.functions.arrow import map_in_arrow
 from outvote.functions import kernels, parameters
 from outvote.functions.frame import Features
 from outvote.functions.selection import flag_top
+from outvote.functions.text import significant
 from outvote.operators.forest import per_round_samples
-from outvote.operators.statistical import SCORE_DIGITS
 from outvote.staging import stage
 
 TRAIN_ROWS = 256  # fixed value: rows each round measures distances to
@@ -52,7 +53,7 @@ def inne_scores(
             yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, "score"])
 
     schema = T.StructType([*features.df.schema.fields, T.StructField("score", T.DoubleType())])
-    return features.spread().mapInArrow(measure, schema).withColumn("score", F.round("score", SCORE_DIGITS))
+    return map_in_arrow(features.spread(), measure, schema).withColumn("score", F.expr(significant("score")))
 
 
 def inne(

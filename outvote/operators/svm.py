@@ -23,9 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from outvote.functions.arrow import map_in_arrow
 from outvote.functions import kernels
 from outvote.functions.frame import Features
 from outvote.functions.sampling import row_sample, sample_key
+from outvote.functions.selection import order_statistics
+from outvote.functions.text import name
 from outvote.staging import stage
 
 COSINES = 256
@@ -136,7 +139,7 @@ def _train_in_passes(features: Features, phi: CosineMap, grid: list[tuple[int, f
             yield pa.RecordBatch.from_pydict({"cell": pa.array(np.arange(size), pa.int32()), "v": total})
 
         out = np.zeros(size)
-        cells = df.mapInArrow(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v"))
+        cells = map_in_arrow(df, run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v"))
         for row in cells.collect():
             out[row["cell"]] = row["v"]
         return out
@@ -209,12 +212,14 @@ def decisions(features: Features, seed: int = 0, in_passes: bool | None = None)
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "value"])
 
     schema = T.StructType([*features.df.schema.fields, T.StructField("value", T.ArrayType(T.DoubleType()))])
-    values = stage(features.spread().mapInArrow(project, schema), "svm-values")
-    # rho is the nu quantile of the values: the share nu of the rows lies outside
-    sketches = [F.percentile_approx(F.col("value")[c], nu, 100_000).alias(f"r{c}") for c, (_, nu) in enumerate(layout)]
-    rho = values.agg(*sketches).first()
-    shifted = F.array(*[F.col("value")[c] - F.lit(rho[f"r{c}"]) for c in range(len(layout))])
-    return values.select(*features.df.columns, shifted.alias("decision")), grid
+    values = stage(map_in_arrow(features.spread(), project, schema), "svm-values")
+    # rho is the nu quantile of the values, exactly: the share nu of the rows lies outside
+    rho = []
+    for c, (_, nu) in enumerate(layout):
+        rank = max(0, math.ceil(nu * features.n) - 1)
+        rho += order_statistics(values.select(F.col("value")[c].alias("v")), "v", [rank], features.n)
+    shifted = F.array(*[F.col("value")[c] - F.lit(r) for c, r in enumerate(rho)])
+    return values.select(*map(name, features.df.columns), shifted.alias("decision")), grid
 
 
 def _shape_scores(inl: np.ndarray, out: np.ndarray, n_in: int, n_out: int, data_std: float) -> tuple:
@@ -265,16 +270,16 @@ def candidate_scores(features: Features, decided: DataFrame, grid: list[Candidat
     limits = F.create_map(*[F.lit(v) for (c, o), s in share.items() for v in (f"{c}{o}", f"{int(s * 2**32):08x}" if s < 1 else "g")])
     wanted = F.array(*[F.struct(F.lit(c).alias("c"), (F.col("decision")[c] < 0).alias("o")) for c in kept])
     sides = (
-        decided.select(id_col, "decision", *features.scaled_columns())
+        decided.select(name(id_col), "decision", *features.scaled_columns())
         .withColumn("key", sample_key(id_col, seed))
         .withColumn("s", F.explode(wanted))
         .withColumn("limit", limits[F.concat(F.col("s.c").cast("string"), F.when(F.col("s.o"), "True").otherwise("False"))])
         .filter(F.col("key") < F.col("limit"))
-        .select(F.col("s.c").alias("c"), F.col("s.o").alias("o"), "key", *features.cols)
+        .select(F.col("s.c").alias("c"), F.col("s.o").alias("o"), "key", *(F.col(name(c)).alias(f"x{i}") for i, c in enumerate(features.cols)))
     )
     place = Window.partitionBy("c", "o").orderBy("key")
     sampled = sides.withColumn("at", F.row_number().over(place)).filter(F.col("at") <= SIDE_SAMPLE).drop("at", "key")
-    p, cols = features.profile, features.cols
+    p, cols = features.profile, [f"x{i}" for i in range(features.d)]
     data_std = math.sqrt(np.mean(p.std > 0))
     sizes = {c: (n - r["k"], r["k"]) for c, r in kept.items()}
 

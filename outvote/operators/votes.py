@@ -36,10 +36,10 @@ def check_threshold(threshold: int | None, n_detectors: int) -> int:
     if threshold is None:
         return default_threshold(n_detectors)
     if threshold < 1:
-        raise ValueError("Consensus threshold must be at least 1.")
+        raise ValueError("a row needs at least one vote: threshold >= 1")
     if threshold > n_detectors:
         raise ValueError(
-            f"Consensus threshold ({threshold}) cannot exceed the number of algorithms ({n_detectors})."
+            f"no row can get {threshold} votes from {n_detectors} detectors"
         )
     return threshold
 

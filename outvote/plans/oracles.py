@@ -61,10 +61,15 @@ def scaled_source(name: str) -> tuple[str, list[str], str]:
     return key, cols, f"raw as ({sql}), st as (select {stats} from raw), f as (select {key}, {parts} from raw, st), c as (select count(*) as n from f)"
 
 
+def significant(x: str) -> str:
+    """Equal sums must tie in any order of adding, so sums are compared by 40 of their bits
+    (a number less a multiple of itself), at any scale."""
+    return f"(({x}) * cast(8193 as double) - (({x}) * cast(8193 as double) - ({x})))"
+
+
 def shown(score: str) -> str:
-    """Six digits of a score that has nine. In decimals, because a nine-digit score can end
-    in exactly half a unit of the sixth."""
-    return f"cast(round(cast({score} as decimal(30, 9)), 6) as double)"
+    """Six digits of a score: rounded where it is shown, and nowhere before."""
+    return f"round({score}, 6)"
 
 
 def flag_tail(columns: str, scored: str = "s") -> str:
@@ -91,7 +96,7 @@ def zscore_ctes(name: str, p: str, guarded: bool = True) -> tuple[str, str]:
     else:
         terms = [f"case when s_{x} = 0 then 0 else abs(({x} - m_{x}) / s_{x}) end" for x in cols]
     score = terms[0] if len(terms) == 1 else f"greatest({', '.join(terms)})"
-    return f"{p}st as (select {stats} from f), {p}s as (select f.*, round({score}, 9) as score from f, {p}st)", f"{p}s"
+    return f"{p}st as (select {stats} from f), {p}s as (select f.*, {score} as score from f, {p}st)", f"{p}s"
 
 
 def hbos_ctes(name: str, p: str, own_bin: bool = False) -> tuple[str, str]:
@@ -124,7 +129,7 @@ def hbos_ctes(name: str, p: str, own_bin: bool = False) -> tuple[str, str]:
         f"join {p}v{i} v{i} on v{i}.v = r.{x} join {p}h{i} h{i} on h{i}.bin = v{i}.{'own' if own_bin else 'nxt'}"
         for i, x in enumerate(cols)
     )
-    parts.append(f"{p}s as (select r.*, round({' + '.join(terms)}, 9) as score from {p}r r {joins})")
+    parts.append(f"{p}s as (select r.*, {significant(' + '.join(terms))} as score from {p}r r {joins})")
     return ", ".join(parts), f"{p}s"
 
 
@@ -138,10 +143,10 @@ def copod_ctes(name: str, p: str) -> tuple[str, str]:
     )
     return (
         f"{p}r as (select f.*, n, {ranks} from f, c), "
-        f"{p}t as (select *, round({total}, 9) as raw from {p}r), "
+        f"{p}t as (select *, {significant(total)} as raw from {p}r), "
         f"{p}m as (select median(raw) as med from {p}t), "
         f"{p}a as (select median(abs(raw - med)) as mad from {p}t, {p}m), "
-        f"{p}s as (select * exclude (n), round((raw - med) / case when mad = 0 then 1 else mad end, 9) as score from {p}t, {p}m, {p}a)",
+        f"{p}s as (select * exclude (n), (raw - med) / case when mad = 0 then 1 else mad end as score from {p}t, {p}m, {p}a)",
         f"{p}s",
     )
 
@@ -152,7 +157,7 @@ def ecod_ctes(name: str, p: str) -> tuple[str, str]:
     mean = " + ".join(f"-ln(least(f_{x}, 1 - f_{x}) + 1e-10)" for x in cols)
     return (
         f"{p}r as (select f.*, {ranks} from f), "
-        f"{p}s as (select *, round(exp(round(({mean}) / {len(cols)}.0, 9)), 9) as score from {p}r)",
+        f"{p}s as (select *, exp({significant(f'({mean}) / {len(cols)}.0')}) as score from {p}r)",
         f"{p}s",
     )
 
@@ -169,10 +174,10 @@ KNN_K = "least(n, greatest(least(n, 20), least(40, cast(floor(ln(n) * 2) as int)
 LOF_K = "least(n - 1, greatest(least(n, 20), least(50, cast(floor(ln(n) * 3) as int))))"
 
 
-def ranked_pairs(key: str, cols: list[str], digits: int | None = None) -> str:
+def ranked_pairs(key: str, cols: list[str], tied: bool = False) -> str:
     """CTEs: `p` = rows with the smallest id among equal rows, `o` = other rows by rank."""
     dist = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in cols)
-    dist = f"sqrt({dist})" if digits is None else f"round(sqrt({dist}), {digits})"
+    dist = significant(f"sqrt({dist})") if tied else f"sqrt({dist})"
     return (
         f"p as (select {key} as id, {', '.join(cols)}, min({key}) over (partition by {', '.join(cols)}) as rep from f), "
         f"d as (select a.id, b.id as nid, b.rep as nrep, {dist} as dist from p a join p b on a.id <> b.id), "
@@ -184,7 +189,7 @@ def knn(name: str, k: str = KNN_K) -> str:
     key, cols, base = source(name)
     return (
         f"with {base}, {ranked_pairs(key, cols)}, "
-        f"s as (select id as {key}, round(dist, 9) as score from o, c where r = {k} - 1) {flag_tail(key)}"
+        f"s as (select id as {key}, dist as score from o, c where r = {k} - 1) {flag_tail(key)}"
     )
 
 
@@ -194,7 +199,7 @@ def lof(name: str) -> str:
       kd as (select id, dist as kdist from o, k where r = k),
       lrd as (select o.id, 1 / (avg(greatest(o.dist, kd.kdist)) + 1e-10) as lrd
               from o join kd on kd.id = o.nid, k where r <= k group by o.id),
-      s as (select o.id as {key}, round(avg(b.lrd) / max(a.lrd), 9) as score
+      s as (select o.id as {key}, {significant('avg(b.lrd) / max(a.lrd)')} as score
             from o join lrd b on b.id = o.nid join lrd a on a.id = o.id, k where r <= k group by o.id)
       {flag_tail(key)}"""
 
@@ -205,7 +210,7 @@ def dbscan(name: str) -> str:
     radii = " union all ".join(
         f"select {i} as i, quantile_cont(dist, {q}) as eps from kd" for i, q in enumerate((0.80, 0.85, 0.90, 0.95, 0.98), 1)
     )
-    return f"""with {base}, {ranked_pairs(key, cols, 9)},
+    return f"""with {base}, {ranked_pairs(key, cols, True)},
       h as (select greatest(20, least(50, cast(floor(sqrt(n)) as int))) as nn,
                    greatest(5, least(20, cast(floor(n * 0.005) as int))) as ms from c),
       kd as (select id, dist from o, h where r = nn - 1),
@@ -245,13 +250,13 @@ def inne(name: str) -> str:
       d as ({' union all '.join(parts)}),
       o as (select *, row_number() over (partition by i, id order by dist) as r from d),
       m as (select i, id, avg(dist) as m from o, c where r <= greatest(1, least(10, cast(floor(ln(n)) as int))) group by i, id),
-      s as (select id as {key}, round(avg(m), 9) as score from m group by id) {flag_tail(key)}"""
+      s as (select id as {key}, {significant('avg(m)')} as score from m group by id) {flag_tail(key)}"""
 
 
 def mean_distance(name: str) -> str:
     key, cols, base = source(name)
     dist = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in cols)
-    return f"with {base}, s as (select a.{key}, round(avg(sqrt({dist})), 9) as score from f a, f b group by a.{key}) {flag_tail(key)}"
+    return f"with {base}, s as (select a.{key}, {significant(f'avg(sqrt({dist}))')} as score from f a, f b group by a.{key}) {flag_tail(key)}"
 
 
 def robust_2d(name: str, support: str, steps: int) -> str:
@@ -283,7 +288,7 @@ def robust_2d(name: str, support: str, steps: int) -> str:
     parts.append("corr as (select median(dist) / (-2 * ln(0.5)) as q from raw)")
     parts.append(fit("last", "(select raw.* from raw, corr where dist / q < -2 * ln(0.025))"))
     parts.append(dist("fin", "last"))
-    parts.append(f"s as (select {key}, round(dist, 9) as score from fin)")
+    parts.append(f"s as (select {key}, {significant('dist')} as score from fin)")
     return f"with {base}, {', '.join(parts)} {flag_tail(key)}"
 
 

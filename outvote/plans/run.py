@@ -46,6 +46,7 @@ DETECTORS: dict[str, Detector] = {
 
 def check_contamination(contamination: float) -> float:
     if contamination < 0 or contamination > 0.5:
+        # fixed value: callers match this text
         raise ValueError("Contamination must be between 0.0 and 0.5")
     return contamination
 
@@ -54,7 +55,8 @@ def check_detectors(names: list[str] | None) -> list[str]:
     names = list(names) if names else list(DETECTORS)
     invalid = [n for n in names if n not in DETECTORS]
     if invalid:
-        raise ValueError(f"Invalid algorithm(s): {invalid}. Available algorithms: {list(DETECTORS)}")
+        # fixed value: callers match the first two words
+        raise ValueError(f"Invalid algorithm(s): {invalid}; known are {', '.join(DETECTORS)}")
     return names
 
 

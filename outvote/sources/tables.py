@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from outvote.functions.text import name
+
 # fixed values: texts read as missing
 NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -17,19 +19,22 @@ NUMBER = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|[iI][nN][fF](
 def read_csv(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, **options) -> DataFrame:
     """A headed CSV with numeric columns as doubles and the rest as text.
 
+    A quote inside a quoted field is doubled. Pass multiLine=True for fields with line breaks;
+    files can't be split then.
+
     Types are not left to schema inference: there one literal NA turns a numeric column
     into text. A column is numeric when each of its non-missing values is a number, which
     one aggregation over the (selected) columns decides."""
     from outvote.operators.clean import select_columns
 
-    raw = spark.read.options(**{"header": True, "nullValue": "", **options}).csv(path)
+    raw = spark.read.options(**{"header": True, "nullValue": "", "escape": '"', **options}).csv(path)
     raw = select_columns(raw, columns)
     names = raw.columns
-    text = raw.select(*[F.when(~F.col(f"`{c}`").isin(NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in names])
-    odd = text.agg(*[F.count(F.when(~F.col(f"`{c}`").rlike(NUMBER), 1)).alias(f"c{i}") for i, c in enumerate(names)]).first()
+    text = raw.select(*[F.when(~F.col(name(c)).isin(NA_TOKENS), F.col(name(c))).alias(c) for c in names])
+    odd = text.agg(*[F.count(F.when(~F.col(name(c)).rlike(NUMBER), 1)).alias(f"c{i}") for i, c in enumerate(names)]).first()
     return text.select(
         *[
-            F.trim(F.col(f"`{c}`")).try_cast("double").alias(c) if odd[f"c{i}"] == 0 else F.col(f"`{c}`")
+            F.trim(F.col(name(c))).try_cast("double").alias(c) if odd[f"c{i}"] == 0 else F.col(name(c))
             for i, c in enumerate(names)
         ]
     )
@@ -57,4 +62,4 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
 
 def write_report(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> dict[str, str]:
     """One sub-folder per report table."""
-    return {name: write_table(df, f"{folder.rstrip('/')}/{name}", fmt) for name, df in tables.items()}
+    return {k: write_table(df, f"{folder.rstrip('/')}/{k}", fmt) for k, df in tables.items()}

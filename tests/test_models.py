@@ -152,12 +152,12 @@ def test_fallbacks(frame, mask, scores):
     rng = np.random.default_rng(6)
     base = rng.standard_normal((60, 2))
     collinear = np.column_stack([base[:, 0], base[:, 0] * 2, base[:, 1]])
-    expected = shapes.distances(collinear).mean(axis=1).round(9)
+    expected = shapes.tied(shapes.distances(collinear).mean(axis=1))
     flagged = robust.elliptic(frame(collinear), 0.1).cache()
     assert np.allclose(scores(flagged), expected, atol=2e-9)
     assert (mask(flagged) == shapes.top(expected, 0.1)).all()
     wide = rng.standard_normal((4, 6))
-    z = np.abs((wide - wide.mean(axis=0)) / wide.std(axis=0)).max(axis=1).round(9)
+    z = np.abs((wide - wide.mean(axis=0)) / wide.std(axis=0)).max(axis=1)
     assert np.allclose(scores(robust.mcd(frame(wide), 0.25)), z)
     assert np.allclose(scores(robust.elliptic(frame(wide), 0.25)), shapes.distances(wide).mean(axis=1), atol=2e-9)
     equal = frame(np.tile([1.0, 2.0], (50, 1)))
