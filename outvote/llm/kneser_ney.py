@@ -8,6 +8,8 @@ what tells the classes apart is what one of them has more of."""
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,20 +24,45 @@ UNIFORM = 1 / 256
 #: Longer runs are cut into expressions of this length.
 LONGEST = 64
 
+
 #: Letters, digits and all that is not ASCII.
 INSIDE = np.zeros(256, bool)
 INSIDE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 BEGIN, END = 0x01, 0x02
 
 
+#: Bits that are left out of a hash as a key: 48 remain, which a million keys hardly ever share.
+SHORTER = np.uint64(16)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then all second ones, and so on, compressed."""
+    return zlib.compress(np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes(), 1)
+
+
+def _from_planes(data: bytes, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
+
+
 @dataclass
 class Table:
-    """Values by sorted 64-bit keys; 0 for a key that is not there."""
+    """Values by sorted keys; 0 for a key that is not there. Packed, it takes a few bytes a
+    key, as it goes to every executor."""
 
     keys: np.ndarray
     values: np.ndarray
 
+    def packed(self) -> tuple[bytes, bytes, tuple[int, ...]]:
+        return _planes(np.diff(self.keys, prepend=np.uint64(0))), _planes(self.values), self.values.shape
+
+    @staticmethod
+    def unpacked(steps: bytes, values: bytes, shape: tuple[int, ...]) -> Table:
+        keys = np.cumsum(_from_planes(steps, np.uint64), dtype=np.uint64)
+        return Table(keys, _from_planes(values, np.uint32).reshape(shape))
+
     def get(self, wanted: np.ndarray) -> np.ndarray:
+        wanted = wanted >> SHORTER
         if not len(self.keys):
             return np.zeros((len(wanted), *self.values.shape[1:]), self.values.dtype)
         order = np.argsort(wanted)  # in order, look-ups stay in the cache
@@ -56,16 +83,22 @@ def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ordered[new], order[new], sums
 
 
+def _compact(keys: np.ndarray, values: np.ndarray) -> Table:
+    """Counts of texts in a bounded sample, as whole numbers. keys: sorted hashes."""
+    keys = keys >> SHORTER
+    new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+    return Table(keys[new], np.ascontiguousarray(values[new].astype(np.uint32)))
+
+
 def spans_of(texts: Texts) -> Words:
     """The expressions of each text."""
     inside = INSIDE[texts.data]
     edges = np.zeros(len(inside) + 1, bool)
     edges[texts.bounds] = True
-    begins = inside & ~np.concatenate(([False], inside[:-1]) if len(inside) else ([],))
-    begins |= inside & edges[:-1]
-    ends = inside & ~np.concatenate((inside[1:], [False]) if len(inside) else ([],))
-    ends |= inside & edges[1:]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    begins, finishes = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | edges[1:-1]
+    finishes[:-1] &= ~inside[1:] | edges[1:-1]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
     pieces = -(-(ends - starts) // LONGEST)
     if (pieces > 1).any():
         nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -104,10 +137,10 @@ class Models:
         full = np.maximum(start, place - order + 1)
         gram, context = span_hashes(data, full, place + 1), span_hashes(data, full, place)
         keys, first, sums = _summed(gram, counts[word].astype(np.float32))
-        self.top = Table(keys, sums)
+        self.top = _compact(keys, sums)
         own = np.concatenate((sums, (sums > 0).astype(np.float32)), axis=1)
         keys, _, sums = _summed(context[first], own)
-        self.top_context = Table(keys, sums)
+        self.top_context = _compact(keys, sums)
         # every string of up to `order` bytes once; each counts for the string without its first byte
         extended, followed = [], []
         for size in range(2, order + 1):
@@ -120,10 +153,21 @@ class Models:
         extended, followed = np.concatenate(extended), np.concatenate(followed)
         ones = np.ones((len(extended), 1), np.float32)
         keys, first, sums = _summed(extended, ones)
-        self.shared = Table(keys, sums[:, 0])
+        self.shared = _compact(keys, sums[:, 0])
         own = np.concatenate((sums, np.ones_like(sums)), axis=1)
         keys, _, sums = _summed(followed[first], own)
-        self.shared_context = Table(keys, sums)
+        self.shared_context = _compact(keys, sums)
+
+    def packed(self) -> bytes:
+        tables = (self.top, self.top_context, self.shared, self.shared_context)
+        return pickle.dumps((self.order, [t.packed() for t in tables]))
+
+    @staticmethod
+    def unpacked(data: bytes) -> Models:
+        made = Models.__new__(Models)
+        made.order, tables = pickle.loads(data)
+        made.top, made.top_context, made.shared, made.shared_context = (Table.unpacked(*t) for t in tables)
+        return made
 
     def ratios(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """log P(expression | class 1) - log P(expression | class 0) of data[starts[j]:ends[j]]."""
@@ -135,15 +179,15 @@ class Models:
             # the longest context has the class counts instead
             held = np.flatnonzero(place - size >= start)
             begin = place[held] - size + 1
-            seen = self.shared.get(span_hashes(data, begin, place[held] + 1))
-            total, kinds = self.shared_context.get(span_hashes(data, begin, place[held])).T
+            seen = self.shared.get(span_hashes(data, begin, place[held] + 1)).astype(float)
+            total, kinds = self.shared_context.get(span_hashes(data, begin, place[held])).T.astype(float)
             known = total > 0
             total = np.where(known, total, 1)
             p = np.maximum(seen - DISCOUNT, 0) / total + DISCOUNT * kinds / total * backoff[held]
             backoff[held] = np.where(known, p, backoff[held])
         full = np.maximum(start, place - self.order + 1)
-        seen = self.top.get(span_hashes(data, full, place + 1))
-        context = self.top_context.get(span_hashes(data, full, place))
+        seen = self.top.get(span_hashes(data, full, place + 1)).astype(float)
+        context = self.top_context.get(span_hashes(data, full, place)).astype(float)
         p = []
         for k in (0, 1):
             total = np.where(context[:, k] > 0, context[:, k], 1)

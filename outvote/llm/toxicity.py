@@ -8,7 +8,8 @@ fitted on scores by models that have not seen the text (two folds).
 
 The models are fitted on a bounded sample: TOXIC_ROWS and ORDINARY_ROWS labelled documents,
 those with the least md5 of their id; the curve weighs them by their class's true share.
-The models' tables (some 50 MB at that size) are broadcast; every document is scored whole.
+Each of the three models is built by one task from the counts of that sample; their tables
+(some 10 MB, packed) are broadcast, and every document is scored whole.
 
 Nulls and ties: a null or empty text has no expressions and gets the curve's value for
 that; a null id counts as empty text and is not held out; labels other than 0 and 1 are
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from outvote.functions.arrow import map_in_arrow
 from outvote.llm.columns import named, needed, others
 from outvote.llm.kneser_ney import Models, spans_of
 from outvote.llm.text_arrays import Texts, chunked, span_hashes, texts_of
@@ -165,29 +167,32 @@ def training_texts(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame,
     return stage(texts.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")), "toxic-sample"), totals
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> tuple[Models, Curve] | None:
-    """documents: doc_id, text. labels: doc_id, toxic."""
+def _build(rows: pa.Table) -> pa.Table:
+    """The packed models of one group of rows (model, word, toxic, count); null without both classes."""
+    words = rows.column("word").combine_chunks().dictionary_encode()
+    toxic = rows.column("toxic").to_numpy()
+    counts = np.zeros((len(words.dictionary), 2))
+    np.add.at(counts, (words.indices.to_numpy(zero_copy_only=False), toxic), rows.column("count").to_numpy())
+    made = Models(words.dictionary.to_pylist(), counts).packed() if counts.any(0).all() else None
+    return pa.table({"model": pa.array([rows.column("model")[0].as_py()], pa.int32()), "packed": pa.array([made], pa.binary())})
+
+
+def fit(documents: DataFrame, labels: DataFrame) -> tuple[bytes, Curve] | None:
+    """documents: doc_id, text. labels: doc_id, toxic. Returns packed models and the curve."""
     spark = documents.sparkSession
     texts, totals = training_texts(documents, labels)
     counted = texts.mapInArrow(_expressions, "word binary, toxic int, fold int").groupBy("word", "toxic", "fold").count()
-    rows = counted.toArrow()  # bounded by the sample
-    words = rows.column("word").combine_chunks().dictionary_encode()
-    number = words.indices.to_numpy(zero_copy_only=False)
-    vocabulary = words.dictionary.to_pylist()
-    toxic, fold, n = (rows.column(c).to_numpy() for c in ("toxic", "fold", "count"))
-    if len(set(toxic.tolist())) < 2:
+    # models 0 and 1 have not seen their fold, 2 has seen all; each is bounded by the sample
+    of_fold = F.when(F.col("fold") == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(2)))
+    rows = counted.select(F.explode(of_fold).alias("model"), "word", "toxic", "count")
+    built = {r["model"]: r["packed"] for r in rows.groupBy("model").applyInArrow(_build, "model int, packed binary").collect()}
+    if not built.get(2):
         return None
-
-    def counts(of: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        made = np.zeros((len(vocabulary), 2))
-        np.add.at(made, (number[of], toxic[of]), n[of])
-        kept = np.flatnonzero(made.any(1))
-        return [vocabulary[i] for i in kept], made[kept]
-
-    apart = spark.sparkContext.broadcast([Models(*counts(fold != f)) for f in (0, 1)])
+    # a fold without one of the classes tells nothing
+    apart = spark.sparkContext.broadcast([bytes(built.get(f) or built[2]) for f in (0, 1)])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        describers = [Describer(m) for m in apart.value]
+        describers = [Describer(Models.unpacked(m)) for m in apart.value]
         for batch in chunked(batches):
             own = batch.column("fold").to_numpy()
             both = [d(_lower(batch.column("text"))) for d in describers]
@@ -197,12 +202,12 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[Models, Curve] | None:
 
     schema = "toxic int, " + ", ".join(f"f{k} double" for k in range(FEATURES))
     described = texts.mapInArrow(describe, schema).toPandas()  # a row for each of the sample
-    apart.unpersist()
+    apart.destroy()
     label = described["toxic"].to_numpy()
     share = np.array([totals[k] / max(1, int((label == k).sum())) for k in (0, 1)])
     weight = share[label] * len(label) / sum(totals.values())
     features = described[[f"f{k}" for k in range(FEATURES)]].to_numpy()
-    return Models(*counts(np.ones(len(n), bool))), fit_curve(features, label, weight)
+    return bytes(built[2]), fit_curve(features, label, weight)
 
 
 def score(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,13 +221,13 @@ def score(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         shipped = documents.sparkSession.sparkContext.broadcast(fitted)
 
         def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            models, curve = shipped.value
-            describer = Describer(models)
+            packed, curve = shipped.value
+            describer = Describer(Models.unpacked(packed))
             for batch in chunked(batches, text_col):
                 values = curve(describer(_lower(batch.column(text_col))))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, "score"])
 
-        scored = rows.mapInArrow(rate, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+        scored = map_in_arrow(rows, rate, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
     return scored.select(
         *map(named, rows.columns),
         held_out(named(id_col)).alias("held_out"),
