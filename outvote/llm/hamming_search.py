@@ -126,7 +126,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         probes = searching.select("query", _segments().alias("segment")).withColumn("value", _segment("query"))
         probes = probes.withColumn("flip", F.explode(_flips(radius)))
         probes = probes.select("query", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
-        hits = probes.join(index, ["segment", "value"]).select("query", "codes", "least")
+        # Spark takes the look-ups for as few as the queries; they must not be broadcast
+        hits = probes.hint("merge").join(index, ["segment", "value"]).select("query", "codes", "least")
         found = hits.mapInArrow(_nearest_in_batch(k + 1), "query long, distance long, code long").distinct()
         pairs = F.transform("ids", lambda i: F.struct(F.col("distance"), i.alias("id")))
         found = found.join(entries, "code").select("query", pairs.alias("pairs"))
