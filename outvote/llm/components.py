@@ -18,17 +18,24 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return r["n"], r["s"]
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with their node's least neighbour m. The key is an expression, so both sides
+    shuffle for the join alone and Spark can split the edges of a node that has very many."""
+    keyed = least.select((F.col("a") + F.lit(0)).alias("__k"), "m")
+    return edges.join(keyed.hint("merge"), F.col("a") == F.col("__k")).drop("__k")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to the least node of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return _with_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours move to the least of them. Edges have a > b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _with_least(edges, least).filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
