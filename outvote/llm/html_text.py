@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from outvote.functions.arrow import map_in_arrow
 from outvote.llm.columns import others
 from outvote.llm.dom import HEADINGS, Node, Page, parse
 from outvote.llm.labelled_pages import MARK, PAGES
@@ -207,4 +208,4 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
             made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, *made], [*(f.name for f in kept), "text", "n_chars"])
 
-    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
+    return map_in_arrow(rows, run, T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))

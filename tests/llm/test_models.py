@@ -88,7 +88,7 @@ def planted(make):
 def test_held_out_toxic_documents_are_found(spark, make):
     documents, labels = planted(make)
     labelled = spark.createDataFrame(labels, "doc_id long, toxic int")
-    found = score(documents.withColumn("Score", F.lit("mine")), labelled).collect()
+    found = score(documents.withColumn("Score", F.lit("mine")).withColumn("a.b", F.lit(1)), labelled).collect()
     label = dict(labels)
     for r in found:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
@@ -174,9 +174,9 @@ def test_layouts(html, wanted):
 def test_odd_pages(spark):
     deep = "<div>" * 5000 + "deep" + "</div>" * 5000
     rows = [(1, "u", None), (1, "u", None), (None, None, ""), (2, "v", deep), (3, "w", "</p></div><b>" * 100), (4, "x", f"<article><p>{LINE * 2000}</p></article>")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("Text", F.lit("mine"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("Text", F.lit("mine")).withColumn("a.b", F.lit(1))
     found = extract(df).collect()
-    assert len(found) == 6 and found[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+    assert len(found) == 6 and found[0].asDict().keys() == {"page_id", "url", "a.b", "text", "n_chars"}
     assert all(r["n_chars"] == len(r["text"]) for r in found)
     assert max(r["n_chars"] for r in found) == len(LINE) * 2000
     assert extract(df.filter("false")).count() == 0
@@ -215,7 +215,7 @@ def test_good_documents_stay_and_junk_goes(spark):
 
 def test_quality_of_odd_rows(spark, odd, odd_rows, words, none):
     labels = spark.createDataFrame([(4, 1), (None, 1), (8, 0)], "doc_id long, quality int")
-    found = judge(odd.withColumn("KEPT", F.lit(1)), labels)
+    found = judge(odd.withColumn("KEPT", F.lit(1)).withColumn("a.b", F.lit(1)), labels)
     assert Counter((r["doc_id"], r["n_words"]) for r in found.collect()) == Counter((i, len(words(t))) for i, t in odd_rows)
     assert judge(none, labels).count() == 0
     unlabelled = judge(odd, labels.filter("false")).collect()
