@@ -40,7 +40,7 @@ END_ID = 0
 #: Tokens of a step group.
 STEP_TOKENS = 64 * 1024
 #: Pieces ranked in one task.
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 10_000
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -159,8 +159,10 @@ def pack(
     pieces = stage(token_pieces(rows, tiers[-1], path), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # one row a length
     slots, _ = _slots(plan(counts, tiers))
-    buckets = max(1, -(-max(counts.values(), default=0) // BUCKET_ROWS))
-    bucketed = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
+    # a length's buckets by its count
+    buckets = F.array(*(F.lit(max(1, -(-counts.get(n, 0) // BUCKET_ROWS))) for n in range(tiers[-1] + 1)))
+    of_length = F.get(buckets, F.col("length").cast("int"))
+    bucketed = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), of_length).cast("int"))
     sums = bucketed.groupBy("length", "__bucket").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select("length", "__bucket", F.coalesce(before, F.lit(0)).alias("__before"))
