@@ -33,7 +33,7 @@ PASSES = 2
 #: (time, rate) knots per weight, linear between: heavy sources come early, light ones late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.25), (0.5, 0.75), (1.0, 2.25)))
 #: Documents whose running totals are taken in one task.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 5_000
 
 MADE = ["size", "source_size", "target", "taken", "copies", "first_position", "positions"]
 
