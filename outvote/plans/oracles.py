@@ -80,6 +80,11 @@ def flag_tail(columns: str, scored: str = "s") -> str:
     )
 
 
+def by_name(parts_sql: str) -> str:
+    """A query over parts, its key as text."""
+    return f"select printf('part %09d', p_partkey) as part_id, score, is_outlier from ({parts_sql})"
+
+
 # ---- one CTE chain per statistical detector; each ends in a table with `score` ----
 
 
@@ -412,6 +417,10 @@ def oracle_sql() -> dict[str, str]:
         "dbscan_customers": dbscan("profile"),
         "dbscan_documents": dbscan("docs"),
         "dbscan_parts": dbscan("parts"),
+        "zscore_named_parts": by_name(statistical("parts", zscore_ctes)),
+        "knn_named_parts": by_name(knn("parts")),
+        "lof_named_parts": by_name(lof("parts")),
+        "dbscan_named_parts": by_name(dbscan("parts")),
         "inne_customers_t5": inne("profile"),
         "mean_distance_fallback": mean_distance("accounts"),
         "elliptic_2d": robust_2d("events2", "greatest(0.5, least(0.9, (n - 3.0) / n))", 3),

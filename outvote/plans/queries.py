@@ -87,6 +87,21 @@ def customer_accounts(spark: SparkSession, folder: str) -> Features:
     return C.prepare(customers.select("c_custkey", "c_acctbal", "c_nationkey"), "c_custkey")
 
 
+def parts_by_name(spark: SparkSession, folder: str) -> Features:
+    """Parts under a text id, features with dots in their names."""
+    parts = table(spark, folder, "part")
+    key = F.format_string("part %09d", "p_partkey").alias("part.id")
+    return C.prepare(parts.select(key, F.col("p_size").alias("p.size"), F.col("p_retailprice").alias("p.price")), "part.id")
+
+
+def named_parts_query(detector):
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        flagged = detector(parts_by_name(spark, folder), SHARE)
+        return flagged.select(F.col("`part.id`").alias("part_id"), F.round("score", 6).alias("score"), "is_outlier")
+
+    return run
+
+
 # ---- shared shapes ---------------------------------------------------------------
 
 
@@ -389,6 +404,10 @@ QUERIES = {
     "dbscan_customers": detector_query(customer_profile, neighbourhood.dbscan),
     "dbscan_documents": detector_query(documents_features, neighbourhood.dbscan),
     "dbscan_parts": detector_query(part_features, neighbourhood.dbscan),
+    "zscore_named_parts": named_parts_query(statistical.zscore),
+    "knn_named_parts": named_parts_query(neighbourhood.knn),
+    "lof_named_parts": named_parts_query(neighbourhood.lof),
+    "dbscan_named_parts": named_parts_query(neighbourhood.dbscan),
     "inne_customers_t5": detector_query(customer_profile, subspace.inne, rounds=5, subspaces=INNE_SUBSPACES),
     "inne_customers": detector_query(customer_profile, subspace.inne),
     "mean_distance_fallback": detector_query(customer_accounts, robust.mean_distance),
