@@ -63,7 +63,7 @@ def project(features: Features, dim: int = 2, components: Components | None = No
     """(id, pc1, pc2[, pc3])."""
     check_dimension(dim, features.d)
     components = components or Components(features)
-    ids = [features.id_col] if features.id_col else []
+    ids = [name(features.id_col)] if features.id_col else []
     return features.df.select(*ids, *components.columns(dim))
 
 
@@ -101,13 +101,23 @@ def outlier_preserving_sample(rows: DataFrame, id_col: str, target: int, seed: i
     return rows.filter(flagged).unionByName(chosen)
 
 
+def projected_rows(features: Features, flagged: DataFrame, dim: int = 2,
+                   components: Components | None = None) -> DataFrame:
+    """(id, pc1, pc2[, pc3], is_outlier) of every row."""
+    key = name(features.require_id())
+    joined = project(features, dim, components).join(flagged.select(key, "is_outlier"), features.id_col)
+    return stage(joined, "projection")
+
+
 def projection_table(features: Features, flagged: DataFrame, dim: int = 2, seed: int = 0,
                      components: Components | None = None) -> DataFrame:
     """(id, pc1, pc2[, pc3], is_outlier), sampled for display when the table is large."""
-    id_col = features.require_id()
-    joined = stage(project(features, dim, components).join(flagged.select(id_col, "is_outlier"), id_col), "projection")
+    return display_sample(features, projected_rows(features, flagged, dim, components), seed)
+
+
+def display_sample(features: Features, joined: DataFrame, seed: int = 0) -> DataFrame:
     outliers = joined.filter("is_outlier").count()
-    return outlier_preserving_sample(joined, id_col, sample_target(features.n, outliers), seed)
+    return outlier_preserving_sample(joined, features.require_id(), sample_target(features.n, outliers), seed)
 
 
 def picture_stats(features: Features, flagged: DataFrame, dim: int = 2, components: Components | None = None) -> DataFrame:

@@ -44,15 +44,18 @@ def picture_tables(run: RunResult, threshold: int | None = None, seed: int = 0)
     every = features.df.select(F.col(key).alias("row_id"))
     agreed = V.consensus_mask(every, stage(run.votes, "votes"), threshold)
     agreed = stage(agreed.select(F.col("row_id").alias(key), F.col("is_consensus").alias("is_outlier")), "consensus-mask")
+    planar = P.projected_rows(features, agreed, 2, components)
+    tables["projection_2d"] = P.display_sample(features, planar, seed)
+    if features.d >= 3:
+        tables["projection_3d"] = P.projection_table(features, agreed, 3, seed, components)
     for dim in (2, 3):
         if features.d >= dim:
-            tables[f"projection_{dim}d"] = P.projection_table(features, agreed, dim, seed, components)
             tables[f"explained_variance_{dim}d"] = P.explained_variance(features, dim, components)
-    flat = tables["projection_2d"]
+    # the sample is for display; density and hulls are of all rows
     tables["picture_stats"] = P.picture_stats(features, agreed, 2, components)
-    tables["density"] = P.hex_density(flat.filter("not is_outlier"))
-    tables["hull_inliers"] = P.convex_hull(flat.filter("not is_outlier"))
-    tables["hull_outliers"] = P.convex_hull(flat.filter("is_outlier"))
+    tables["density"] = P.hex_density(planar.filter("not is_outlier"))
+    tables["hull_inliers"] = P.convex_hull(planar.filter("not is_outlier"))
+    tables["hull_outliers"] = P.convex_hull(planar.filter("is_outlier"))
     for name, flags in run.flagged.items():
         own = flags.select(F.col("row_id").alias(key), "is_outlier")
         tables[f"projection_{name}"] = P.projection_table(features, own, 2, seed, components)
