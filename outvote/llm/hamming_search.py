@@ -9,9 +9,10 @@ is below that bound. The last radius covers every value, so all queries end.
 
 Rows of equal codes are one entry with their k + 1 least ids (no other can be among the
 nearest, ties going to the least id), and equal queries are one query, so groups of copies
-don't multiply. The index has lists of codes by segment and value, split beyond BUCKET. A
-task compares queries with the lists they hit, a batch at a time, and returns the best of
-each query in the batch.
+don't multiply. The index has lists of codes by segment and value, split beyond BUCKET;
+with few codes a list holds all values that share a prefix, and the look-up of a prefix
+takes the values at the wanted distance out of it. A task compares queries with the lists
+they hit, some at a time, and returns the best of each query among them.
 
 Nulls and ties: a null vector has no code and is neither found nor a query; a null entry
 counts as not positive, vectors of other lengths are padded with zeros or raise if longer;
@@ -37,6 +38,8 @@ BITS, SEGMENTS = 64, 4
 SEGMENT_BITS = BITS // SEGMENTS
 #: Codes in a list of the index, about.
 BUCKET = 512
+#: Lists that a task compares at a time.
+HITS = 1024
 #: Distances and ids, nearest first.
 NEAR = "array<struct<distance:bigint,id:bigint>>"
 
@@ -64,38 +67,49 @@ def _segments() -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)))
 
 
-def _flips(radius: int) -> Column:
-    """All segment values with `radius` bits set."""
-    values = (sum(1 << b for b in bits) for bits in combinations(range(SEGMENT_BITS), radius))
+def prefix_bits(codes: int) -> int:
+    """Bits of a segment's value that lists go by: all of them for very many codes, fewer
+    while lists would be short. Look-ups and results are the same for any number."""
+    return min(SEGMENT_BITS, max(SEGMENT_BITS // 2, (codes // BUCKET).bit_length()))
+
+
+def _flips(radius: int, prefix: int) -> Column:
+    """All prefixes with so many bits set that the rest of the value can hold what is left
+    of the radius."""
+    least, most = max(0, radius - (SEGMENT_BITS - prefix)), min(radius, prefix)
+    values = (sum(1 << b for b in bits) for n in range(least, most + 1) for bits in combinations(range(prefix), n))
     return F.expr(f"array({','.join(map(str, values))})")
 
 
-def _index(entries: DataFrame) -> DataFrame:
-    """segment, value and the codes (with their least id) that have it there."""
+def _index(entries: DataFrame, prefix: int) -> DataFrame:
+    """segment, prefix of the value there, and the codes (with their least id) that have it."""
     placed = entries.select("code", F.get("ids", F.lit(0)).alias("least"), _segments().alias("segment"))
-    placed = placed.withColumn("value", _segment("code"))
-    sizes = placed.groupBy("segment", "value").count()
-    parts = sizes.select("segment", "value", F.ceil(F.col("count") / F.lit(BUCKET // 2)).alias("parts"))
-    dealt = placed.join(parts, ["segment", "value"]).withColumn("part", F.expr("pmod(xxhash64(code), parts)"))
+    placed = placed.withColumn("prefix", F.shiftright(_segment("code"), SEGMENT_BITS - prefix))
+    sizes = placed.groupBy("segment", "prefix").count()
+    parts = sizes.select("segment", "prefix", F.ceil(F.col("count") / F.lit(BUCKET // 2)).alias("parts"))
+    dealt = placed.join(parts, ["segment", "prefix"]).withColumn("part", F.expr("pmod(xxhash64(code), parts)"))
     both = F.collect_list(F.struct("code", "least")).alias("both")
-    lists = dealt.groupBy("segment", "value", "part").agg(both)
-    return lists.select("segment", "value", F.col("both.code").alias("codes"), F.col("both.least").alias("least"))
+    lists = dealt.groupBy("segment", "prefix", "part").agg(both)
+    return lists.select("segment", "prefix", F.col("both.code").alias("codes"), F.col("both.least").alias("least"))
 
 
-def _nearest_in_batch(wanted: int):
-    """Of each query in a batch of hits, the `wanted` nearest codes; ties by the least id."""
+def _nearest_in_batch(wanted: int, prefix: int):
+    """Of each query in some hits, the `wanted` nearest codes within its limit whose segment
+    value is at exactly the radius; ties by the least id."""
+    rest = np.uint64((1 << (SEGMENT_BITS - prefix)) - 1)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, HITS) for b in batches for at in range(0, b.num_rows, HITS)):
             lists = batch.column("codes")
             sizes = np.diff(lists.offsets.to_numpy())
             codes, least = lists.flatten().to_numpy(), batch.column("least").flatten().to_numpy()
-            query = np.repeat(batch.column("query").to_numpy(), sizes)
-            distance = np.bitwise_count(codes.view(np.uint64) ^ query.view(np.uint64)).astype(np.int64)
-            order = np.lexsort((least, distance, query))
-            query, distance, codes, least = query[order], distance[order], codes[order], least[order]
+            query, segment, left, limit = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("query", "segment", "left", "limit"))
+            apart = codes.view(np.uint64) ^ query.view(np.uint64)
+            distance = np.bitwise_count(apart).astype(np.int64)
+            value = (apart >> (segment.astype(np.uint64) * np.uint64(SEGMENT_BITS))) & rest
+            kept = np.flatnonzero((np.bitwise_count(value) == left) & (distance <= limit))
+            kept = kept[np.lexsort((least[kept], distance[kept], query[kept]))]
+            query, distance, codes = query[kept], distance[kept], codes[kept]
             # a code may be met in several segments
             new = np.ones(len(query), bool)
             new[1:] = (query[1:] != query[:-1]) | (codes[1:] != codes[:-1])
@@ -116,19 +130,24 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     kept = codes.filter("id is not null and code is not null").select("code", "id").distinct().withColumn("place", place)
     entries = kept.filter(F.col("place") <= k + 1).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     entries = stage(entries, "codes")
-    index = stage(_index(entries), "code-index")
+    prefix = prefix_bits(entries.count())
+    index = stage(_index(entries, prefix), "code-index")
     wanted = stage(queries.filter("id is not null and code is not null").select("id", "code").distinct(), "queries")
     rows = entries.agg(F.sum(F.size("ids")).alias("n")).first()["n"] or 0
     enough = min(k + 1, rows)
     searching = wanted.select(F.col("code").alias("query"), F.array().cast(NEAR).alias("near")).distinct()
     ended = []
     for radius in range(SEGMENT_BITS + 1):
-        probes = searching.select("query", _segments().alias("segment")).withColumn("value", _segment("query"))
-        probes = probes.withColumn("flip", F.explode(_flips(radius)))
-        probes = probes.select("query", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+        # no more than the kth distance so far
+        limit = F.when(F.size("near") >= enough, F.array_max("near")["distance"]).otherwise(F.lit(BITS).cast("long"))
+        probes = searching.select("query", limit.alias("limit"), _segments().alias("segment"))
+        probes = probes.withColumn("own", F.shiftright(_segment("query"), SEGMENT_BITS - prefix))
+        probes = probes.withColumn("flip", F.explode(_flips(radius, prefix))).select(
+            "query", "segment", "limit", F.col("own").bitwiseXOR(F.col("flip")).alias("prefix"), (radius - F.bit_count("flip")).alias("left")
+        )
         # Spark takes the look-ups for as few as the queries; they must not be broadcast
-        hits = probes.hint("merge").join(index, ["segment", "value"]).select("query", "codes", "least")
-        found = hits.mapInArrow(_nearest_in_batch(k + 1), "query long, distance long, code long").distinct()
+        hits = probes.hint("merge").join(index, ["segment", "prefix"]).select("query", "segment", "left", "limit", "codes", "least")
+        found = hits.mapInArrow(_nearest_in_batch(k + 1, prefix), "query long, distance long, code long").distinct()
         pairs = F.transform("ids", lambda i: F.struct(F.col("distance"), i.alias("id")))
         found = found.join(entries, "code").select("query", pairs.alias("pairs"))
         # what a query had, and its new hits: some k + 1 from each task
