@@ -194,3 +194,88 @@ class Models:
             own = np.maximum(seen[:, k] - DISCOUNT, 0) / total + DISCOUNT * context[:, 2 + k] / total * backoff
             p.append(np.where(context[:, k] > 0, own, backoff))
         return np.bincount(word, np.log(p[1]) - np.log(p[0]), len(starts))
+
+
+# --- the same models in parts, for counts that no single task can hold -----------------------
+
+#: Bytes at the end of a context that name its part; strings with shorter contexts are few.
+PART_BYTES = 3
+
+
+def grams_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, ...]:
+    """Marked bytes; begin, end and expression of the longest string that predicts each byte.
+    An expression's ratio is the sum of its strings' ratios."""
+    data, place, word, start = _marked(data, starts, ends)
+    return data, np.maximum(start, place - order + 1), place + 1, word
+
+
+@dataclass
+class Lookup:
+    """Values (keys x columns) by sorted 64-bit keys; 0 for a key that is not there."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    @staticmethod
+    def of(keys: np.ndarray, values: np.ndarray) -> Lookup:
+        order = np.argsort(keys, kind="stable")
+        return Lookup(keys[order], values[order])
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(wanted), bool), np.zeros((len(wanted), self.values.shape[1]), self.values.dtype)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        hit = self.keys[at] == wanted
+        return hit, np.where(hit[:, None], self.values[at], 0)
+
+
+def _continuations(strings: np.ndarray, contexts: np.ndarray, kinds: np.ndarray) -> tuple[Lookup, Lookup]:
+    """How many longer strings end in a string, by its key; and a context's sum and kinds."""
+    keys, first, sums = _summed(strings, kinds)
+    own = np.concatenate((sums, (sums > 0).astype(float)), axis=1)
+    above, _, totals = _summed(contexts[first], own)
+    return Lookup(keys, sums), Lookup(above, totals)
+
+
+def short_strings(strings: list[bytes], extended: np.ndarray) -> tuple[Lookup, Lookup]:
+    """Shared counts of strings of up to PART_BYTES bytes. extended: strings x models."""
+    data, starts, ends = _bytes(strings)
+    return _continuations(span_hashes(data, starts, ends), span_hashes(data, starts, ends - 1), extended.astype(float))
+
+
+def part_ratios(grams: list[bytes], counts: np.ndarray, short: tuple[Lookup, Lookup], model: int, order: int = ORDER) -> np.ndarray:
+    """log P(last byte | class 1) - log P(last byte | class 0) of each longest string. grams:
+    distinct, with all others whose contexts end alike; counts: grams x 2, 0 if not learnt."""
+    data, starts, ends = _bytes(grams)
+    lengths = ends - starts
+    learnt = np.flatnonzero(counts.any(1))
+    strings, contexts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for size in range(PART_BYTES + 2, order + 1):
+        rows = learnt[lengths[learnt] >= size]
+        begin, end = ends[rows] - size, ends[rows]
+        _, first, _ = _summed(span_hashes(data, begin, end), np.zeros((len(rows), 0)))
+        strings.append(span_hashes(data, begin[first] + 1, end[first]))
+        contexts.append(span_hashes(data, begin[first] + 1, end[first] - 1))
+    strings, contexts = np.concatenate(strings), np.concatenate(contexts)
+    long = _continuations(strings, contexts, np.ones((len(strings), 1)))
+    backoff = np.full(len(grams), UNIFORM)
+    for size in range(1, order):
+        held = np.flatnonzero(lengths > size)
+        begin, end = ends[held] - size, ends[held]
+        (seen_in, total_in), k = (short, model) if size <= PART_BYTES else (long, 0)
+        seen = seen_in.find(span_hashes(data, begin, end))[1][:, k]
+        context = total_in.find(span_hashes(data, begin, end - 1))[1]
+        total, kinds = context[:, k], context[:, context.shape[1] // 2 + k]
+        known = total > 0
+        total = np.where(known, total, 1)
+        p = np.maximum(seen - DISCOUNT, 0) / total + DISCOUNT * kinds / total * backoff[held]
+        backoff[held] = np.where(known, p, backoff[held])
+    _, which = np.unique(span_hashes(data, starts, ends - 1), return_inverse=True)
+    p = []
+    for k in (0, 1):
+        total = np.bincount(which, counts[:, k])[which]
+        kinds = np.bincount(which, counts[:, k] > 0)[which]
+        divisor = np.where(total > 0, total, 1)
+        own = np.maximum(counts[:, k] - DISCOUNT, 0) / divisor + DISCOUNT * kinds / divisor * backoff
+        p.append(np.where(total > 0, own, backoff))
+    return np.log(p[1]) - np.log(p[0])

@@ -60,6 +60,18 @@ def stage(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that no later plan reads."""
+    for df in staged:
+        spark = df.sparkSession
+        folder = _application_folder(spark)
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            # only what this application staged
+            if f"/{folder.split(':', 1)[-1].lstrip('/')}/" in path:
+                target = spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def release_staged(spark: SparkSession) -> None:
     """Delete this application's staged tables. Call after results have been consumed."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
