@@ -10,6 +10,7 @@ from outvote.llm.curriculum_mix import in_training_order, mix
 from outvote.llm.jaccard_join import one_of_each
 from outvote.llm.line_dedup import dedup_lines
 from outvote.llm.packing import pack
+from outvote.llm.tokens import default_tokenizer
 from outvote.llm.toxicity import without_toxic
 from outvote.staging import stage
 
@@ -39,7 +40,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the training sequences."""
-    return pack(docs)
+    return pack(docs, tokenizer=default_tokenizer())
 
 
 STAGES = [

@@ -121,9 +121,9 @@ def _slots(patterns: list[Pattern]) -> tuple[np.ndarray, int]:
     return np.array(sorted(rows), np.int64).reshape(-1, 7), sequence
 
 
-def token_pieces(documents: DataFrame, window: int, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def token_pieces(documents: DataFrame, window: int, path: str | None = None, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """Whole windows of each document's ids, then what is left over."""
-    words = vocabulary(documents.sparkSession, path)
+    words = vocabulary(documents.sparkSession, path, tokenizer=tokenizer)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(words)
@@ -150,13 +150,15 @@ def pack(
     tiers: Sequence[int] = TIERS,
     step_tokens: int = STEP_TOKENS,
     path: str | None = None,
+    tokenizer: str | None = None,
 ) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (the
-    piece's place in its sequence), window and step (the sequence's tier and step group)."""
+    piece's place in its sequence), window and step (the sequence's tier and step group).
+    Added tokens of the file `tokenizer` have their own ids within texts."""
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(tiers):
         raise ValueError("tiers must be ascending powers of two")
     rows = needed(documents, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    pieces = stage(token_pieces(rows, tiers[-1], path), "pieces")
+    pieces = stage(token_pieces(rows, tiers[-1], path, tokenizer=tokenizer), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # one row a length
     slots, _ = _slots(plan(counts, tiers))
     # a length's buckets by its count

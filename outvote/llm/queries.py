@@ -16,6 +16,7 @@ from outvote.llm.line_dedup import dedup_lines
 from outvote.llm.packing import pack
 from outvote.llm.quality_ratio import judge
 from outvote.llm.token_files import document_tokens
+from outvote.llm.tokens import default_tokenizer
 from outvote.llm.toxicity import score
 
 
@@ -48,11 +49,11 @@ def kd_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return document_tokens(_table(spark, folder, "documents"))
+    return document_tokens(_table(spark, folder, "documents"), tokenizer=default_tokenizer())
 
 
 def packing(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(_table(spark, folder, "documents"))
+    return pack(_table(spark, folder, "documents"), tokenizer=default_tokenizer())
 
 
 def curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:

@@ -39,9 +39,9 @@ BLOCK_IDS = 1 << 20
 MOST_IDS = (1 << 8 * WIDTH) - 1
 
 
-def write_token_files(documents: DataFrame, folder: str, path: str | None = None) -> None:
+def write_token_files(documents: DataFrame, folder: str, path: str | None = None, tokenizer: str | None = None) -> None:
     """documents: doc_id, text. File number p has partition p's documents in their order."""
-    words = vocabulary(documents.sparkSession, path)
+    words = vocabulary(documents.sparkSession, path, tokenizer=tokenizer)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(words)
@@ -112,7 +112,9 @@ def count_tokens(spark: SparkSession, folder: str, width: int = WIDTH, end_id: i
     return ended.unionByName(rest.filter("n_tokens > 0").withColumn("ended", F.lit(False)))
 
 
-def document_tokens(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def document_tokens(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, tokenizer: str | None = None
+) -> DataFrame:
     """Write the documents' token files and count them: id, n_tokens.
 
     Files have no ids, so documents are found again by their place, which a second run of
@@ -121,7 +123,7 @@ def document_tokens(documents: DataFrame, id_col: str = "doc_id", text_col: str
     spark = documents.sparkSession
     rows = needed(documents, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     folder = staged_path(spark, "token-files")
-    write_token_files(rows, folder, path)
+    write_token_files(rows, folder, path, tokenizer)
     counted = count_tokens(spark, folder).withColumn("part", F.regexp_extract("file", r"part-(\d+)-", 1).cast("int"))
     counted = stage(counted, "token-counts")
 

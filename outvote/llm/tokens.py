@@ -2,12 +2,13 @@
 
 The ranks file holds the same vocabulary as the tokenizers JSON of that name; the tests
 hold the ids of both against each other. The file's bytes (under 1 MB) are broadcast, so
-executors need no copy of it. Strings of special tokens within a text are ordinary text: a
-document can't forge a boundary."""
+executors need no copy of it. With the tokenizers JSON, its added tokens within a text get
+their own ids, as that library gives them; without it they are spelt out as ordinary text."""
 
 from __future__ import annotations
 
 import base64
+import json
 from array import array
 from functools import lru_cache
 from pathlib import Path
@@ -33,28 +34,47 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def vocabulary(spark: SparkSession, path: str | None = None, pattern: str | None = None) -> Broadcast:
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """The added tokens of a tokenizers JSON and their ids."""
+    found = json.loads(Path(path).read_text(encoding="utf-8"))["added_tokens"]
+    if any(t[flag] for t in found for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"an added token of {path} is not matched to the letter")
+    return tuple((t["content"], t["id"]) for t in found)
+
+
+def vocabulary(spark: SparkSession, path: str | None = None, pattern: str | None = None, tokenizer: str | None = None) -> Broadcast:
+    """tokenizer: the tokenizers JSON whose added tokens count as such within texts."""
     ranks = Path(path or default_vocabulary()).read_bytes()
     if len(ranks) > MAX_VOCABULARY_BYTES:
         raise ValueError(f"a vocabulary of {len(ranks)} bytes is not meant for broadcast")
-    return spark.sparkContext.broadcast((ranks, pattern or default_pattern()))
+    return spark.sparkContext.broadcast((ranks, pattern or default_pattern(), added_tokens(tokenizer) if tokenizer else ()))
 
 
 @lru_cache(maxsize=2)
-def _encoding(ranks: bytes, pattern: str):
+def _encoding(ranks: bytes, pattern: str, added: tuple[tuple[str, int], ...] = ()):
     import tiktoken
 
     pairs = (line.split() for line in ranks.splitlines())
     merges = {base64.b64decode(token): int(rank) for token, rank in pairs}
-    return tiktoken.Encoding("broadcast", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+    return tiktoken.Encoding("broadcast", pat_str=pattern, mergeable_ranks=merges, special_tokens=dict(added))
 
 
 class Encoder:
     """Made once in each task."""
 
     def __init__(self, vocabulary: Broadcast):
-        self._encode = _encoding(*vocabulary.value)._core_bpe.encode_ordinary
+        encoding = _encoding(*vocabulary.value)
+        self._core, self._added = encoding._core_bpe, encoding.special_tokens_set
 
     def ids(self, text: str | None) -> np.ndarray:
         """uint32 ids of the whole text; a null text has none."""
         return np.frombuffer(array("I", self._encode(text or "")), np.uint32)
+
+    def _encode(self, text: str) -> list[int]:
+        return self._core.encode(text, self._added) if self._added else self._core.encode_ordinary(text)
