@@ -66,6 +66,11 @@ def _names(attributes: dict[str, str | None]) -> frozenset[str]:
     return frozenset(w.lower() for w in _NAME.findall(given)) if given.strip() else frozenset()
 
 
+#: Elements in which a slash ends a tag's element, and elements in them that hold HTML again.
+FOREIGN = frozenset(("svg", "math"))
+INTEGRATION = frozenset(("foreignobject", "desc", "title", "mi", "mo", "mn", "ms", "mtext"))
+
+
 class _Builder(HTMLParser):
     def __init__(self, mark: str | None):
         super().__init__(convert_charrefs=True)
@@ -142,8 +147,17 @@ class _Builder(HTMLParser):
         self.links += tag == "a"
         self.open.append((tag, None))
 
+    def _foreign(self) -> bool:
+        """Whether an element would be part of an svg or math element here."""
+        for tag, _ in reversed(self.open):
+            if tag in FOREIGN or tag in INTEGRATION:
+                return tag in FOREIGN
+        return False
+
     def handle_startendtag(self, tag: str, attrs) -> None:
-        self.handle_starttag(tag, attrs)
+        # elsewhere HTML passes over the slash
+        if tag not in FOREIGN and not self._foreign():
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body"):
