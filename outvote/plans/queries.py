@@ -82,6 +82,11 @@ def embeddings_8(spark: SparkSession, folder: str) -> Features:
     return C.prepare(table(spark, folder, "embeddings").select("vec_id", *entries), "vec_id")
 
 
+def embeddings_64(spark: SparkSession, folder: str) -> Features:
+    entries = [F.col("embedding")[i].alias(f"e{i}") for i in range(64)]
+    return C.prepare(table(spark, folder, "embeddings").select("vec_id", *entries), "vec_id")
+
+
 def customer_accounts(spark: SparkSession, folder: str) -> Features:
     customers = table(spark, folder, "customer")
     return C.prepare(customers.select("c_custkey", "c_acctbal", "c_nationkey"), "c_custkey")
@@ -399,6 +404,7 @@ QUERIES = {
     "knn_parts_partitioned": knn_parts_partitioned,
     "knn_lineitem": detector_query(lineitem_with_ids, neighbourhood.knn),
     "knn_embeddings": detector_query(embeddings_8, neighbourhood.knn),
+    "knn_embeddings_whole": detector_query(embeddings_64, neighbourhood.knn),
     "lof_customers": detector_query(customer_profile, neighbourhood.lof),
     "lof_documents": detector_query(documents_features, neighbourhood.lof),
     "dbscan_customers": detector_query(customer_profile, neighbourhood.dbscan),
