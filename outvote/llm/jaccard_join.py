@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -128,7 +127,6 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- pruning ----------------------------------------------------------------------------
 
 
-@lru_cache
 def least_matches(threshold: float, tolerance: float) -> tuple[int, ...]:
     """After each step, the fewest matches with which a pair stays. With a uniform prior
     the similarity after m matches of n is Beta(m + 1, n - m + 1), whose tail above the
@@ -145,10 +143,10 @@ def least_matches(threshold: float, tolerance: float) -> tuple[int, ...]:
     return tuple(wanted)
 
 
-def surviving(values: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, tolerance: float) -> np.ndarray:
+def surviving(values: np.ndarray, a: np.ndarray, b: np.ndarray, fewest: tuple[int, ...]) -> np.ndarray:
     """Numbers of the pairs (a, b) whose posterior never falls below the tolerance."""
     alive, matches = np.arange(len(a)), np.zeros(len(a), np.int32)
-    for step, least in enumerate(least_matches(threshold, tolerance)):
+    for step, least in enumerate(fewest):
         part = slice(step * STEP, (step + 1) * STEP)
         matches = matches + (values[a[alive], part] == values[b[alive], part]).sum(1, dtype=np.int32)
         kept = matches >= least
@@ -195,6 +193,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 def _candidate_links(threshold: float, tolerance: float):
     """Pairs of classes in a bucket that survive, as stars."""
+    fewest = least_matches(threshold, tolerance)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, ["key", "low", "high"]):
@@ -213,7 +212,7 @@ def _candidate_links(threshold: float, tolerance: float):
                 # in a pair of blocks, only pairs across; and not what is linked by now
                 wanted = ((low[active] == high[active]) | (block[active] != block[other])) & (root[active] != root[other])
                 a, b = active[wanted], other[wanted]
-                alive = surviving(values, a, b, threshold, tolerance)
+                alive = surviving(values, a, b, fewest)
                 if len(alive):
                     a, b = a[alive], b[alive]
                     every = np.concatenate((np.arange(len(root)), a)), np.concatenate((root, b))

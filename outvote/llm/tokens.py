@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import json
 from array import array
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -56,7 +55,6 @@ def vocabulary(spark: SparkSession, path: str | None = None, pattern: str | None
     return spark.sparkContext.broadcast((ranks, pattern or default_pattern(), added_tokens(tokenizer) if tokenizer else ()))
 
 
-@lru_cache(maxsize=2)
 def _encoding(ranks: bytes, pattern: str, added: tuple[tuple[str, int], ...] = ()):
     import tiktoken
 
@@ -66,10 +64,13 @@ def _encoding(ranks: bytes, pattern: str, added: tuple[tuple[str, int], ...] = (
 
 
 class Encoder:
-    """Made once in each task."""
+    """Made once in each task. The worker keeps what it has built beside the broadcast, for
+    its later tasks; a cached function would need this package on the executors."""
 
     def __init__(self, vocabulary: Broadcast):
-        encoding = _encoding(*vocabulary.value)
+        encoding = getattr(vocabulary, "encoding", None)
+        if encoding is None:
+            encoding = vocabulary.encoding = _encoding(*vocabulary.value)
         self._core, self._added = encoding._core_bpe, encoding.special_tokens_set
 
     def ids(self, text: str | None) -> np.ndarray:
