@@ -90,6 +90,7 @@ def sequences(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn
     """conv (bigint), ids: the turns' ids in order. Texts do not travel."""
     rows = needed(conversations, conv=conv, turn=turn, role=role, text=text).filter("conv is not null")
     rows = rows.select(F.col("conv").cast("long"), "turn", F.coalesce("role", F.lit("")).alias("role"), turn_id(F.col("role"), F.col("text")).alias("ids"))
+    rows = stage(rows, "trie-turns")  # sorting by ranges reads its input twice
     order = [F.col("conv"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("ids")]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     pieces = ordered.select("conv", "ids").mapInArrow(_pieces("conv", ["ids"], b"".join), "conv long, piece long, ids binary")
