@@ -14,6 +14,7 @@ from outvote.llm.html_text import extract
 from outvote.llm.jaccard_join import jaccard_join
 from outvote.llm.kd_shards import shard_documents
 from outvote.llm.line_dedup import dedup_lines
+from outvote.llm.lm_scoring import score_texts
 from outvote.llm.merkle_manifest import manifest
 from outvote.llm.packing import pack
 from outvote.llm.quality_ratio import judge
@@ -83,6 +84,10 @@ def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest(_table(spark, folder, "documents")).withColumn("proof", F.sha2("proof", 256)).withColumnRenamed("proof", "proof_sha256")
 
 
+def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity,
     "op2_hamming_topk": hamming_topk,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": jaccard,
     "op11_conversation_trie": conversation_trie,
     "op12_merkle_manifest": merkle_manifest,
+    "op13_lm_scoring": lm_scoring,
 }
 
 _MIX = r"""

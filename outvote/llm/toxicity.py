@@ -39,6 +39,8 @@ from outvote.staging import discard, stage
 
 #: Labelled documents that the curve is fitted on, at most.
 TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000
+#: Labels that are broadcast to the documents (16 bytes each); more are joined by shuffle.
+LABEL_ROWS = 1_000_000
 #: Frequent strings or expressions whose ratios are broadcast; all others are joined.
 HOT_ROWS = 200_000
 #: Strings whose probabilities are worked out in one group.
@@ -173,8 +175,9 @@ class Frequent:
             return Frequent(1 << 62, Lookup(np.zeros(0, np.uint64), np.zeros((0, len(values)))))
         hot = table.filter(level >= lowest)
         least = hot.agg(F.min("n")).first()[0]
-        rows = hot.select(key, *values).toPandas()
-        return Frequent(least, Lookup.of(rows[key].to_numpy(np.int64).view(np.uint64), rows[values].to_numpy(np.float64)))
+        rows = hot.select(key, *values).toArrow()
+        table = np.column_stack([rows.column(v).to_numpy() for v in values])
+        return Frequent(least, Lookup.of(rows.column(key).to_numpy().view(np.uint64), table))
 
 
 def _ragged(of: np.ndarray, values: np.ndarray, size: int, kind: pa.DataType) -> pa.Array:
@@ -206,9 +209,10 @@ def expression_ratios(vocabulary: DataFrame) -> DataFrame:
     seen = [F.sum(F.expr(e).cast("long")).alias(r) for r, e in zip(RATIOS, ("models & 1", "int(models & 2) div 2", "1"))]
     extended = ends.groupBy(F.expr("substring(string, 2)").alias("string")).agg(*seen)
     # strings of up to three bytes: their number does not grow with the table for long
-    rows = extended.orderBy("string").toPandas()
-    tables = short_strings([bytes(x) for x in rows["string"]], rows[RATIOS].to_numpy(float))
-    short = spark.sparkContext.broadcast([(t.keys, t.values) for t in tables])
+    rows = extended.orderBy("string").toArrow()
+    values = np.column_stack([rows.column(r).to_numpy() for r in RATIOS]).astype(float)
+    short = spark.sparkContext.broadcast([(t.keys, t.values) for t in short_strings(rows.column("string").to_pylist(), values)])
+    del rows, values
 
     def rate(table: pa.Table) -> pa.Table:
         spelt = table.column("gram").to_pylist()
@@ -227,6 +231,7 @@ def expression_ratios(vocabulary: DataFrame) -> DataFrame:
     values = ", ".join(f"{r} double" for r in RATIOS)
     # a string whose context no model knows has the ratio 0
     ratios = stage(dealt.applyInArrow(rate, f"g long, n long, {values}").filter("r0 != 0 or r1 != 0 or r2 != 0"), "toxic-string-ratios")
+    short.destroy()
     discard(grams)
     frequent = Frequent.of(ratios, "g", RATIOS)
     shipped = spark.sparkContext.broadcast((frequent.lookup.keys, frequent.lookup.values))
@@ -244,6 +249,7 @@ def expression_ratios(vocabulary: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([hashes, batch.column("n"), *map(pa.array, sums), rest], ["h", "n", *RATIOS, "rest"])
 
     spelt = stage(vocabulary.mapInArrow(add, f"h long, n long, {values}, rest array<long>"), "toxic-expressions")
+    shipped.destroy()
     found = stage(_joined_sums(spelt, ratios, frequent.least), "toxic-expression-ratios")
     discard(spelt, ratios)
     return found
@@ -285,6 +291,7 @@ def describe(texts: DataFrame, ratios: DataFrame) -> DataFrame:
     own = F.struct("count", "total", "clear", "top", "rest", "times")
     found = texts.mapInArrow(look_up, schema).groupBy("key", "model").agg(F.first(own).alias("own"))
     found = stage(found.select("key", "model", "own.*"), "toxic-texts")
+    shipped.destroy()
     rest = found.select("key", "model", F.explode(F.arrays_zip("rest", "times")).alias("e")).select("key", "model", F.col("e.rest").alias("h"), F.col("e.times").alias("times"))
     rare = ratios.filter(F.col("n") < frequent.least).drop("n")
     ratio = F.expr("CASE model WHEN 0 THEN r0 WHEN 1 THEN r1 ELSE r2 END").alias("r")
@@ -313,9 +320,17 @@ def describe(texts: DataFrame, ratios: DataFrame) -> DataFrame:
 def learnt_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, toxic, fold and text of every labelled document outside the held-out third."""
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    texts = documents.join(usable, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return stage(texts.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")), "toxic-learnt")
+    usable = stage(usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "toxic-labels")
+    if usable.count() <= LABEL_ROWS:
+        usable = F.broadcast(usable)  # else texts travel to their labels
+    # ids alone tell which of them come more than once; only the texts of those are compared
+    repeated = stage(documents.select("doc_id").join(usable, "doc_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "toxic-repeated")
+    texts = documents.join(usable, "doc_id")
+    if not repeated.isEmpty():
+        least = texts.join(repeated, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+        texts = texts.join(repeated, "doc_id", "left_anti").select("doc_id", "toxic", "text").unionByName(least)
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold")
+    return stage(texts.select("doc_id", "toxic", "text", fold), "toxic-learnt")
 
 
 def vocabulary_of(documents: DataFrame, learnt: DataFrame) -> DataFrame:
