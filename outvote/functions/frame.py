@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+import time
 from dataclasses import dataclass
 from functools import cached_property
-from threading import Lock
+from threading import Lock, get_ident
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -51,6 +52,9 @@ class Features:
         self._neighbours = None
         self.neighbour_hint = 0
         self._joining = Lock()
+        #: Seconds of each thread in, or waiting for, work that several detectors use; of
+        #: that work itself under 0.
+        self.apart: dict[int, float] = {}
 
     @property
     def d(self) -> int:
@@ -72,6 +76,10 @@ class Features:
 
         return Profile(row["n"], stat("m"), stat("s"), stat("l"), stat("h"))
 
+    @property
+    def shared_seconds(self) -> float:
+        return self.apart.get(0, 0.0)
+
     def require_id(self) -> str:
         if self.id_col is None:
             raise ValueError("this detector needs a unique id column")
@@ -89,7 +97,7 @@ class Features:
         placed = with_row_positions(self.df, "__number")
         key = name(self.require_id())
         inner = Features(placed.drop(placed[key]), self.cols, "__number", self.profile)
-        inner.neighbour_hint = self.neighbour_hint
+        inner.neighbour_hint, inner.apart = self.neighbour_hint, self.apart
         return inner, placed.select("__number", key)
 
     def subset(self, cols: list[str]) -> "Features":
@@ -133,8 +141,12 @@ class Features:
         largest k that will be asked for."""
         from outvote.operators.knn_join import nearest_others
 
+        begin = time.perf_counter()
         with self._joining:
             if self._neighbours is None or self._neighbours[0] < min(k, self.n - 1):
-                k = max(k, self.neighbour_hint)
+                k, joined = max(k, self.neighbour_hint), time.perf_counter()
                 self._neighbours = (k, nearest_others(self, k))
+                self.apart[0] = self.shared_seconds + time.perf_counter() - joined
+            # the join, and waiting for it, belong to none of its users
+            self.apart[get_ident()] = self.apart.get(get_ident(), 0.0) + time.perf_counter() - begin
             return self._neighbours[1]

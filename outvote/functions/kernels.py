@@ -15,6 +15,8 @@ SLACK = 1 + 1e-12
 # Points per cell of a task's local search, and the most features cells are of use for.
 CELL_POINTS = 512
 CELL_FEATURES = 12
+# Features from which a matrix product pays before exact differences.
+PRODUCT_FEATURES = 8
 
 
 def matrix(table, cols: list[str]) -> np.ndarray:
@@ -65,12 +67,43 @@ def smallest(d2: np.ndarray, k: int, limit2: np.ndarray | None = None):
     return row[keep], col[keep], value[keep]
 
 
+def smallest_by_product(queries: np.ndarray, points: np.ndarray, k: int, limit2: np.ndarray):
+    """What `smallest` finds, for many features. One matrix product gives every square to
+    within a bound; only the pairs that it leaves open are squared difference by difference."""
+    centre = points.mean(axis=0)
+    q, p = queries - centre, points - centre
+    q2, p2 = (q * q).sum(axis=1), (p * p).sum(axis=1)
+    rough = q @ p.T
+    rough *= -2
+    rough += q2[:, None]
+    rough += p2
+    error = 8 * (q.shape[1] + 8) * np.finfo(float).eps * (np.sqrt(q2) + math.sqrt(p2.max())) ** 2
+    k = min(k, len(points))
+    cut = np.partition(rough, k - 1, axis=1)[:, k - 1] if k < len(points) else np.full(len(q), np.inf)
+    # k squares are at most cut + error, and those within that seem at most cut + 2 errors
+    row, col = np.nonzero(rough <= (np.minimum(cut + 2 * error, limit2 * SLACK + error) * SLACK)[:, None])
+    value = np.zeros(len(row))
+    for j in range(q.shape[1]):
+        gap = queries[row, j] - points[col, j]
+        gap *= gap
+        value += gap
+    kept = value <= limit2[row] * SLACK
+    row, col, value = row[kept], col[kept], np.sqrt(value[kept])
+    order = np.lexsort((col, value, row))
+    row, col, value = row[order], col[order], value[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(q)))[row] < k
+    return row[keep], col[keep], value[keep]
+
+
 def _nearest_in_blocks(queries: np.ndarray, points: np.ndarray, k: int, limit: np.ndarray):
     step = max(1, BLOCK // max(1, len(points)))
     parts = []
-    for at in range(0, len(queries), step):
+    for at in range(0, len(queries) if len(points) else 0, step):
         block = slice(at, at + step)
-        row, col, value = smallest(squared_distances(queries[block], points), k, limit[block] ** 2)
+        if queries.shape[1] >= PRODUCT_FEATURES:
+            row, col, value = smallest_by_product(queries[block], points, k, limit[block] ** 2)
+        else:
+            row, col, value = smallest(squared_distances(queries[block], points), k, limit[block] ** 2)
         parts.append((row + at, col, value))
     if not parts:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
@@ -114,7 +147,7 @@ def nearest_points(queries: np.ndarray, points: np.ndarray, k: int, limit: np.nd
         counts, farthest = np.bincount(row, minlength=len(queries)), np.zeros(len(queries))
         np.maximum.at(farthest, row, dist)
         radius = np.where(counts >= k, np.minimum(radius, farthest), radius)
-    row, box = boxes_within(queries, radius, low, high)
+    row, box, _ = boxes_within(queries, radius, low, high)
     other = box != own[row]
     each(row[other], box[other])
     row, col, dist = (np.concatenate(p) for p in zip(*found)) if found else (np.zeros(0, int),) * 3

@@ -15,6 +15,70 @@ from outvote.functions import kernels
 from outvote.functions.frame import EXPRESSION_FEATURES, Features
 from outvote.functions.text import name, number
 
+# Columns of a block of products, and tasks that add up a block in the first round.
+BLOCK_COLUMNS = 64
+FIRST_ROUND = 16
+PACKED = "block int, data binary"
+
+
+def _blocks(d: int) -> list[tuple[slice, slice]]:
+    """The pairs of column blocks on and above the diagonal."""
+    parts = [slice(at, min(at + BLOCK_COLUMNS, d)) for at in range(0, d, BLOCK_COLUMNS)]
+    return [(a, b) for i, a in enumerate(parts) for b in parts[i:]]
+
+
+def add_up(rows: DataFrame) -> DataFrame:
+    """rows of (block, data: packed doubles) with the sum of each block's rows, in two rounds: a
+    task of the first takes a FIRST_ROUND-th of a block's rows."""
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
+                values = np.frombuffer(data.as_buffer(), float)
+                total[block] = total[block] + values if block in total else values.copy()
+        if total:
+            data = [v.tobytes() for v in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
+
+    share = F.pmod(F.spark_partition_id(), F.lit(FIRST_ROUND)).alias("share")
+    rows = rows.select("*", share).repartition("block", "share").drop("share").mapInArrow(add, PACKED)
+    return rows.repartition("block").mapInArrow(add, PACKED)
+
+
+def packed_rows(values: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each array, numbered."""
+    return pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array([v.tobytes() for v in values], pa.binary())], ["block", "data"])
+
+
+def unpacked(rows: DataFrame) -> dict[int, np.ndarray]:
+    """The sums of the blocks on the driver; their number and size are the caller's to bound."""
+    found = add_up(rows).toArrow()
+    return {b: np.frombuffer(x, float) for b, x in zip(found.column("block").to_pylist(), found.column("data").to_pylist())}
+
+
+def _wide_sums(df: DataFrame, cols: list[str], center: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, sums and products around the centre. A task sums its products in one matrix and
+    hands them on in blocks of columns."""
+    d, pairs = len(cols), _blocks(len(cols))
+
+    def partial(batches):
+        n, first, second = 0, np.zeros(d), np.zeros((d, d))
+        for batch in batches:
+            x = kernels.matrix(batch, cols) - center
+            n, first = n + len(x), first + x.sum(axis=0)
+            second += x.T @ x
+        yield packed_rows([np.append(first, n), *(second[a, b] for a, b in pairs)])
+
+    sums = unpacked(map_in_arrow(df.select(*map(name, cols)), partial, PACKED))
+    if not sums:
+        return 0, np.zeros(d), np.zeros((d, d))
+    second = np.zeros((d, d))
+    for k, (a, b) in enumerate(pairs):
+        second[a, b] = sums[k + 1].reshape(a.stop - a.start, b.stop - b.start)
+        second[b, a] = second[a, b].T
+    return int(sums[0][-1]), sums[0][:-1], second
+
 
 def moments(df: DataFrame, cols: list[str], center: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, mean and population covariance from one aggregation. Sums are taken
@@ -30,27 +94,13 @@ def moments(df: DataFrame, cols: list[str], center: np.ndarray) -> tuple[int, np
         first = np.array([row[f"s{i}"] or 0.0 for i in range(d)])
         second = [row[f"p{i}_{j}"] or 0.0 for i, j in pairs]
     else:
-        # wide tables: one d x d partial sum per partition, added up cell by cell
-        def partial(batches):
-            total = np.zeros(1 + d + len(pairs))
-            upper = np.triu_indices(d)
-            for batch in batches:
-                x = kernels.matrix(batch, cols) - center
-                total[0] += len(x)
-                total[1 : d + 1] += x.sum(axis=0)
-                total[d + 1 :] += (x.T @ x)[upper]
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(np.arange(len(total)), pa.int32()), "v": total})
-
-        cells = map_in_arrow(df.select(*map(name, cols)), partial, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v"))
-        # 1 + d + d(d+1)/2 rows, whatever the table size
-        flat = np.zeros(1 + d + len(pairs))
-        for row in cells.collect():
-            flat[row["cell"]] = row["v"]
-        n, first, second = int(flat[0]), flat[1 : d + 1], flat[d + 1 :]
+        n, first, second = _wide_sums(df, cols, center)
     if n == 0:
         return 0, np.array(center, float), np.zeros((d, d))
     shift = first / n
     cov = np.zeros((d, d))
+    if d > EXPRESSION_FEATURES:
+        return n, np.asarray(center, float) + shift, second / n - np.outer(shift, shift)
     for (i, j), p in zip(pairs, second):
         cov[i, j] = cov[j, i] = p / n - shift[i] * shift[j]
     return n, np.asarray(center, float) + shift, cov

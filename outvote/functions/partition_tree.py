@@ -44,10 +44,10 @@ def leaf_of(x: np.ndarray, feature: np.ndarray, value: np.ndarray, depth: int) -
 
 
 def boxes_within(x: np.ndarray, radius: np.ndarray, low: np.ndarray, high: np.ndarray):
-    """Flat (row, box) pairs where the box comes within radius of the row. Rows are taken
-    in chunks of similar radius and place, so most boxes are ruled out per chunk."""
+    """Flat (row, box, distance) triples where the box comes within radius of the row. Rows are
+    taken in chunks of similar radius and place, so most boxes are ruled out per chunk."""
     order = np.lexsort((x[:, 0], np.floor(np.log2(np.maximum(radius, 1e-300)))))
-    rows_out, boxes_out = [], []
+    rows_out, boxes_out, gaps_out = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
     for at in range(0, len(order), 256):
         rows = order[at : at + 256]
         block, r = x[rows], radius[rows]
@@ -62,6 +62,5 @@ def boxes_within(x: np.ndarray, radius: np.ndarray, low: np.ndarray, high: np.nd
         hit_row, hit_box = np.nonzero(d2 <= (r**2 * (1 + 1e-12))[:, None])
         rows_out.append(rows[hit_row])
         boxes_out.append(near[hit_box])
-    if not rows_out:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(rows_out), np.concatenate(boxes_out)
+        gaps_out.append(np.sqrt(d2[hit_row, hit_box]))
+    return np.concatenate(rows_out), np.concatenate(boxes_out), np.concatenate(gaps_out)

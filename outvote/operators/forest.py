@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -15,6 +16,7 @@ from outvote.functions import kernels, parameters
 from outvote.functions.frame import Features
 from outvote.functions.sampling import row_sample
 from outvote.functions.selection import flag_top
+from outvote.functions.text import significant
 from outvote.staging import stage
 
 TREE = "tree int, node int, feature int, cut double, depth double"
@@ -32,21 +34,38 @@ def average_path(size: int) -> float:
 
 def per_round_samples(features: Features, rounds: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and a (rounds, size) index table into them: a sample without replacement per
-    round. At most rounds * size rows come to the driver. When the table has that many,
-    rounds are consecutive disjoint chunks of one seeded order; otherwise the whole (by
-    then small) table is drawn from independently in every round."""
-    rows = row_sample(features, rounds * size, seed)[features.cols].to_numpy(float)
-    if len(rows) >= rounds * size:
-        return rows, np.arange(rounds * size).reshape(rounds, size)
-    rng = np.random.default_rng(seed)
-    return rows, np.stack([rng.permutation(len(rows))[:size] for _ in range(rounds)])
-
-
-def grow_tree(x: np.ndarray, height: int, rng: np.random.Generator):
+    round. At most rounds * size rows come to the driver. Rounds are consecutive disjoint
+    chunks of one seeded order; when the (by then small) table is used up, of the next one,
+    whose keys also have the number of the pass."""
+    id_col = features.require_id()
+    table = row_sample(features, rounds * size, seed)
+    rows, ids = table[features.cols].to_numpy(float), [str(i) for i in table[id_col]]
+    chunks = max(1, len(rows) // size)
+    order, index = np.arange(len(rows)), []
+    for r in range(rounds):
+        if r and r % chunks == 0:
+            keys = [(hashlib.md5(f"{i}:{seed}:{r // chunks}".encode()).hexdigest(), i) for i in ids]
+            order = np.array(sorted(range(len(ids)), key=keys.__getitem__))
+        index.append(order[r % chunks * size :][:size])
+    return rows, np.stack(index)
+
+
+def hash_draws(seed: int, tree: int):
+    """Two numbers from 0 to 1 for each node: the first 8 and the next 12 hexadecimal digits
+    of an md5, so that any engine can grow the same tree."""
+
+    def draw(node: int) -> tuple[float, float]:
+        digits = hashlib.md5(f"{seed}:{tree}:{node}".encode()).hexdigest()
+        return int(digits[:8], 16) / 2**32, int(digits[8:20], 16) / 2**48
+
+    return draw
+
+
+def grow_tree(x: np.ndarray, height: int, draw):
     """One tree in heap order: random varying feature, uniform cut, until a node holds one
     row, only equal rows, or the height is reached. A leaf passes its depth (plus the
     average path of the rows it still holds) down its leftmost line, so that every row
-    can be walked exactly `height` steps."""
+    can be walked exactly `height` steps. draw: of a node, where to choose and to cut."""
     inner = 2**height - 1
     feature, cut, depth = np.zeros(inner, int), np.full(inner, np.inf), np.zeros(2**height)
     todo = [(0, 0, np.arange(len(x)))]
@@ -60,8 +79,10 @@ def grow_tree(x: np.ndarray, height: int, rng: np.random.Generator):
                 at = 2 * at + 1
             depth[at - inner] = level + average_path(len(rows))
             continue
-        f = int(rng.choice(np.nonzero(low < high)[0]))
-        c = rng.uniform(low[f], high[f])
+        choice, place = draw(node)
+        varying = np.nonzero(low < high)[0]
+        f = int(varying[int(choice * len(varying))])
+        c = low[f] + place * (high[f] - low[f])
         if c >= high[f]:
             c = low[f]
         feature[node], cut[node] = f, c
@@ -105,7 +126,7 @@ class Forest:
                 yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, "score"])
 
         schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
-        return map_in_arrow(df, walk, schema)
+        return map_in_arrow(df, walk, schema).withColumn("score", F.expr(significant("score")))
 
 
 def fit_forest(features: Features, trees: int, sample_size: int, seed: int) -> Forest:
@@ -119,8 +140,7 @@ def fit_forest(features: Features, trees: int, sample_size: int, seed: int) -> F
         rows, index = shared.value
         for batch in batches:
             for tree in batch.column("id").to_pylist():
-                rng = np.random.default_rng([seed, tree])
-                feature, cut, depth = grow_tree(rows[index[tree]], height, rng)
+                feature, cut, depth = grow_tree(rows[index[tree]], height, hash_draws(seed, tree))
                 inner = len(feature)
                 yield pa.RecordBatch.from_pydict(
                     {

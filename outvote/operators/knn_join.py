@@ -8,10 +8,15 @@ nothing is lost. Points are then joined either against a broadcast copy of all p
   1. a tree of cuts from a bounded sample assigns each point to a leaf; leaves are near
      equal in size, and any that is not is cut again;
   2. inside each leaf, every point finds its k nearest, which bounds its true radius;
-  3. a point visits another leaf only if that leaf's bounding box is within the radius;
-     leaves with many visitors are split over several tasks;
-  4. the k best of all visited leaves are kept per point, cut down before the shuffle.
-"""
+  3. a point visits another leaf only if that leaf's bounding box is within the radius. It
+     visits the NEAR nearest leaves first; what they hold narrows its radius, and only leaves
+     within the narrower one are visited after that;
+  4. leaves with many visitors are split over several tasks, and the k best of all visited
+     leaves are kept per point, cut down before the shuffle.
+
+Beyond LEADING features, cuts and boxes are made on the LEADING principal components and the
+distance from the space they span. That map moves no two points apart, so what is out of
+reach there is out of reach; a box over all features would hardly rule anything out."""
 
 from __future__ import annotations
 
@@ -26,6 +31,7 @@ from pyspark.sql import types as T
 
 from outvote.functions import kernels, partition_tree
 from outvote.functions.frame import Features
+from outvote.functions.moments import moments
 from outvote.functions.sampling import first_by_key
 from outvote.functions.text import name
 from outvote.staging import stage
@@ -37,6 +43,10 @@ LEAF_POINTS = 16_384
 MAX_DEPTH = 16
 SAMPLE_PER_LEAF = 16
 VISITORS_PER_TASK = 20_000
+# Principal components that stand in for more features in cuts and boxes.
+LEADING = 12
+# Leaves that a point visits before its radius is narrowed.
+NEAR = 4
 # Distances one task should compute.
 TASK_WORK = 40_000_000
 
@@ -144,53 +154,31 @@ def _cut_oversized(points: DataFrame, cols: list[str], limits: Limits, count: in
     return out
 
 
-def _through_partition(points: DataFrame, cols: list[str], k: int, limits: Limits, count: int) -> DataFrame:
-    leaves = _cut_oversized(points, cols, limits, count)
-    extremes = [f(name(c)).alias(f"{k}{i}") for k, f in (("l", F.min), ("h", F.max)) for i, c in enumerate(cols)]
-    # one row per leaf, at most a few 2^MAX_DEPTH
-    boxes = leaves.groupBy("leaf").agg(*extremes).orderBy("leaf").toArrow()
-    low = kernels.matrix(boxes, [f"l{i}" for i in range(len(cols))])
-    high = kernels.matrix(boxes, [f"h{i}" for i in range(len(cols))])
-    shared = points.sparkSession.sparkContext.broadcast((kernels.column(boxes, "leaf"), low, high))
+def _with_leading(points: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str], float]:
+    """points with the columns that cuts and boxes are made on, and how far rounding may move
+    a point in them."""
+    if len(cols) <= LEADING:
+        return points, cols, 0.0
+    _, centre, cov = moments(points, cols, np.zeros(len(cols)))
+    basis = np.linalg.eigh(cov)[1][:, ::-1][:, :LEADING].copy()
+    made = [f"lead{i}" for i in range(LEADING + 1)]
 
-    def inside(table: pa.Table) -> pa.Table:
-        table = table.sort_by("point")
-        x, point, copies = kernels.matrix(table, cols), kernels.column(table, "point"), kernels.column(table, "copies")
-        row, col, dist = kernels.nearest_points(x, x, k + 1)
-        weight = copies[col] - (row == col)
-        # radius: where the running weight reaches k, else everything must be visited
-        starts = np.searchsorted(row, np.arange(len(x)))
-        running = np.cumsum(weight)
-        before = running[starts] - weight[starts]
-        enough = running - before[row] >= k
-        radius = np.full(len(x), np.inf)
-        np.minimum.at(radius, row[enough], dist[enough])
-        names, box_low, box_high = shared.value
-        own_leaf = table.column("leaf")[0].as_py()
-        visit_row, visit_box = partition_tree.boxes_within(x, radius, box_low, box_high)
-        other = names[visit_box] != own_leaf
-        visit_row, visit = visit_row[other], names[visit_box[other]]
-        order = np.argsort(visit_row, kind="stable")
-        return pa.table(
-            {
-                **_lists(point, point, copies, row, col, dist, k),
-                **{c: x[:, j].copy() for j, c in enumerate(cols)},
-                "radius": radius,
-                "visits": kernels.list_array(visit[order].astype(np.int32), np.bincount(visit_row, minlength=len(x))),
-            }
-        )
+    def project(batches):
+        for batch in batches:
+            x = kernels.matrix(batch, cols) - centre
+            lead = x @ basis
+            rest = x - lead @ basis.T
+            columns = [*lead.T.copy(), np.sqrt((rest * rest).sum(axis=1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, columns)], [*batch.schema.names, *made])
 
-    numbers = ", ".join(f"{name(c)} double" for c in cols)
-    # explicit partition counts: these stages are heavy in CPU, not in bytes, so they must not
-    # be coalesced by size
-    first = stage(
-        leaves.repartition(max(1, boxes.num_rows // 2), "leaf").groupBy("leaf").applyInArrow(
-            inside,
-            f"{LISTS}, {numbers}, radius double, visits array<int>",
-        ),
-        "knn-inside",
-    )
-    visits = first.select("point", *map(name, cols), "radius", F.explode("visits").alias("leaf"))
+    schema = T.StructType([*points.schema.fields, *(T.StructField(c, T.DoubleType()) for c in made)])
+    reach = points.agg(*(F.max(F.abs(c)).alias(c) for c in cols)).first()
+    size = math.sqrt(sum((v or 0.0) ** 2 for v in reach)) + float(np.linalg.norm(centre))
+    return stage(points.mapInArrow(project, schema), "knn-leading"), made, 1e-13 * len(cols) * size
+
+
+def _search(visits: DataFrame, leaves: DataFrame, cols: list[str], k: int, limits: Limits) -> DataFrame:
+    """visits: point, features, radius, leaf. The k nearest residents of the leaf for each."""
     # a leaf with many visitors is worked on by several tasks, each with its own copy of the leaf
     shares = visits.groupBy("leaf").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(limits.visitors_per_task)).cast("int").alias("tasks")
@@ -222,29 +210,99 @@ def _through_partition(points: DataFrame, cols: list[str], k: int, limits: Limit
             dist,
         )
 
+    # explicit partition counts: these stages are heavy in CPU, not in bytes, so they must not
+    # be coalesced by size
     visitors_by_task = chunked.select("leaf", "chunk", "point", *map(name, cols), "radius").repartition(groups, "leaf", "chunk")
     residents_by_task = copies_of.select("leaf", "chunk", "point", "copies", *map(name, cols)).repartition(groups, "leaf", "chunk")
-    elsewhere = (
+    return (
         visitors_by_task.groupBy("leaf", "chunk")
         .cogroup(residents_by_task.groupBy("leaf", "chunk"))
         .applyInArrow(across, FOUND)
     )
-    # only points that visited other leaves need a second choice among all candidates; the
-    # window keeps the k best of each map task before it shuffles them
+
+
+def _best(lists: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """The k best of each point's list and of what it has found elsewhere."""
     entries = F.explode(F.arrays_zip("nbrs", "dists"))
-    started = first.filter(F.size("visits") > 0).select("point", entries.alias("e"))
+    started = lists.select("point", entries.alias("e"))
     started = started.select(
         "point", F.col("e.nbrs").alias("nbr"), F.col("e.dists").alias("dist"), F.lit(1).cast("bigint").alias("copies")
     )
+    # the window keeps the k best of each map task before it shuffles them
     best = Window.partitionBy("point").orderBy("dist", "nbr")
-    chosen = started.unionByName(elsewhere).withColumn("__at", F.row_number().over(best)).filter(F.col("__at") <= k)
+    chosen = started.unionByName(found).withColumn("__at", F.row_number().over(best)).filter(F.col("__at") <= k)
     ordered = F.array_sort(F.collect_list(F.struct("dist", "nbr", "copies")))
     merged = chosen.groupBy("point").agg(ordered.alias("e"))
     spelled = F.flatten(F.transform("e", lambda e: F.array_repeat(e, F.least(e["copies"], F.lit(k)).cast("int"))))
-    merged = merged.select("point", F.slice(spelled, 1, k).alias("e")).select(
+    return merged.select("point", F.slice(spelled, 1, k).alias("e")).select(
         "point", F.col("e.nbr").alias("nbrs"), F.col("e.dist").alias("dists")
     )
-    return first.filter(F.size("visits") == 0).select("point", "nbrs", "dists").unionByName(merged)
+
+
+def _through_partition(points: DataFrame, cols: list[str], k: int, limits: Limits, count: int) -> DataFrame:
+    points, guide, moved = _with_leading(points, cols)
+    leaves = _cut_oversized(points, guide, limits, count)
+    extremes = [f(name(c)).alias(f"{k}{i}") for k, f in (("l", F.min), ("h", F.max)) for i, c in enumerate(guide)]
+    # one row per leaf, at most a few 2^MAX_DEPTH
+    boxes = leaves.groupBy("leaf").agg(*extremes).orderBy("leaf").toArrow()
+    low = kernels.matrix(boxes, [f"l{i}" for i in range(len(guide))]) - moved
+    high = kernels.matrix(boxes, [f"h{i}" for i in range(len(guide))]) + moved
+    shared = points.sparkSession.sparkContext.broadcast((kernels.column(boxes, "leaf"), low, high))
+
+    def inside(table: pa.Table) -> pa.Table:
+        table = table.sort_by("point")
+        x, point, copies = kernels.matrix(table, cols), kernels.column(table, "point"), kernels.column(table, "copies")
+        row, col, dist = kernels.nearest_points(x, x, k + 1)
+        weight = copies[col] - (row == col)
+        # radius: where the running weight reaches k, else everything must be visited
+        starts = np.searchsorted(row, np.arange(len(x)))
+        running = np.cumsum(weight)
+        before = running[starts] - weight[starts]
+        enough = running - before[row] >= k
+        radius = np.full(len(x), np.inf)
+        np.minimum.at(radius, row[enough], dist[enough])
+        names, box_low, box_high = shared.value
+        own_leaf = table.column("leaf")[0].as_py()
+        visit_row, visit_box, gap = partition_tree.boxes_within(kernels.matrix(table, guide), radius, box_low, box_high)
+        other = names[visit_box] != own_leaf
+        visit_row, visit, gap = visit_row[other], names[visit_box[other]], gap[other]
+        order = np.lexsort((visit, gap, visit_row))
+        times = np.bincount(visit_row, minlength=len(x))
+        return pa.table(
+            {
+                **_lists(point, point, copies, row, col, dist, k),
+                **{c: x[:, j].copy() for j, c in enumerate(cols)},
+                "radius": radius,
+                "visits": kernels.list_array(visit[order].astype(np.int32), times),
+                "gaps": kernels.list_array(gap[order], times),
+            }
+        )
+
+    numbers = ", ".join(f"{name(c)} double" for c in cols)
+    first = stage(
+        leaves.repartition(max(1, boxes.num_rows // 2), "leaf").groupBy("leaf").applyInArrow(
+            inside,
+            f"{LISTS}, {numbers}, radius double, visits array<int>, gaps array<double>",
+        ),
+        "knn-inside",
+    )
+    places = ["point", *map(name, cols)]
+    near = first.filter(F.size("visits") > 0)
+    visits = near.select(*places, "radius", F.explode(F.slice("visits", 1, NEAR)).alias("leaf"))
+    better = stage(_best(near, _search(visits, leaves, cols, k, limits), k), "knn-near")
+    # points with more leaves in reach go on with the radius they have now
+    crowded = first.filter(F.size("visits") > NEAR).drop("nbrs", "dists").join(better, "point")
+    radius = F.when(F.size("dists") >= k, F.element_at("dists", -1)).otherwise(F.lit(math.inf))
+    later = F.arrays_zip(F.slice("visits", NEAR + 1, boxes.num_rows).alias("leaf"), F.slice("gaps", NEAR + 1, boxes.num_rows).alias("gap"))
+    far = crowded.withColumn("radius", radius).withColumn("visit", F.explode(later))
+    far = far.filter(F.col("visit.gap") <= F.col("radius") * (1 + 1e-12))
+    far = stage(far.select(*places, "radius", F.col("visit.leaf").alias("leaf")), "knn-far")
+    alone = first.filter(F.size("visits") == 0).select("point", "nbrs", "dists")
+    if far.isEmpty():
+        return alone.unionByName(better)
+    on = far.select("point").distinct()
+    final = _best(better.join(on, "point", "left_semi"), _search(far, leaves, cols, k, limits), k)
+    return alone.unionByName(better.join(on, "point", "left_anti")).unionByName(final)
 
 
 def nearest_others(features: Features, k: int, limits: Limits = Limits()) -> DataFrame:

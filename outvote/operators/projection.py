@@ -14,6 +14,7 @@ from outvote.functions.frame import Features
 from outvote.functions.moments import covariance
 from outvote.functions.sampling import first_by_key, sample_key
 from outvote.functions.text import name
+from outvote.operators.clean import with_row_positions
 from outvote.staging import stage
 
 # fixed values: sample sizes by table size, density grid, fewest inliers for a density
@@ -195,8 +196,8 @@ def hull_vertices(x: np.ndarray) -> np.ndarray:
 def convex_hull(points: DataFrame, x: str = "pc1", y: str = "pc2") -> DataFrame:
     """(position, x, y): hull vertices counter-clockwise from the leftmost; empty when the
     points do not span an area. The hull of partial hulls is the hull: points well inside
-    are filtered out by expression, each partition keeps its own vertices, and groups of
-    vertices are merged until one task can hold them."""
+    are filtered out by expression, each partition keeps its own vertices, and vertices of
+    neighbouring x ranges are merged until one task can hold them or none goes any more."""
     planar = points.select(F.col(x).alias("x"), F.col(y).alias("y"))
     sides = [F.col("x"), F.col("y"), F.col("x") + F.col("y"), F.col("x") - F.col("y")]
     extremes = [f(F.struct(s.alias("s"), "x", "y")).alias(f"{n}{i}") for i, s in enumerate(sides) for n, f in (("lo", F.min), ("hi", F.max))]
@@ -230,14 +231,30 @@ def convex_hull(points: DataFrame, x: str = "pc1", y: str = "pc2") -> DataFrame:
         return pa.table({"position": pa.array(np.arange(len(kept)), pa.int32()), "x": pa.array(kept[:, 0], pa.float64()), "y": pa.array(kept[:, 1], pa.float64())})
 
     left = stage(planar.mapInArrow(partial, "x double, y double"), "hull")
-    count = left.count()
-    while count > HULL_GROUP:
-        # neighbouring x ranges share most of their edges, so merging them drops most vertices
+    count, idle, turn = left.count(), 0, 0
+    # neighbouring x ranges share most of their edges, so merging them drops most vertices.
+    # Cuts of one turn lie inside the ranges of the next: when two turns drop nothing, every
+    # three neighbours have met, and a chain that is convex everywhere is the hull's
+    while count > HULL_GROUP and idle < 2:
         groups = math.ceil(count / HULL_GROUP) * 2
-        ranged = left.repartitionByRange(groups, "x").withColumn("g", F.spark_partition_id())
+        cuts = left.approxQuantile("x", [(i + 0.25 + 0.5 * (turn % 2)) / groups for i in range(groups)], 0.1 / groups)
+        number = F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c < F.col("x")))
+        ranged = left.withColumn("g", number).repartition(groups, "g")
         left = stage(ranged.groupBy("g").applyInArrow(lambda t: merge(t.select(["x", "y"])), "x double, y double"), "hull")
         merged = left.count()
-        if merged > 0.9 * count:
-            break
-        count = merged
-    return left.groupBy(F.lit(0).alias("g")).applyInArrow(lambda t: final(t.select(["x", "y"])), shape)
+        count, idle, turn = merged, idle + 1 if merged == count else 0, turn + 1
+    if count <= HULL_GROUP:
+        return left.groupBy(F.lit(0).alias("g")).applyInArrow(lambda t: final(t.select(["x", "y"])), shape)
+    # more vertices than a task should hold: numbered by their order along the two chains
+    ends = left.agg(F.min(F.struct("x", "y")).alias("a"), F.max(F.struct("x", "y")).alias("b")).first()
+    (ax, ay), (bx, by) = ends["a"], ends["b"]
+    turn = F.lit(bx - ax) * (F.col("y") - F.lit(ay)) - F.lit(by - ay) * (F.col("x") - F.lit(ax))
+    last = (F.col("x") == F.lit(bx)) & (F.col("y") == F.lit(by))
+    above = (turn > 0) | last
+    chain = left.select(
+        above.cast("int").alias("chain"), F.when(above, -F.col("x")).otherwise(F.col("x")).alias("u"),
+        F.when(above, -F.col("y")).otherwise(F.col("y")).alias("v"), "x", "y",
+    )
+    order = ["chain", "u", "v"]
+    placed = with_row_positions(chain.repartitionByRange(*order).sortWithinPartitions(*order), "position")
+    return placed.select(F.col("position").cast("int"), "x", "y")

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from outvote.functions.arrow import map_in_arrow
 from outvote.functions import kernels, parameters
+from outvote.functions.arrow import map_in_arrow
 from outvote.functions.frame import Features
-from outvote.functions.moments import chi2_quantile, covariance, moments, with_quadratic_form
+from outvote.functions.moments import PACKED, chi2_quantile, covariance, moments, packed_rows, unpacked, with_quadratic_form
+from outvote.functions.ranks import cumulative_counts
 from outvote.functions.sampling import row_sample
 from outvote.functions.selection import flag_top, order_statistics
-from outvote.functions.text import significant
-from outvote.operators.knn_join import distinct_points
+from outvote.functions.text import name, significant
+from outvote.operators.pair_distances import mean_distance
 from outvote.operators.statistical import max_abs_z
 from outvote.staging import stage
 
@@ -26,10 +27,11 @@ STARTS = 64
 # Numbers in the row sample that starts are tried on, and the rows that makes at most.
 START_CELLS = 400_000
 START_ROWS = 50_000
-HALF_ROWS = 100_000
-MAX_STEPS = 30
-EXACT_PAIR_ROWS = 20_000
-REFERENCE_ROWS = 4_096
+# Of these, so many go on to all rows.
+CARRIED = 10
+MAX_STEPS = 100
+# Bits of a distance that one counting pass settles.
+DIGIT_BITS = 16
 # fixed values: probabilities of the consistency correction and of the reweighting cut
 CORRECTION, REWEIGHTING = 0.5, 0.975
 
@@ -57,42 +59,98 @@ class Scatter:
 def concentration_step(features: Features, scatter: Scatter, h: int) -> Scatter:
     """Location and covariance of the h rows nearest to the current estimate (rows tied
     with the h-th included): exact selection, then one aggregation over those rows."""
-    measured = scatter.distances(features)
-    (limit,) = order_statistics(measured, "score", [h - 1], features.n)
-    _, location, cov = moments(measured.filter(F.col("score") <= F.lit(limit)), features.cols, scatter.location)
-    return Scatter(location, cov)
-
-
-def concentrate(features: Features, start: Scatter, h: int, steps: int = MAX_STEPS) -> Scatter:
-    """Concentration steps until the determinant stops falling."""
-    current = start
+    return concentration_steps(features, [scatter], h)[0]
+
+
+def concentration_steps(features: Features, scatters: list[Scatter], h: int) -> list[Scatter]:
+    """A concentration step of several estimates at once. The h-th least distances are found
+    digit by digit: distances are not negative, so the integers of their bits have the same
+    order. A pass counts the next DIGIT_BITS bits of the distances that agree so far, for all
+    estimates; the last one sums up the rows within the limits."""
+    cols, d = features.cols, features.d
+    df = features.df.select(*map(name, cols))
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast([(s.location, s.inverse) for s in scatters])
+
+    def distances(x: np.ndarray) -> list[np.ndarray]:
+        gaps = (x - location for location, _ in shared.value)
+        return [np.maximum(np.einsum("ij,ij->i", g @ inverse, g), 0) for g, (_, inverse) in zip(gaps, shared.value)]
+
+    prefix, below, limit = [0] * len(scatters), [0] * len(scatters), [0.0] * len(scatters)
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+
+        def count(batches, shift=shift, prefix=tuple(prefix)):
+            total = np.zeros((len(prefix), 1 << DIGIT_BITS))
+            for batch in batches:
+                for k, value in enumerate(distances(kernels.matrix(batch, cols))):
+                    bits = value.view(np.uint64)
+                    if shift + DIGIT_BITS < 64:
+                        bits = bits[bits >> np.uint64(shift + DIGIT_BITS) == np.uint64(prefix[k])]
+                    digit = (bits >> np.uint64(shift)) & np.uint64((1 << DIGIT_BITS) - 1)
+                    total[k] += np.bincount(digit.astype(np.int64), minlength=total.shape[1])
+            yield packed_rows(list(total))
+
+        counts = unpacked(map_in_arrow(df, count, PACKED))
+        for k in range(len(scatters)):
+            running = below[k] + np.cumsum(counts[k])
+            digit = int(np.searchsorted(running, h))  # the h-th least is the first to reach h
+            below[k] = int(running[digit] - counts[k][digit])
+            prefix[k] = prefix[k] << DIGIT_BITS | digit
+    limit = [float(np.array(p, np.uint64).view(np.float64)) for p in prefix]
+
+    def sums(batches):
+        total = [np.zeros(1 + d + d * d) for _ in limit]
+        for batch in batches:
+            x = kernels.matrix(batch, cols)
+            for k, value in enumerate(distances(x)):
+                near = x[value <= limit[k]] - shared.value[k][0]
+                total[k][0] += len(near)
+                total[k][1 : d + 1] += near.sum(axis=0)
+                total[k][d + 1 :] += (near.T @ near).ravel()
+        yield packed_rows(total)
+
+    found, made = unpacked(map_in_arrow(df, sums, PACKED)), []
+    shared.destroy()
+    for k, scatter in enumerate(scatters):
+        n, shift = found[k][0], found[k][1 : d + 1] / found[k][0]
+        made.append(Scatter(scatter.location + shift, found[k][d + 1 :].reshape(d, d) / n - np.outer(shift, shift)))
+    return made
+
+
+def concentrate(features: Features, starts: list[Scatter], h: int, steps: int = MAX_STEPS) -> Scatter:
+    """Concentration steps until no determinant falls any more; the least one's estimate, the
+    first of several. Raises if some determinant still falls after `steps`."""
+    current, moving = list(starts), list(range(len(starts)))
     for _ in range(steps):
-        following = concentration_step(features, current, h)
-        settled = following.log_det >= current.log_det - 1e-9 or following.log_det == -math.inf
-        current = following
-        if settled:
-            break
-    return current
+        for k, following in zip(list(moving), concentration_steps(features, [current[k] for k in moving], h)):
+            if following.log_det >= current[k].log_det - 1e-9 or following.log_det == -math.inf:
+                moving.remove(k)
+            current[k] = following
+        if not moving:
+            return min(current, key=lambda s: s.log_det)
+    raise ArithmeticError(f"no convergence in {steps} concentration steps")
 
 
 def start_rows(d: int) -> int:
     return min(START_ROWS, max(2_000, START_CELLS // d))
 
 
-def _starting_scatter(features: Features, support: float, seed: int) -> Scatter:
-    """Best of many random starts, each concentrated on a bounded row sample."""
+def starting_scatters(features: Features, support: float, seed: int) -> list[Scatter]:
+    """The best of many random starts, each concentrated on a bounded row sample."""
     spark, d = features.df.sparkSession, features.d
-    rows = row_sample(features, start_rows(d), seed)[features.cols].to_numpy(float)
+    table = row_sample(features, start_rows(d), seed)
+    rows, ids = table[features.cols].to_numpy(float), [str(i) for i in table[features.id_col]]
     h = max(1, int(support * len(rows)))
-    shared = spark.sparkContext.broadcast(rows)
+    shared = spark.sparkContext.broadcast((rows, ids))
 
     def try_starts(batches):
-        x = shared.value
+        x, ids = shared.value
         for batch in batches:
             for start in batch.column("id").to_pylist():
-                rng = np.random.default_rng([seed, start])
+                # rows in the order of a hash, so that any engine can draw the same ones
+                keys = [(hashlib.md5(f"{seed}:{start}:{i}".encode()).hexdigest(), i) for i in ids]
                 # small starts escape outliers, large ones find points held by most rows
-                chosen = rng.permutation(len(x))[: d + 1 if start % 2 else h]
+                chosen = np.array(sorted(range(len(x)), key=keys.__getitem__)[: d + 1 if start % 2 else h])
                 last = math.inf
                 for _ in range(MAX_STEPS):
                     location = x[chosen].mean(axis=0)
@@ -113,23 +171,75 @@ def _starting_scatter(features: Features, support: float, seed: int) -> Scatter:
     schema = "start bigint, log_det double, location array<double>, cov array<double>"
     tasks = min(STARTS, spark.sparkContext.defaultParallelism)
     tried = spark.range(0, STARTS, 1, tasks).mapInArrow(try_starts, schema)
-    best = tried.orderBy("log_det", "start").first()
-    return Scatter(np.array(best["location"]), np.array(best["cov"]).reshape(d, d))
-
-
-def _shortest_half(features: Features, h: int, seed: int) -> Scatter:
-    """One feature: the shortest interval over h + 1 sorted values. Exact up to HALF_ROWS rows;
-    a larger table starts from its sample's interval and concentrates on all rows."""
-    x = np.sort(row_sample(features, HALF_ROWS, seed)[features.cols[0]].to_numpy(float))
-    hs = h if len(x) == features.n else max(1, int(h / features.n * len(x)))
-    if hs >= len(x):
-        return Scatter(np.array([x.mean()]), np.array([[x.var()]]))
-    width = x[hs:] - x[: len(x) - hs]
-    at = np.nonzero(width == width.min())[0]
-    middle = float((0.5 * (x[hs + at] + x[at])).mean())
-    half = x[np.argsort(np.abs(x - middle), kind="stable")[:hs]]
-    scatter = Scatter(np.array([middle]), np.array([[half.var()]]))
-    return scatter if len(x) == features.n else concentrate(features, scatter, h)
+    found: list[Scatter] = []
+    for row in tried.orderBy("log_det", "start").collect():  # STARTS rows
+        scatter = Scatter(np.array(row["location"]), np.array(row["cov"]).reshape(d, d))
+        # many starts end alike
+        if not any(abs(scatter.log_det - other.log_det) < 1e-9 or scatter.log_det == other.log_det for other in found):
+            found.append(scatter)
+    return found[:CARRIED]
+
+
+def _shortest_spans(features: Features, h: int) -> tuple[float, float]:
+    """Of sorted values, the least x[r + h] - x[r], and the mean middle of all r that have it.
+
+    A value holds a run of ranks, so both ends are steps over r. The ranks where either end
+    steps are put in order; between two of them both ends stay. Values ascend, so an end's
+    value at a rank is the greatest one begun by then: a running maximum inside each range
+    of ranks, and the ranges' maxima before it."""
+    n = features.n
+    counts, _ = cumulative_counts(features)
+    first = F.col("cum") - F.col("cnt")
+    none = F.lit(None).cast("double")
+    steps = counts.select(first.alias("at"), F.col("v").alias("low"), none.alias("high")).unionByName(
+        counts.select((first - F.lit(h)).alias("at"), none.alias("low"), F.col("v").alias("high"))
+    )
+    merged = steps.groupBy("at").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+    ranged = stage(merged.repartitionByRange("at").withColumn("part", F.spark_partition_id()), "half-steps")
+    # a row for each range
+    of_part = ranged.groupBy("part").agg(F.max("low").alias("low"), F.max("high").alias("high"), F.min("at").alias("begin"))
+    parts = Window.partitionBy(F.lit(0)).orderBy("part")
+    before = parts.rowsBetween(Window.unboundedPreceding, -1)
+    carried = of_part.select(
+        "part",
+        F.max("low").over(before).alias("low_before"),
+        F.max("high").over(before).alias("high_before"),
+        F.lead("begin").over(parts).alias("after"),
+    )
+    inside = Window.partitionBy("part").orderBy("at")
+    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = ranged.select(
+        "part", "at", F.max("low").over(running).alias("low"), F.max("high").over(running).alias("high"), F.lead("at").over(inside).alias("next")
+    ).join(F.broadcast(carried), "part")
+    low, high = F.greatest("low", "low_before"), F.greatest("high", "high_before")
+    end = F.least(F.coalesce("next", "after", F.lit(n - h)), F.lit(n - h))
+    spans = spans.select((high - low).alias("width"), ((low + high) / 2).alias("middle"), (end - F.greatest("at", F.lit(0))).alias("rows"))
+    spans = stage(spans.filter("rows > 0"), "half-spans")
+    width = spans.agg(F.min("width")).first()[0]
+    tied = spans.filter(F.col("width") == F.lit(width)).agg(F.sum(F.col("middle") * F.col("rows")).alias("s"), F.sum("rows").alias("n")).first()
+    return width, tied["s"] / tied["n"]
+
+
+def _shortest_half(features: Features, h: int) -> Scatter:
+    """One feature: the middle of the shortest interval over h + 1 sorted values (the mean one
+    of several), and the variance of the h values nearest to it, lower ones first."""
+    n, x = features.n, features.cols[0]
+    if h >= n:
+        return Scatter(features.profile.mean, np.array([[features.profile.var[0]]]))
+    _, middle = _shortest_spans(features, h)
+    away = features.df.select((F.col(name(x)) - F.lit(middle)).alias("d"))
+    gap = away.withColumn("gap", F.expr(significant("abs(d)")))  # both sides tie although the middle is rounded
+    (limit,) = order_statistics(gap, "gap", [h - 1], n)
+    side = F.when(F.col("gap") < F.lit(limit), 0).when(F.col("d") < 0, 1).otherwise(2).alias("side")
+    sums = gap.filter(F.col("gap") <= F.lit(limit)).groupBy(side).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("q")
+    )
+    left, total, square = h, 0.0, 0.0
+    for row in sorted(sums.collect(), key=lambda r: r["side"]):  # three rows
+        taken = min(left, row["n"])
+        left -= taken
+        total, square = total + row["s"] * taken / row["n"], square + row["q"] * taken / row["n"]
+    return Scatter(np.array([middle]), np.array([[max(0.0, square / h - (total / h) ** 2)]]))
 
 
 def reweighted(features: Features, raw: Scatter, h: int) -> Scatter:
@@ -150,12 +260,9 @@ def robust_scatter(features: Features, support: float, seed: int) -> Scatter:
     """Minimum covariance determinant with correction and reweighting."""
     h = max(1, int(support * features.n))
     if features.d == 1:
-        raw = _shortest_half(features, h, seed)
+        raw = _shortest_half(features, h)
     else:
-        raw = _starting_scatter(features, support, seed)
-        # a sample that is the whole table has already converged
-        if features.n > start_rows(features.d):
-            raw = concentrate(features, raw, h)
+        raw = concentrate(features, starting_scatters(features, support, seed), h)
     return reweighted(features, raw, h)
 
 
@@ -178,37 +285,6 @@ def _flag_distances(features: Features, scatter: Scatter, contamination: float,
     return flag_top(scored.withColumn("score", F.expr(significant("score"))), contamination, features.n)
 
 
-def mean_distance_scores(features: Features, seed: int = 0) -> DataFrame:
-    """Mean Euclidean distance to all rows, itself included. Exact up to EXACT_PAIR_ROWS
-    rows (distinct points are broadcast with their counts); above that an unbiased
-    estimate from a seeded sample of reference rows, since all pairs are quadratic."""
-    cols, n = features.cols, features.n
-    if n <= EXACT_PAIR_ROWS:
-        points = distinct_points(features).orderBy("point").toArrow()
-        reference, weight = kernels.matrix(points, cols), kernels.column(points, "copies").astype(float)
-    else:
-        reference = row_sample(features, REFERENCE_ROWS, seed)[cols].to_numpy(float)
-        weight = np.ones(len(reference))
-    shared = features.df.sparkSession.sparkContext.broadcast((reference, weight / weight.sum()))
-
-    def measure(batches):
-        points, share = shared.value
-        step = max(1, kernels.BLOCK // len(points))
-        for batch in batches:
-            x = kernels.matrix(batch, cols)
-            score = np.empty(len(x))
-            for at in range(0, len(x), step):
-                score[at : at + step] = np.sqrt(kernels.squared_distances(x[at : at + step], points)) @ share
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
-
-    schema = T.StructType([*features.df.schema.fields, T.StructField("score", T.DoubleType())])
-    return map_in_arrow(features.spread(), measure, schema).withColumn("score", F.expr(significant("score")))
-
-
-def mean_distance(features: Features, contamination: float, seed: int = 0) -> DataFrame:
-    return flag_top(stage(mean_distance_scores(features, seed), "mean-distance"), contamination, features.n)
-
-
 def elliptic(features: Features, contamination: float, seed: int = 0, steps: int | None = None) -> DataFrame:
     """Robust elliptic envelope. Falls back to mean pairwise distance when the covariance
     cannot be estimated or inverted. With `steps`, a fixed number of concentration steps
@@ -218,7 +294,7 @@ def elliptic(features: Features, contamination: float, seed: int = 0, steps: int
     if n < 2 or varying.d == 0:
         return _none_flagged(features)
     if varying.d >= n:
-        return mean_distance(features, contamination, seed)
+        return mean_distance(features, contamination)
     if varying.d > 1:
         # the condition number does not depend on the factor n / (n - 1)
         try:
@@ -226,7 +302,7 @@ def elliptic(features: Features, contamination: float, seed: int = 0, steps: int
         except np.linalg.LinAlgError:
             singular = True
         if singular:
-            return mean_distance(features, contamination, seed)
+            return mean_distance(features, contamination)
     support = parameters.elliptic_support(n, features.d)
     scatter = robust_scatter(varying, support, seed) if steps is None else from_classical_start(varying, support, steps)
     return _flag_distances(varying, scatter, contamination, features)
@@ -247,5 +323,5 @@ def mcd(features: Features, contamination: float, seed: int = 0, steps: int | No
     try:
         scatter = robust_scatter(varying, support, seed) if steps is None else from_classical_start(varying, support, steps)
     except (np.linalg.LinAlgError, ValueError):
-        return mean_distance(features, contamination, seed)
+        return mean_distance(features, contamination)
     return _flag_distances(varying, scatter, contamination, features)

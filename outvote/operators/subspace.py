@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +21,11 @@ from outvote.staging import stage
 TRAIN_ROWS = 256  # fixed value: rows each round measures distances to
 
 
+def subset_key(seed: int, number: int, feature: int) -> str:
+    """Features of a round come in the order of these."""
+    return hashlib.md5(f"{seed}:{number}:{feature}".encode()).hexdigest()
+
+
 def inne_scores(
     features: Features, seed: int = 0, rounds: int | None = None, subspaces: list[list[int]] | None = None
 ) -> DataFrame:
@@ -30,9 +37,8 @@ def inne_scores(
     n, d = features.n, features.d
     rounds = rounds or parameters.subspace_rounds(n)
     if subspaces is None:
-        rng = np.random.default_rng([seed, 1])
         size = parameters.subspace_features(d)
-        subspaces = [rng.permutation(d)[:size].tolist() for _ in range(rounds)]
+        subspaces = [sorted(range(d), key=lambda j: subset_key(seed, r, j))[:size] for r in range(rounds)]
     train = min(TRAIN_ROWS, n)
     nearest = max(1, min(parameters.subspace_neighbours(n), train - 1))
     rows, index = per_round_samples(features, rounds, train, seed)

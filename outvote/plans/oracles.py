@@ -40,6 +40,17 @@ SOURCES = {
         [f"e{i}" for i in range(8)],
         "select vec_id, " + ", ".join(f"cast(embedding[{i + 1}] as double) as e{i}" for i in range(8)) + " from embeddings",
     ),
+    "emb64": (
+        "vec_id",
+        [f"e{i}" for i in range(64)],
+        "select vec_id, " + ", ".join(f"cast(embedding[{i + 1}] as double) as e{i}" for i in range(64)) + " from embeddings",
+    ),
+    "orders2": (
+        "o_orderkey",
+        ["o_totalprice", "day"],
+        """select o_orderkey, o_totalprice,
+             cast(date_diff('day', date '1992-01-01', cast(o_orderdate as date)) as double) as day from orders""",
+    ),
     "accounts": (
         "c_custkey",
         ["c_acctbal", "c_nationkey"],
@@ -72,8 +83,14 @@ def shown(score: str) -> str:
     return f"round({score}, 6)"
 
 
-def flag_tail(columns: str, scored: str = "s") -> str:
-    """Final select over a CTE with `score`: strictly above the 95th percentile."""
+def flag_tail(columns: str, scored: str = "s", level: str | None = None) -> str:
+    """Final select over a CTE with `score`: strictly above the 95th percentile, or above the
+    score at a computed level."""
+    if level is not None:
+        return (
+            f"select {columns}, {shown('score')} as score, score > (select score from (select score, row_number() over (order by score) as r, "
+            f"count(*) over () as n from {scored}) where r = cast(floor((n - 1) * {level}) as bigint) + 1) as is_outlier from {scored}"
+        )
     return (
         f"select {columns}, {shown('score')} as score, "
         f"score > (select quantile_cont(score, 0.95) from {scored}) as is_outlier from {scored}"
@@ -167,10 +184,10 @@ def ecod_ctes(name: str, p: str) -> tuple[str, str]:
     )
 
 
-def statistical(name: str, ctes, **settings) -> str:
+def statistical(name: str, ctes, level: str | None = None, **settings) -> str:
     key, cols, base = source(name)
     chain, scored = ctes(name, "x_", **settings)
-    return f"with {base}, {chain} {flag_tail(key or ', '.join(cols), scored)}"
+    return f"with {base}, {chain} {flag_tail(key or ', '.join(cols), scored, level)}"
 
 
 # ---- neighbours ------------------------------------------------------------------
@@ -258,45 +275,178 @@ def inne(name: str) -> str:
       s as (select id as {key}, {significant('avg(m)')} as score from m group by id) {flag_tail(key)}"""
 
 
+def hex_share(text: str, begin: int, digits: int) -> str:
+    """Some hexadecimal digits of a text as a number from 0 to 1."""
+    each = f"list_transform(string_split(substr({text}, {begin}, {digits}), ''), lambda ch: cast(instr('0123456789abcdef', ch) - 1 as double))"
+    return f"list_reduce(list_prepend(cast(0 as double), {each}), lambda a, b: a * 16 + b) / power(16, {digits})"
+
+
+def hashed_rounds(key: str, size: int, rounds: str) -> str:
+    """CTEs: `rounds` samples of `size` rows, chunks of one seeded order after another."""
+    return f"""rounds as (select cast({rounds} as bigint) as rounds from c),
+      passes as (select rounds, greatest(1, least(n, rounds * {size}) // {size}) as chunks from c, rounds),
+      ranked as (select f.*, p, row_number() over (partition by p order by
+          md5(cast({key} as varchar) || ':0' || case when p > 0 then ':' || p else '' end), cast({key} as varchar)) - 1 as at
+        from f, passes, range(0, cast((rounds - 1) // chunks + 1 as bigint)) r(p)),
+      sampled as (select t.round, ranked.* exclude (p, at) from passes, range(0, cast(rounds as bigint)) t(round), ranked
+        where p = t.round // chunks and at // {size} = t.round % chunks)"""
+
+
+def path_length(count: str) -> str:
+    return (
+        f"case when {count} <= 1 then 0 when {count} = 2 then 1 "
+        f"else 2.0 * (ln({count} - 1.0) + 0.5772156649015329) - 2.0 * ({count} - 1.0) / {count} end"
+    )
+
+
+def forest(name: str, trees: str, size: int = 256, height: int = 8) -> tuple[str, str]:
+    """(id column, CTEs up to `s` with `score`): trees grown level by level from md5 draws,
+    then every row walked down every tree."""
+    key, cols, base = source(name)
+    d = len(cols)
+    xs = "[" + ", ".join(f"cast({x} as double)" for x in cols) + "]"
+    parts = [f"with {base}, {hashed_rounds(key, size, trees)}", f"s0 as (select round as tree, {xs} as xs, 0 as node from sampled)"]
+    for k in range(height + 1):
+        lows = ", ".join(f"min(xs[{j + 1}])" for j in range(d))
+        highs = ", ".join(f"max(xs[{j + 1}])" for j in range(d))
+        parts.append(f"st{k} as (select tree, node, count(*) as cnt, [{lows}] as lo, [{highs}] as hi from s{k} group by tree, node)")
+        if k == height:
+            parts.append(f"leaf{k} as (select tree, node, {k} + {path_length('cnt')} as depth from st{k})")
+            break
+        text = "md5('0:' || tree || ':' || node)"
+        parts.append(
+            f"""v{k} as (select *, list_filter(range(1, {d + 1}), lambda j: lo[j] < hi[j]) as vary from st{k}),
+      u{k} as (select *, vary[1 + cast(floor({hex_share(text, 1, 8)} * len(vary)) as int)] as feature, {hex_share(text, 9, 12)} as place
+        from v{k} where cnt > 1 and len(vary) > 0),
+      sp{k} as (select tree, node, feature, case when lo[feature] + place * (hi[feature] - lo[feature]) >= hi[feature] then lo[feature]
+        else lo[feature] + place * (hi[feature] - lo[feature]) end as cut from u{k}),
+      leaf{k} as (select tree, node, {k} + {path_length('cnt')} as depth from v{k} where not (cnt > 1 and len(vary) > 0)),
+      s{k + 1} as (select s.tree, s.xs, 2 * s.node + 1 + cast(s.xs[feature] > cut as int) as node from s{k} s join sp{k} p on p.tree = s.tree and p.node = s.node)"""
+        )
+    parts.append(f"w0 as (select {key} as id, {xs} as xs, tree, 0 as node from f, rounds, range(0, cast(rounds as bigint)) t(tree))")
+    parts += [
+        f"w{k + 1} as (select w.id, w.xs, w.tree, 2 * w.node + 1 + cast(w.xs[feature] > cut as int) as node from w{k} w join sp{k} p on p.tree = w.tree and p.node = w.node)"
+        for k in range(height)
+    ]
+    walks = " union all ".join(f"select id, depth from w{k} w join leaf{k} l on l.tree = w.tree and l.node = w.node" for k in range(height + 1))
+    score = significant(f"power(2, -sum(depth) / (max(rounds) * ({path_length(str(float(size)))})))")
+    parts.append(f"paths as ({walks})")
+    parts.append(f"s as (select id as {key}, {score} as score from paths, rounds group by id)")
+    return key, ",\n      ".join(parts)
+
+
+def isoforest(name: str, level: str | None = None) -> str:
+    key, ctes = forest(name, "greatest(50, least(200, n // 10))")
+    return f"{ctes} {flag_tail(key, level=level)}"
+
+
+def contamination(name: str) -> str:
+    _, ctes = forest(name, "100")
+    return f"{ctes} select avg(cast(score > 0.5 as int)) as contamination from s"
+
+
+def inne_default(name: str) -> str:
+    """Rounds of 256 rows, each in the features whose hashes come first."""
+    key, cols, base = scaled_source(name)
+    d, size = len(cols), max(1, int(len(cols) ** 0.5))
+    orders = f"list_sort(list_transform(range(0, {d}), lambda j: md5('0:' || round || ':' || j) || j))[1:{size}]"
+    dist = " + ".join(f"case when list_contains(chosen, {j}) then (f.{x} - t.{x}) * (f.{x} - t.{x}) else 0 end" for j, x in enumerate(cols))
+    return f"""with {base}, {hashed_rounds(key, 256, "greatest(50, least(200, cast(floor(log2(n) * 10) as bigint)))")},
+      t as (select *, list_transform({orders}, lambda h: cast(substr(h, 33) as int)) as chosen from sampled),
+      k as (select greatest(1, least(10, cast(floor(ln(n)) as int))) as k from c),
+      m as (select t.round, f.{key} as id, list_avg(min(sqrt({dist}), (select k from k))) as m from f, t group by t.round, f.{key}),
+      s as (select id as {key}, {significant('avg(m)')} as score from m group by id) {flag_tail(key)}"""
+
+
 def mean_distance(name: str) -> str:
     key, cols, base = source(name)
     dist = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in cols)
     return f"with {base}, s as (select a.{key}, {significant(f'avg(sqrt({dist}))')} as score from f a, f b group by a.{key}) {flag_tail(key)}"
 
 
-def robust_2d(name: str, support: str, steps: int) -> str:
-    """Concentration steps from the classical estimate, correction, reweighting. For two
-    features a chi-squared quantile at p is -2 ln(1 - p)."""
-    key, (x, y), base = source(name)
+ELLIPTIC_SUPPORT = "greatest(0.5, least(0.9, (n - 3.0) / n))"
+MCD_SUPPORT = "greatest(0.5, least(0.9, greatest(3, floor(n * 0.5)) / n))"
 
-    def fit(at: str, rows: str) -> str:
-        return (
-            f"{at} as (select avg({x}) as mx, avg({y}) as my, covar_pop({x}, {x}) as a, covar_pop({x}, {y}) as b, "
-            f"covar_pop({y}, {y}) as d from {rows})"
-        )
 
-    def dist(at: str, model: str) -> str:
-        return (
-            f"{at} as (select f.*, (d * ({x} - mx) * ({x} - mx) - 2 * b * ({x} - mx) * ({y} - my) "
-            f"+ a * ({y} - my) * ({y} - my)) / (a * d - b * b) as dist from f, {model})"
-        )
+def _fit_2d(at: str, rows: str, x: str, y: str, by: str = "") -> str:
+    group, key = (f" group by {by}", f"{by}, ") if by else ("", "")
+    return (
+        f"{at} as (select {key}avg({x}) as mx, avg({y}) as my, covar_pop({x}, {x}) as a, covar_pop({x}, {y}) as b, "
+        f"covar_pop({y}, {y}) as d from {rows}{group})"
+    )
+
+
+def _dist_2d(at: str, model: str, x: str, y: str, by: str = "") -> str:
+    key = f"{by}, " if by else ""
+    return (
+        f"{at} as (select {key}f.*, (d * ({x} - mx) * ({x} - mx) - 2 * b * ({x} - mx) * ({y} - my) "
+        f"+ a * ({y} - my) * ({y} - my)) / (a * d - b * b) as dist from f, {model})"
+    )
+
+
+def _reweighted_2d(raw: str, key: str, x: str, y: str) -> list[str]:
+    """Correction and reweighting from the model `raw`. For two features a chi-squared quantile
+    at p is -2 ln(1 - p)."""
+    return [
+        _dist_2d("raw", raw, x, y),
+        "corr as (select median(dist) / (-2 * ln(0.5)) as q from raw)",
+        _fit_2d("last", "(select raw.* from raw, corr where dist / q < -2 * ln(0.025))", x, y),
+        _dist_2d("fin", "last", x, y),
+        f"s as (select {key}, {significant('dist')} as score from fin)",
+    ]
 
-    parts = [f"h as (select cast(floor({support} * n) as bigint) as h from c)", fit("m0", "f")]
+
+def robust_2d(name: str, support: str, steps: int) -> str:
+    """Concentration steps from the classical estimate, correction, reweighting."""
+    key, (x, y), base = source(name)
+    parts = [f"h as (select cast(floor({support} * n) as bigint) as h from c)", _fit_2d("m0", "f", x, y)]
     for i in range(steps):
-        parts.append(dist(f"d{i}", f"m{i}"))
+        parts.append(_dist_2d(f"d{i}", f"m{i}", x, y))
         parts.append(
             f"k{i} as (select * from d{i} where dist <= (select max(dist) from "
             f"(select dist, row_number() over (order by dist) as r from d{i}), h where r <= h))"
         )
-        parts.append(fit(f"m{i + 1}", f"k{i}"))
-    parts.append(dist("raw", f"m{steps}"))
-    parts.append("corr as (select median(dist) / (-2 * ln(0.5)) as q from raw)")
-    parts.append(fit("last", "(select raw.* from raw, corr where dist / q < -2 * ln(0.025))"))
-    parts.append(dist("fin", "last"))
-    parts.append(f"s as (select {key}, {significant('dist')} as score from fin)")
+        parts.append(_fit_2d(f"m{i + 1}", f"k{i}", x, y))
+    parts += _reweighted_2d(f"m{steps}", key, x, y)
     return f"with {base}, {', '.join(parts)} {flag_tail(key)}"
 
 
+def robust_starts_2d(name: str, support: str, level: str | None = None, starts: int = 64, steps: int = 40) -> str:
+    """Starts drawn by hash (three rows, or as many as support the estimate, in turn), each taking
+    more concentration steps than it needs; the one of least determinant, corrected and
+    reweighted. For tables that starts see whole."""
+    key, (x, y), base = source(name)
+    parts = [
+        f"h as (select cast(floor({support} * n) as bigint) as h from c)",
+        f"""k0 as (select start, {x}, {y} from (select start, f.*, row_number() over (partition by start
+          order by md5('0:' || start || ':' || {key}), cast({key} as varchar)) as r from f, range(0, {starts}) t(start)), h
+          where r <= case when start % 2 = 1 then 3 else h end)""",
+        _fit_2d("m0", "k0", x, y, "start"),
+    ]
+    for i in range(steps):
+        parts.append(_dist_2d(f"d{i}", f"m{i}", x, y, "start"))
+        parts.append(
+            f"k{i + 1} as (select start, {x}, {y} from (select *, row_number() over (partition by start order by dist) as r from d{i}), h where r <= h)"
+        )
+        parts.append(_fit_2d(f"m{i + 1}", f"k{i + 1}", x, y, "start"))
+    parts.append(f"best as (select * exclude (start) from m{steps} order by ln(a * d - b * b), start limit 1)")
+    parts += _reweighted_2d("best", key, x, y)
+    return f"with {base}, {', '.join(parts)} {flag_tail(key, level=level)}"
+
+
+def events_pipeline() -> str:
+    """Estimated contamination, five detectors at that share, rows with three votes or more."""
+    level = "(select (1 - contamination) * 100 / 100 from con)"
+    detectors = [statistical("events2", c, level) for c in (zscore_ctes, hbos_ctes, ecod_ctes)]
+    detectors += [isoforest("events2", level), robust_starts_2d("events2", MCD_SUPPORT, level)]
+    flags = " union all ".join(f"select event_id, is_outlier from ({sql})" for sql in detectors)
+    return f"""with con as materialized ({contamination("events2")}), flags as ({flags}),
+      votes as (select event_id as row_id, count(*) as n_votes from flags where is_outlier group by event_id)
+      select row_id, n_votes, cast(round_even(n_votes * 100.0 / 5.0, 0) as bigint) as consensus_pct,
+        case when n_votes / 5.0 >= 0.8 then 'Very High' when n_votes / 5.0 >= 0.6 then 'High' else 'Moderate' end as confidence
+      from votes where n_votes >= 3"""
+
+
 # ---- votes -----------------------------------------------------------------------
 
 VOTER_CTES = {"zscore": zscore_ctes, "hbos": hbos_ctes, "copod": copod_ctes, "ecod": ecod_ctes}
@@ -412,6 +562,7 @@ def oracle_sql() -> dict[str, str]:
         "knn_parts": knn("parts"),
         "knn_parts_partitioned": knn("parts"),
         "knn_embeddings": knn("emb8"),
+        "knn_embeddings_whole": knn("emb64"),
         "lof_customers": lof("profile"),
         "lof_documents": lof("docs"),
         "dbscan_customers": dbscan("profile"),
@@ -422,9 +573,16 @@ def oracle_sql() -> dict[str, str]:
         "lof_named_parts": by_name(lof("parts")),
         "dbscan_named_parts": by_name(dbscan("parts")),
         "inne_customers_t5": inne("profile"),
+        "inne_customers": inne_default("profile"),
+        "isoforest_events": isoforest("events2"),
+        "isoforest_customers": isoforest("profile"),
+        "contamination_estimate": contamination("events2"),
         "mean_distance_fallback": mean_distance("accounts"),
-        "elliptic_2d": robust_2d("events2", "greatest(0.5, least(0.9, (n - 3.0) / n))", 3),
-        "mcd_2d": robust_2d("events2", "greatest(0.5, least(0.9, greatest(3, floor(n * 0.5)) / n))", 3),
+        "mean_distance_orders": f"select o_orderkey, is_outlier from ({mean_distance('orders2')})",
+        "elliptic_2d": robust_2d("events2", ELLIPTIC_SUPPORT, 3),
+        "elliptic_events": robust_starts_2d("events2", ELLIPTIC_SUPPORT),
+        "pipeline_events": events_pipeline(),
+        "mcd_2d": robust_2d("events2", MCD_SUPPORT, 3),
         "flags": f"{FLAGS} select row_id, detector, {shown('score')} as score, is_outlier from flags",
         "wide_flags": f"{FLAGS} select row_id, "
         + ", ".join(f"bool_or(is_outlier) filter (where detector = '{v}') as {v}" for v in VOTERS)
@@ -464,6 +622,10 @@ def oracle_sql() -> dict[str, str]:
             round((value - mx) * ux + (hour_of_day - my) * uy, 6) as pc1,
             round(case when abs(uy) >= abs(ux) then sign(uy) else -sign(ux) end * ((value - mx) * uy - (hour_of_day - my) * ux), 6) as pc2
             from f, pc""",
+        "projection_table_events": f"""select p.*, z.is_outlier from ({event_components()} select event_id,
+            round((value - mx) * ux + (hour_of_day - my) * uy, 6) as pc1,
+            round(case when abs(uy) >= abs(ux) then sign(uy) else -sign(ux) end * ((value - mx) * uy - (hour_of_day - my) * ux), 6) as pc2
+            from f, pc) p join ({zs_events}) z using (event_id)""",
         "explained_variance": f"""{event_components()} select cast(1 as int) as component, round(l1 / (l1 + l2), 9) as ratio from pc
             union all select 2, round(l2 / (l1 + l2), 9) from pc union all select 0, cast(1 as double) from pc""",
         "picture_stats": f"""select round(avg(cast(is_outlier as int)) * 100, 6) as outlier_rate_pct,

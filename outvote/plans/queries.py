@@ -12,7 +12,7 @@ from outvote.functions.parameters import histogram_bins, knn_neighbours
 from outvote.functions.ranks import cumulative_counts
 from outvote.functions.selection import percentiles
 from outvote.operators import clean as C
-from outvote.operators import forest, neighbourhood, projection, robust, statistical, subspace
+from outvote.operators import forest, neighbourhood, pair_distances, projection, robust, statistical, subspace
 from outvote.operators import svm as svm_
 from outvote.operators import votes as V
 from outvote.operators.knn_join import Limits, nearest_others
@@ -92,6 +92,11 @@ def customer_accounts(spark: SparkSession, folder: str) -> Features:
     return C.prepare(customers.select("c_custkey", "c_acctbal", "c_nationkey"), "c_custkey")
 
 
+def orders_features(spark: SparkSession, folder: str) -> Features:
+    days = F.datediff("o_orderdate", F.lit("1992-01-01").cast("date"))
+    return C.prepare(table(spark, folder, "orders").select("o_orderkey", "o_totalprice", days.alias("day")), "o_orderkey")
+
+
 def parts_by_name(spark: SparkSession, folder: str) -> Features:
     """Parts under a text id, features with dots in their names."""
     parts = table(spark, folder, "part")
@@ -218,6 +223,12 @@ def knn_parts_partitioned(spark, folder):
     return _shown(neighbourhood.knn(features, SHARE), "p_partkey")
 
 
+def mean_distance_orders(spark, folder):
+    """Flags alone: rows far from the threshold have bounds for a score."""
+    flagged = pair_distances.mean_distance(orders_features(spark, folder), SHARE, cheap=0)
+    return flagged.select("o_orderkey", "is_outlier")
+
+
 # ---- votes and reports -----------------------------------------------------------
 
 
@@ -348,6 +359,13 @@ def projection_table(spark, folder):
     return projection.projection_table(features, flagged, 3)
 
 
+def projection_table_events(spark, folder):
+    """Projected events with their flag, on the two features there are."""
+    features = events_features(spark, folder)
+    shown = projection.projection_table(features, statistical.zscore(features, SHARE), 2)
+    return shown.select("event_id", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"), "is_outlier")
+
+
 def picture_stats(spark, folder):
     features = events_features(spark, folder)
     stats = projection.picture_stats(features, statistical.zscore(features, SHARE))
@@ -416,7 +434,8 @@ QUERIES = {
     "dbscan_named_parts": named_parts_query(neighbourhood.dbscan),
     "inne_customers_t5": detector_query(customer_profile, subspace.inne, rounds=5, subspaces=INNE_SUBSPACES),
     "inne_customers": detector_query(customer_profile, subspace.inne),
-    "mean_distance_fallback": detector_query(customer_accounts, robust.mean_distance),
+    "mean_distance_fallback": detector_query(customer_accounts, pair_distances.mean_distance, every_score=True),
+    "mean_distance_orders": mean_distance_orders,
     "elliptic_2d": detector_query(events_features, robust.elliptic, steps=3),
     "mcd_2d": detector_query(events_features, robust.mcd, steps=3),
     "elliptic_events": detector_query(events_features, robust.elliptic),
@@ -449,6 +468,7 @@ QUERIES = {
     "pca_projection": pca_projection,
     "explained_variance": explained_variance,
     "projection_table": projection_table,
+    "projection_table_events": projection_table_events,
     "picture_stats": picture_stats,
     "picture_summary": picture_summary,
     "outlier_preserving_sample": outlier_preserving_sample,

@@ -8,6 +8,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+# While this holds, a query's shuffle files go when it ends: once a table is written, nothing
+# reads them again, and else they stay until the driver happens to collect its garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_folders: dict[str, str] = {}
 
 
@@ -56,7 +60,12 @@ def stage(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFr
     and later passes read only the columns they need."""
     spark = df.sparkSession
     path = staged_path(spark, label)
-    df.write.partitionBy(*partition_by).parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

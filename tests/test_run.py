@@ -206,6 +206,24 @@ def hull_by_brute_force(x):
     return keep
 
 
+@pytest.mark.parametrize("shape", ["circle", "circle and a cloud", "far points"])
+def test_hull_of_more_vertices_than_a_task_holds(spark, monkeypatch, shape):
+    """Points on a curve are all vertices, and no task can take them together."""
+    angle = np.linspace(0, 2 * np.pi, 3_000, endpoint=False)
+    x = np.column_stack([np.cos(angle), np.sin(angle)]) * 1000
+    rng = np.random.default_rng(0)
+    if shape != "circle":
+        x = np.vstack([x, rng.uniform(-600, 600, (2_000, 2))])
+    if shape == "far points":
+        x = np.vstack([x, [[0.0, 5_000.0], [40.0, -3_000.0]]])
+    wanted = P.hull_vertices(x)
+    monkeypatch.setattr(P, "HULL_GROUP", 300)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rng.permutation(x)], "pc1 double, pc2 double").repartition(6)
+    rows = P.convex_hull(df).orderBy("position").collect()
+    assert [r["position"] for r in rows] == list(range(len(wanted)))
+    assert np.array_equal(np.array([(r["x"], r["y"]) for r in rows]), wanted)
+
+
 def test_hull_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(1)
     circle = np.array([(np.cos(t), np.sin(t)) for t in rng.uniform(0, 6.28, 60)])
