@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from outvote.llm.columns import WORD, others
+from outvote.llm.columns import WORD, Beside, named
+from outvote.staging import stage
 
 WEIGHTS = (5, 2, 1)
 #: Words the mix takes in all, as percent of the words there are.
@@ -39,7 +40,7 @@ MADE = ["size", "source_size", "target", "taken", "copies", "first_position", "p
 
 
 def word_count(text: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(named(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, source: str = "source", size: str = "size") -> DataFrame:
@@ -102,17 +103,17 @@ def mix(
     """documents with size, source_size, target, taken, copies, first_position and
     positions (the time of each copy). Every document stays, also those not taken."""
     size = word_count(text_col) if size is None else size
-    tie = F.xxhash64(text_col) if text_col in documents.columns else F.lit(0)
-    kept = others(documents, MADE)
-    keyed = documents.withColumns(
-        {"__size": size, "__key": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), "__tie": tie}
-    )
-    targets = source_targets(keyed.select(F.col(source_col).alias("source"), F.col("__size").alias("size")))
-    rows = keyed.count()
-    buckets = max(1, min(1 << 24, -(-rows // BUCKET_ROWS)))
-    prefix = F.conv(F.substring("__key", 1, 6), 16, 10).cast("long")
-    keyed = keyed.withColumn("__bucket", F.shiftright(prefix * buckets, 24).cast("int"))
-    sums = keyed.groupBy(F.col(source_col).alias("__source"), "__bucket").agg(F.sum("__size").alias("__sum"))
+    tie = F.xxhash64(named(text_col)) if text_col in documents.columns else F.lit(0)
+    key = F.md5(F.coalesce(named(id_col).cast("string"), F.lit("")))
+    rows = Beside(documents, __size=size, __key=key, __tie=tie)
+    keyed, id_col, source_col = rows.df, rows.number(id_col), rows.number(source_col)
+    # a small row per document: texts are counted once for the targets and the totals
+    small = stage(keyed.select(F.col(source_col).alias("source"), F.col("__size").alias("size"), "__key"), "mix-sizes")
+    targets = source_targets(small)
+    buckets = max(1, min(1 << 24, -(-small.count() // BUCKET_ROWS)))
+    bucket = F.shiftright(F.conv(F.substring("__key", 1, 6), 16, 10).cast("long") * buckets, 24).cast("int").alias("__bucket")
+    keyed = keyed.select("*", bucket)
+    sums = small.groupBy(F.col("source").alias("__source"), bucket).agg(F.sum("size").alias("__sum"))
     before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("__source", "__bucket", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
     table = offsets.join(targets, offsets["__source"].eqNullSafe(targets["__source"])).drop(targets["__source"])
@@ -133,21 +134,23 @@ def mix(
     return (
         joined.withColumn("__begin", begin)
         .withColumn("__places", places)
-        .withColumn("positions", times)
+        .withColumn("__times", times)
         .select(
-            *kept,
+            *rows.others(MADE),
             F.col("__size").alias("size"),
             "source_size",
             "target",
             (F.col("__size") * F.size("__places")).cast("long").alias("taken"),
             F.size("__places").alias("copies"),
-            F.get("positions", F.lit(0)).alias("first_position"),
-            "positions",
+            F.get("__times", F.lit(0)).alias("first_position"),
+            F.col("__times").alias("positions"),
         )
     )
 
 
 def in_training_order(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row for each copy, range-partitioned and sorted by its time."""
-    timed = mixed.select(*(F.col(f"`{c}`") for c in columns), F.explode("positions").alias("__time"))
-    return timed.repartitionByRange("__time").sortWithinPartitions("__time").drop("__time")
+    rows = Beside(mixed.select(*map(named, columns), "positions"))
+    timed = rows.df.select(*rows.numbers[:-1], F.explode(rows.numbers[-1]).alias("__time"))
+    ordered = timed.repartitionByRange("__time").sortWithinPartitions("__time")
+    return ordered.select(*rows.others()[:-1])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outvote.llm.columns import named, needed
+from outvote.llm.columns import Beside, named, needed
 from outvote.llm.components import components
 from outvote.llm.text_arrays import BASE, Texts, chunked, mix, span_hashes, texts_of, window_hashes, words_of
 from outvote.staging import stage
@@ -385,9 +385,10 @@ def one_of_each(
     grouped = _grouped(documents, id_col, text_col, threshold, tolerance)
     kept = grouped.filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key")))
     kept = stage(kept.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")), "kept")
-    keyed = documents.withColumn("__key", F.xxhash64(F.col(text_col)))
-    same = keyed[id_col].cast("long").eqNullSafe(kept["doc_id"]) & (keyed["__key"] == kept["text_key"])
-    first = keyed.join(kept.select("doc_id", "text_key"), same, "left_semi")
+    rows = Beside(documents, __key=F.xxhash64(named(text_col)), __id=named(id_col).cast("long"))
+    same = F.col("__id").eqNullSafe(F.col("kept_id")) & (F.col("__key") == F.col("kept_key"))
+    wanted = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    first = rows.df.join(wanted, same, "left_semi")
     if kept.filter("n > 1").head(1):
-        first = first.dropDuplicates([id_col, "__key"])
-    return first.select(*map(named, documents.columns))
+        first = first.dropDuplicates(["__id", "__key"])
+    return first.select(*rows.others())

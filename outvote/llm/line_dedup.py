@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outvote.llm.columns import others
+from outvote.llm.columns import Beside, named
 from outvote.staging import stage, staged_path
 
 #: What is stripped at both ends of a line.
@@ -56,13 +56,20 @@ class Runs:
         self.spark, self.fanout = spark, fanout
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
+        self.written: list[str] = []
 
     def _write(self, df: DataFrame) -> str:
         name = f"outvote_run_{uuid.uuid4().hex}"
+        self.written.append(name)
         writer = df.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet")
         writer.option("path", staged_path(self.spark, "line-run")).saveAsTable(name)
         return name
 
+    def drop(self) -> None:
+        """Take the runs out of the catalog; their files go with the staged ones."""
+        for name in self.written:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def _keys(self, name: str) -> DataFrame:
         return self.spark.table(name).filter("__new").select(*KEY, "__first")
 
@@ -114,29 +121,33 @@ def dedup_lines(
     n_lines (before) and n_dropped. Lines compare without blanks at their ends and
     without ASCII case; those under min_chars code points stay."""
     spark = documents.sparkSession
-    marked = documents.withColumns(
-        {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "__text_hash": F.xxhash64(F.col(text_col))}
+    rows = Beside(
+        documents, __id=F.coalesce(named(id_col).cast("long"), F.lit(LAST)), __text_hash=F.xxhash64(named(text_col))
     )
+    marked, text_col = rows.df, rows.number(text_col)
     cuts = marked.approxQuantile("__id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     batch = sum(((F.col("__id") > F.lit(int(c))).cast("int") for c in sorted(set(cuts))), F.lit(0))
     lines = stage(_keyed_lines(marked.withColumn("__batch", batch), text_col, min_chars), "lines", ["__batch"])
     sizes = {r["__batch"]: r["count"] for r in lines.groupBy("__batch").count().collect()}  # at most `batches` rows
     runs, dropped = Runs(spark, fanout), []
-    for number, b in enumerate(sorted(sizes)):
-        part = lines.filter(F.col("__batch") == b).drop("__batch")
-        dropped.append(_doomed(part, runs.add(part), sizes[b]))
-        if number + 1 < len(sizes):
-            runs.compact()
+    try:
+        for number, b in enumerate(sorted(sizes)):
+            part = lines.filter(F.col("__batch") == b).drop("__batch")
+            dropped.append(stage(_doomed(part, runs.add(part), sizes[b]), "doomed-lines"))
+            if number + 1 < len(sizes):
+                runs.compact()
+    finally:
+        runs.drop()
     if not dropped:
         made = [F.size(_lines(text_col)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")]
-        return documents.select(*others(documents, ["n_lines", "n_dropped"]), *made)
+        return marked.select(*rows.others(["n_lines", "n_dropped"]), *made)
     gone = reduce(DataFrame.unionByName, dropped).groupBy(*ROW).agg(F.collect_set("__pos").alias("__gone"))
     joined = marked.join(gone, ROW, "left").withColumn("__lines", _lines(text_col))
     places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     kept = F.array_join(F.transform(places, lambda i: F.col("__lines")[i]), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
     return joined.withColumn(text_col, text).select(
-        *others(documents, ["n_lines", "n_dropped"]),
+        *rows.others(["n_lines", "n_dropped"]),
         F.size("__lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outvote.llm.columns import named, needed, others
+from outvote.llm.columns import Beside, named, needed
 from outvote.llm.kneser_ney import PART_BYTES, Lookup, grams_of, part_ratios, short_strings, spans_of
 from outvote.llm.text_arrays import Texts, chunked, span_hashes, texts_of
 from outvote.staging import discard, stage
@@ -41,8 +41,8 @@ from outvote.staging import discard, stage
 TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000
 #: Labels that are broadcast to the documents (16 bytes each); more are joined by shuffle.
 LABEL_ROWS = 1_000_000
-#: Frequent strings or expressions whose ratios are broadcast; all others are joined.
-HOT_ROWS = 200_000
+#: Frequent strings or expressions whose ratios are broadcast (32 bytes each); others are joined.
+HOT_ROWS = 400_000
 #: Strings whose probabilities are worked out in one group.
 PART_ROWS = 20_000
 REJECT = 0.7
@@ -113,9 +113,11 @@ def _expressions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = span_hashes(texts.data, spans.starts, spans.ends)
         _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         pairs = np.unique(spans.text * len(first) + which)
-        column = batch.column("kind").to_numpy()[pairs // len(first)]
-        counts = np.zeros((len(first), len(COUNTS)), np.int64)
-        np.add.at(counts, (pairs % len(first), column), 1)
+        text, word = pairs // len(first), pairs % len(first)
+        kind = pc.fill_null(batch.column("kind"), 0).to_numpy()[text]
+        alone = batch.column("alone").to_numpy(zero_copy_only=False)[text]
+        # column 0 is for all documents, the others for those learnt from
+        counts = np.stack([np.bincount(word[~alone if k == 0 else kind == k], minlength=len(first)) for k in range(len(COUNTS))], 1)
         words = [texts.data[a:b].tobytes() for a, b in zip(spans.starts[first], spans.ends[first])]
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *map(pa.array, counts.T.copy())], ["word", *COUNTS])
 
@@ -211,14 +213,16 @@ def expression_ratios(vocabulary: DataFrame) -> DataFrame:
     # strings of up to three bytes: their number does not grow with the table for long
     rows = extended.orderBy("string").toArrow()
     values = np.column_stack([rows.column(r).to_numpy() for r in RATIOS]).astype(float)
-    short = spark.sparkContext.broadcast([(t.keys, t.values) for t in short_strings(rows.column("string").to_pylist(), values)])
-    del rows, values
+    # counts, in four bytes each: an executor keeps a copy on disk until its memory is cleaned
+    tables = short_strings(rows.column("string").to_pylist(), values)
+    short = spark.sparkContext.broadcast([(t.keys, t.values.astype(np.float32)) for t in tables])
+    del rows, values, tables
 
     def rate(table: pa.Table) -> pa.Table:
         spelt = table.column("gram").to_pylist()
         c00, c01, c10, c11 = (table.column(c).to_numpy() for c in COUNTS[1:])
         learnt = [np.stack(c, 1).astype(float) for c in ((c10, c11), (c00, c01), (c00 + c10, c01 + c11))]
-        tables = tuple(Lookup(*t) for t in short.value)
+        tables = tuple(Lookup(keys, values.astype(float)) for keys, values in short.value)
         found = [part_ratios(spelt, counts, tables, m) for m, counts in enumerate(learnt)]
         lengths = np.fromiter(map(len, spelt), np.int64, len(spelt))
         ends = np.cumsum(lengths)
@@ -317,27 +321,32 @@ def describe(texts: DataFrame, ratios: DataFrame) -> DataFrame:
     )
 
 
-def learnt_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, toxic, fold and text of every labelled document outside the held-out third."""
+def learnt_from(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, toxic, fold and times (documents of that id) of every label that is learnt from:
+    it is 0 or 1, has a document, and that one is not held out. Staged; texts do not travel."""
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    usable = stage(usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "toxic-labels")
-    if usable.count() <= LABEL_ROWS:
-        usable = F.broadcast(usable)  # else texts travel to their labels
-    # ids alone tell which of them come more than once; only the texts of those are compared
-    repeated = stage(documents.select("doc_id").join(usable, "doc_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "toxic-repeated")
-    texts = documents.join(usable, "doc_id")
-    if not repeated.isEmpty():
-        least = texts.join(repeated, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-        texts = texts.join(repeated, "doc_id", "left_anti").select("doc_id", "toxic", "text").unionByName(least)
-    fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold")
-    return stage(texts.select("doc_id", "toxic", "text", fold), "toxic-learnt")
-
-
-def vocabulary_of(documents: DataFrame, learnt: DataFrame) -> DataFrame:
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    found = documents.select("doc_id").join(usable, "doc_id").groupBy("doc_id", "toxic").agg(F.count(F.lit(1)).alias("times"))
+    return stage(found.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")), "toxic-labels")
+
+
+def with_labels(documents: DataFrame, learnt: DataFrame) -> DataFrame:
+    """text, kind (of a text that is learnt from: 1 + 2 x fold + class) and alone: the row is there
+    for its kind only. Of several texts for an id the least is learnt from."""
+    kind = F.expr("1 + 2 * fold + toxic").alias("kind")
+    once, several = learnt.filter("times = 1").select("doc_id", kind), learnt.filter("times > 1").select("doc_id", kind)
+    if learnt.count() <= LABEL_ROWS:
+        once, several = F.broadcast(once), F.broadcast(several)  # else texts travel to their labels
+    rows = documents.join(once, "doc_id", "left").select("text", "kind", F.lit(False).alias("alone"))
+    if several.isEmpty():
+        return rows
+    least = documents.join(several, "doc_id").groupBy("doc_id", "kind").agg(F.min("text").alias("text"))
+    return rows.unionAll(least.select("text", "kind", F.lit(True).alias("alone")))
+
+
+def vocabulary_of(marked: DataFrame) -> DataFrame:
     """Every expression of the documents; in how many of them, and of those learnt from."""
-    # column 0 of the counts is for all documents, 1 + 2 x fold + class for those learnt from
-    rows = documents.select("text", F.lit(0).alias("kind")).unionAll(learnt.select("text", F.expr("1 + 2 * fold + toxic").alias("kind")))
-    words = rows.mapInArrow(_expressions, "word binary, " + ", ".join(f"{c} long" for c in COUNTS))
+    words = marked.mapInArrow(_expressions, "word binary, " + ", ".join(f"{c} long" for c in COUNTS))
     return stage(words.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)), "toxic-vocabulary")
 
 
@@ -348,19 +357,22 @@ def _text_key(text: Column) -> Column:
 def text_scores(documents: DataFrame, labels: DataFrame) -> DataFrame | None:
     """documents: doc_id, text. labels: doc_id, toxic. Returns the score of each distinct text
     by its key; nothing without labels of both classes."""
-    learnt = learnt_texts(documents, labels)
+    learnt = learnt_from(documents, labels)
     totals = {(r["fold"], r["toxic"]): r["count"] for r in learnt.groupBy("fold", "toxic").count().collect()}  # four rows
     of_class = [sum(n for (_, toxic), n in totals.items() if toxic == k) for k in (0, 1)]
     if not all(of_class):
         return None
-    vocabulary = vocabulary_of(documents, learnt)
+    vocabulary = vocabulary_of(with_labels(documents, learnt))
     # only the curve is fitted on a sample; a fold without one of the classes tells nothing
     apart = [f if all(totals.get((1 - f, k)) for k in (0, 1)) else 2 for f in (0, 1)]
     order = F.md5(F.col("doc_id").cast("string"))
     chosen = [learnt.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(n) for k, n in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS))]
     model = F.when(F.col("fold") == 0, F.lit(apart[0])).otherwise(F.lit(apart[1])).alias("model")
-    sample = stage(chosen[0].unionByName(chosen[1]).select(_text_key(F.col("text")).alias("key"), model, "text", "toxic"), "toxic-sample")
-    discard(learnt)
+    ids = stage(chosen[0].unionByName(chosen[1]).select("doc_id", "toxic", model), "toxic-sample-ids")
+    # a few thousand ids; of several texts for one the least
+    texts = documents.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic", "model").agg(F.min("text").alias("text"))
+    sample = stage(texts.select(_text_key(F.col("text")).alias("key"), "model", "text", "toxic"), "toxic-sample")
+    discard(learnt, ids)
     ratios = expression_ratios(vocabulary)
     discard(vocabulary)
     every = documents.select(_text_key(F.col("text")).alias("key"), F.lit(2).alias("model"), "text")
@@ -385,21 +397,25 @@ def score(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """documents with held_out, score (0 to 1) and predicted (1 from REJECT on)."""
     made = ["held_out", "score", "predicted"]
     scores = text_scores(needed(documents, doc_id=id_col, text=text_col), needed(labels, doc_id="doc_id", toxic="toxic"))
-    rows = documents.select(*others(documents, made))
+    rows = Beside(documents, __key=_text_key(named(text_col)), __held_out=held_out(named(id_col)))
     if scores is None:
-        scored = rows.withColumn("score", F.lit(0.0))
+        scored = rows.df.withColumn("__score", F.lit(0.0))
     else:
-        key = f"key of {text_col}"
-        keyed = rows.withColumn(key, _text_key(named(text_col)))
-        scored = keyed.join(scores.withColumnRenamed("key", key), key)
+        scored = rows.df.join(scores.select(F.col("key").alias("__key"), F.col("score").alias("__score")), "__key")
     return scored.select(
-        *map(named, rows.columns),
-        held_out(named(id_col)).alias("held_out"),
-        "score",
-        (F.col("score") >= REJECT).cast("int").alias("predicted"),
+        *rows.others(made),
+        F.col("__held_out").alias("held_out"),
+        F.col("__score").alias("score"),
+        (F.col("__score") >= REJECT).cast("int").alias("predicted"),
     )
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, with their columns."""
-    return score(documents, labels).filter("predicted = 0").select(*map(named, documents.columns))
+    scores = text_scores(needed(documents, doc_id="doc_id", text="text"), needed(labels, doc_id="doc_id", toxic="toxic"))
+    if scores is None:
+        return documents
+    # texts do not travel unless very many are rejected: Spark broadcasts what is small
+    rejected = scores.filter(F.col("score") >= REJECT).select(F.col("key").alias("__key"))
+    rows = Beside(documents, __key=_text_key(F.col("text")))
+    return rows.df.join(rejected, "__key", "left_anti").select(*rows.others())

@@ -47,8 +47,9 @@ def test_expressions_outside_the_curves_sample_are_learnt(spark, make, monkeypat
 def test_ratios_equal_those_of_models_in_one_piece(spark, make, monkeypatch, hot):
     monkeypatch.setattr(X, "HOT_ROWS", hot)
     rows, labels = rows_of()
-    learnt = X.learnt_texts(make(rows).select("doc_id", "text"), spark.createDataFrame(labels, "doc_id long, toxic int"))
-    vocabulary = X.vocabulary_of(make(rows), learnt)
+    documents = make(rows).select("doc_id", "text")
+    learnt = X.learnt_from(documents, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    vocabulary = X.vocabulary_of(X.with_labels(documents, learnt))
     found = {r["h"]: [r[m] for m in X.RATIOS] for r in X.expression_ratios(vocabulary).collect()}
     words = sorted((bytes(r["word"]), [r[c] for c in X.COUNTS[1:]]) for r in vocabulary.collect())
     counts = np.array([c for _, c in words])
@@ -75,3 +76,30 @@ def test_scores_are_the_same_by_broadcast_and_by_join(spark, make, odd, monkeypa
     for other in scores[1:]:
         assert [r[:2] for r in other] == [r[:2] for r in scores[0]]
         assert [r[2] for r in other] == pytest.approx([r[2] for r in scores[0]], abs=1e-9)
+
+
+@pytest.mark.parametrize("label_rows", [0, 1_000_000])
+def test_counts_of_each_class(spark, make, monkeypatch, label_rows):
+    """By broadcast labels and by joined ones; of several texts for an id the least is learnt from."""
+    monkeypatch.setattr(X, "LABEL_ROWS", label_rows)
+    rows = [(i, f"word{i % 5} other{i % 3}") for i in range(60)] + [(4, "zebra"), (4, "apple"), (6, "word1 twice word1"), (6, None), (None, "nobody")]
+    labels = [(i, i % 2) for i in range(0, 70, 2)] + [(4, 1), (5, 7), (None, 1), (6, 0), (8, None)]
+    documents = make(rows).select("doc_id", "text")
+    learnt = X.learnt_from(documents, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    kinds = {r["doc_id"]: 1 + 2 * r["fold"] + r["toxic"] for r in learnt.collect()}
+    assert 4 not in kinds or kinds[4] % 2 == 0
+    assert None not in kinds and 64 not in kinds and 5 not in kinds
+    wanted = {}
+    for i, text in rows:
+        for w in set((text or "").split()):
+            wanted.setdefault(w, [0] * 5)[0] += 1
+    texts = {}
+    for i, text in rows:
+        if i in kinds:
+            texts.setdefault(i, []).append(text)
+    for i, own in texts.items():
+        for w in set(min(t for t in own if t is not None).split()):
+            wanted[w][kinds[i]] += 1
+    found = {bytes(r["word"]).decode(): [r[c] for c in X.COUNTS] for r in X.vocabulary_of(X.with_labels(documents, learnt)).collect()}
+    single = {w: c for w, c in found.items() if w.strip() in wanted and " " not in w.strip()}
+    assert {w.strip(): c for w, c in single.items()} == wanted
