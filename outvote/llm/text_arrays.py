@@ -99,22 +99,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+class _Powers:
+    """Powers of the base and of its inverse, as many as have been asked for. They stay where
+    they were made: a function shipped from a process that has used them takes none along."""
 
+    def __init__(self):
+        self.tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-def _powers_to(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 2))
-        for k, base in enumerate((BASE, BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers
+    def __reduce__(self):
+        return _Powers, ()
+
+    def to(self, n: int) -> list[np.ndarray]:
+        if len(self.tables[0]) < n:
+            size = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 2))
+            for k, base in enumerate((BASE, BASE_INVERSE)):
+                steps = np.full(size, base, np.uint64)
+                steps[0] = 1
+                self.tables[k] = np.cumprod(steps)
+        return self.tables
+
+
+_powers = _Powers()
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[starts[j]:ends[j]] from one running sum over the bytes."""
-    powers, inverses = _powers_to(len(data) + 1)
+    powers, inverses = _powers.to(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * inverses[starts])

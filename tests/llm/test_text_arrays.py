@@ -75,3 +75,16 @@ def test_ids_equal_the_tokenizers_library():
         text = "".join(draw.choice(alphabet, draw.integers(0, 30)))
         assert encoder.ids(text).tolist() == reference.encode(text, add_special_tokens=False).ids
     assert encoder.ids(None).tolist() == [] and len(encoder.ids("x" * 200_000))
+
+
+def test_shipped_functions_take_no_tables_along():
+    from pyspark import cloudpickle
+
+    from outvote.llm import text_arrays
+
+    def hashes(data):
+        return text_arrays.span_hashes(data, np.array([0]), np.array([len(data)]))
+
+    span_hashes(np.zeros(10, np.uint8), np.array([0]), np.array([10]))
+    assert len(cloudpickle.dumps(hashes)) < 100_000
+    assert len(cloudpickle.dumps(span_hashes)) < 100_000
