@@ -286,10 +286,10 @@ def hashed_rounds(key: str, size: int, rounds: str) -> str:
     return f"""rounds as (select cast({rounds} as bigint) as rounds from c),
       passes as (select rounds, greatest(1, least(n, rounds * {size}) // {size}) as chunks from c, rounds),
       ranked as (select f.*, p, row_number() over (partition by p order by
-          md5(cast({key} as varchar) || ':0' || case when p > 0 then ':' || p else '' end), cast({key} as varchar)) - 1 as at
+          md5(cast({key} as varchar) || ':0' || case when p > 0 then ':' || p else '' end), cast({key} as varchar)) - 1 as place
         from f, passes, range(0, cast((rounds - 1) // chunks + 1 as bigint)) r(p)),
-      sampled as (select t.round, ranked.* exclude (p, at) from passes, range(0, cast(rounds as bigint)) t(round), ranked
-        where p = t.round // chunks and at // {size} = t.round % chunks)"""
+      sampled as (select t.round, ranked.* exclude (p, place) from passes, range(0, cast(rounds as bigint)) t(round), ranked
+        where p = t.round // chunks and place // {size} = t.round % chunks)"""
 
 
 def path_length(count: str) -> str:
