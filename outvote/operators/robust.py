@@ -120,14 +120,19 @@ def concentration_steps(features: Features, scatters: list[Scatter], h: int) ->
 def concentrate(features: Features, starts: list[Scatter], h: int, steps: int = MAX_STEPS) -> Scatter:
     """Concentration steps until no determinant falls any more; the least one's estimate, the
     first of several. Raises if some determinant still falls after `steps`."""
-    current, moving = list(starts), list(range(len(starts)))
+    current = list(starts)
+    # an estimate without an extent cannot move
+    moving = [k for k, s in enumerate(starts) if s.log_det > -math.inf]
     for _ in range(steps):
+        if not moving:
+            break
         for k, following in zip(list(moving), concentration_steps(features, [current[k] for k in moving], h)):
             if following.log_det >= current[k].log_det - 1e-9 or following.log_det == -math.inf:
                 moving.remove(k)
-            current[k] = following
-        if not moving:
-            return min(current, key=lambda s: s.log_det)
+            if following.log_det <= current[k].log_det + 1e-9:
+                current[k] = following
+    if not moving:
+        return min(current, key=lambda s: s.log_det)
     raise ArithmeticError(f"no convergence in {steps} concentration steps")
 
 
@@ -149,8 +154,8 @@ def starting_scatters(features: Features, support: float, seed: int) -> list[Sca
             for start in batch.column("id").to_pylist():
                 # rows in the order of a hash, so that any engine can draw the same ones
                 keys = [(hashlib.md5(f"{seed}:{start}:{i}".encode()).hexdigest(), i) for i in ids]
-                # small starts escape outliers, large ones find points held by most rows
-                chosen = np.array(sorted(range(len(x)), key=keys.__getitem__)[: d + 1 if start % 2 else h])
+                # small starts escape outliers, large ones (one in four) find points held by most rows
+                chosen = np.array(sorted(range(len(x)), key=keys.__getitem__)[: h if start % 4 == 3 else d + 1])
                 last = math.inf
                 for _ in range(MAX_STEPS):
                     location = x[chosen].mean(axis=0)

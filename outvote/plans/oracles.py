@@ -412,7 +412,7 @@ def robust_2d(name: str, support: str, steps: int) -> str:
 
 
 def robust_starts_2d(name: str, support: str, level: str | None = None, starts: int = 64, steps: int = 40) -> str:
-    """Starts drawn by hash (three rows, or as many as support the estimate, in turn), each taking
+    """Starts drawn by hash (three rows; of each fourth as many as support the estimate), each taking
     more concentration steps than it needs; the one of least determinant, corrected and
     reweighted. For tables that starts see whole."""
     key, (x, y), base = source(name)
@@ -420,7 +420,7 @@ def robust_starts_2d(name: str, support: str, level: str | None = None, starts:
         f"h as (select cast(floor({support} * n) as bigint) as h from c)",
         f"""k0 as (select start, {x}, {y} from (select start, f.*, row_number() over (partition by start
           order by md5('0:' || start || ':' || {key}), cast({key} as varchar)) as r from f, range(0, {starts}) t(start)), h
-          where r <= case when start % 2 = 1 then 3 else h end)""",
+          where r <= case when start % 4 = 3 then h else 3 end)""",
         _fit_2d("m0", "k0", x, y, "start"),
     ]
     for i in range(steps):

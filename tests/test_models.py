@@ -175,7 +175,7 @@ def test_the_sample_that_starts_see_does_not_decide(frame, monkeypatch):
     assert robust.robust_scatter(features, 0.5, 0).log_det <= whole.log_det + 0.5
     monkeypatch.setattr(robust, "MAX_STEPS", 1)
     with pytest.raises(ArithmeticError):
-        robust.concentrate(features, [robust.Scatter(np.zeros(features.d) + 3, np.eye(features.d))], 150, steps=1)
+        robust.concentrate(features, [robust.Scatter(np.zeros(features.d) + 3, np.eye(features.d) * 1e6)], 150, steps=1)
 
 
 def test_shortest_half_of_one_feature(frame):
