@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from outvote.llm.columns import named
 from outvote.llm.curriculum_mix import in_training_order, mix
 from outvote.llm.jaccard_join import one_of_each
 from outvote.llm.line_dedup import dedup_lines
@@ -22,7 +23,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines stay in the first document that has them; n_chars follows the text."""
-    cleaned = dedup_lines(docs).select(docs.columns)
+    cleaned = dedup_lines(docs).select(*map(named, docs.columns))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned
