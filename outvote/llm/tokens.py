@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import json
-from array import array
 from pathlib import Path
 
 import numpy as np
@@ -75,7 +74,5 @@ class Encoder:
 
     def ids(self, text: str | None) -> np.ndarray:
         """uint32 ids of the whole text; a null text has none."""
-        return np.frombuffer(array("I", self._encode(text or "")), np.uint32)
-
-    def _encode(self, text: str) -> list[int]:
-        return self._core.encode(text, self._added) if self._added else self._core.encode_ordinary(text)
+        # as numbers in memory, not as a list of Python ones
+        return np.frombuffer(self._core.encode_to_tiktoken_buffer(text or "", self._added), np.uint32)

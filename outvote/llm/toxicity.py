@@ -415,7 +415,8 @@ def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     scores = text_scores(needed(documents, doc_id="doc_id", text="text"), needed(labels, doc_id="doc_id", toxic="toxic"))
     if scores is None:
         return documents
-    # texts do not travel unless very many are rejected: Spark broadcasts what is small
-    rejected = scores.filter(F.col("score") >= REJECT).select(F.col("key").alias("__key"))
-    rows = Beside(documents, __key=_text_key(F.col("text")))
+    rejected = stage(scores.filter(F.col("score") >= REJECT).select(F.unhex("key").alias("__key")), "toxic-rejected")
+    if rejected.count() <= LABEL_ROWS:
+        rejected = F.broadcast(rejected)  # else texts travel to their verdicts
+    rows = Beside(documents, __key=F.unhex(_text_key(F.col("text"))))
     return rows.df.join(rejected, "__key", "left_anti").select(*rows.others())
