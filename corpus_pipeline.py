@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outvote.llm.columns import named
+from outvote.llm.columns import Beside
 from outvote.llm.curriculum_mix import in_training_order, mix
 from outvote.llm.jaccard_join import one_of_each
 from outvote.llm.line_dedup import dedup_lines
@@ -23,7 +23,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines stay in the first document that has them; n_chars follows the text."""
-    cleaned = dedup_lines(docs).select(*map(named, docs.columns))
+    rows = Beside(docs)  # under numbers no column can be taken for one that the operator adds
+    cleaned = dedup_lines(rows.df, rows.number("doc_id"), rows.number("text")).select(*rows.others())
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned
@@ -36,7 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time a document is taken, in the order of training."""
-    return in_training_order(mix(docs), docs.columns)
+    rows = Beside(docs)
+    mixed = mix(rows.df, rows.number("doc_id"), rows.number("text"), rows.number("source"))
+    return in_training_order(mixed, rows.numbers).select(*rows.others())
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
