@@ -97,7 +97,8 @@ def test_toxicity(labelled):
 
 def test_stages_keep_the_columns(spark, labelled):
     docs, _ = labelled
-    df, names = with_extras(docs, curriculum_mix, ["n_chars"])
+    df, names = with_extras(docs, curriculum_mix)
+    df, names = df.withColumns({"n_lines": F.lit("own n_lines"), "N_Dropped": F.lit("own N_Dropped")}), [*names, "n_lines", "N_Dropped"]
     for name, stage in corpus_pipeline.STAGES[1:4]:
         df_out = stage(spark, df, "/root/testdata/sf0.001")
         assert df_out.columns == df.columns, name
