@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ CARRIED = 10
 MAX_STEPS = 100
 # Bits of a distance that one counting pass settles.
 DIGIT_BITS = 16
+# Rows that may be left to the driver when a selection ends.
+OPEN_ROWS = 2_000
 # fixed values: probabilities of the consistency correction and of the reweighting cut
 CORRECTION, REWEIGHTING = 0.5, 0.975
 
@@ -66,7 +69,7 @@ def concentration_steps(features: Features, scatters: list[Scatter], h: int) ->
     """A concentration step of several estimates at once. The h-th least distances are found
     digit by digit: distances are not negative, so the integers of their bits have the same
     order. A pass counts the next DIGIT_BITS bits of the distances that agree so far, for all
-    estimates; the last one sums up the rows within the limits."""
+    estimates, until few are left; the last one sums up the rows within the limits."""
     cols, d = features.cols, features.d
     df = features.df.select(*map(name, cols))
     spark = df.sparkSession
@@ -76,8 +79,10 @@ def concentration_steps(features: Features, scatters: list[Scatter], h: int) ->
         gaps = (x - location for location, _ in shared.value)
         return [np.maximum(np.einsum("ij,ij->i", g @ inverse, g), 0) for g, (_, inverse) in zip(gaps, shared.value)]
 
-    prefix, below, limit = [0] * len(scatters), [0] * len(scatters), [0.0] * len(scatters)
-    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+    prefix, below, open_ = [0] * len(scatters), [0] * len(scatters), [features.n] * len(scatters)
+    shift = 64
+    while shift and max(open_) > OPEN_ROWS:
+        shift -= DIGIT_BITS
 
         def count(batches, shift=shift, prefix=tuple(prefix)):
             total = np.zeros((len(prefix), 1 << DIGIT_BITS))
@@ -94,26 +99,49 @@ def concentration_steps(features: Features, scatters: list[Scatter], h: int) ->
         for k in range(len(scatters)):
             running = below[k] + np.cumsum(counts[k])
             digit = int(np.searchsorted(running, h))  # the h-th least is the first to reach h
-            below[k] = int(running[digit] - counts[k][digit])
+            open_[k] = int(counts[k][digit])
+            below[k] = int(running[digit]) - open_[k]
             prefix[k] = prefix[k] << DIGIT_BITS | digit
-    limit = [float(np.array(p, np.uint64).view(np.float64)) for p in prefix]
 
-    def sums(batches):
-        total = [np.zeros(1 + d + d * d) for _ in limit]
+    # rows below the prefix are summed; the few that share it come to the driver, unless all
+    # bits are known: then those rows are tied, and summed as well
+    tied = not shift
+
+    def sums(batches, shift=shift, prefix=tuple(prefix)):
+        total = [np.zeros(1 + d + d * d) for _ in prefix]
+        rest: list[list[np.ndarray]] = [[] for _ in prefix]
         for batch in batches:
             x = kernels.matrix(batch, cols)
             for k, value in enumerate(distances(x)):
-                near = x[value <= limit[k]] - shared.value[k][0]
+                first = value.view(np.uint64) >> np.uint64(shift) if shift < 64 else np.zeros(len(value), np.uint64)
+                last = np.uint64(prefix[k])
+                gap = x - shared.value[k][0]
+                near = gap[first <= last if tied else first < last]
                 total[k][0] += len(near)
                 total[k][1 : d + 1] += near.sum(axis=0)
                 total[k][d + 1 :] += (near.T @ near).ravel()
+                if not tied:
+                    same = first == last
+                    rest[k].append(np.column_stack((value[same], gap[same])).ravel())
         yield packed_rows(total)
+        # a block of its own for each task and estimate
+        task = 1 + TaskContext.get().partitionId()
+        left = {task * len(prefix) + k: np.concatenate(r) for k, r in enumerate(rest) if sum(map(len, r))}
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int32()), pa.array([v.tobytes() for v in left.values()], pa.binary())], ["block", "data"])
 
     found, made = unpacked(map_in_arrow(df, sums, PACKED)), []
     shared.destroy()
     for k, scatter in enumerate(scatters):
-        n, shift = found[k][0], found[k][1 : d + 1] / found[k][0]
-        made.append(Scatter(scatter.location + shift, found[k][d + 1 :].reshape(d, d) / n - np.outer(shift, shift)))
+        total = found[k]
+        rows = [v.reshape(-1, 1 + d) for b, v in sorted(found.items()) if b >= len(scatters) and b % len(scatters) == k]
+        if rows:
+            rows = np.concatenate(rows)
+            limit = np.sort(rows[:, 0])[h - below[k] - 1]
+            near = rows[rows[:, 0] <= limit, 1:]
+            total = total + np.concatenate(([len(near)], near.sum(axis=0), (near.T @ near).ravel()))
+        n, shift_ = total[0], total[1 : d + 1] / total[0]
+        made.append(Scatter(scatter.location + shift_, total[d + 1 :].reshape(d, d) / n - np.outer(shift_, shift_)))
     return made
 
 

@@ -150,7 +150,9 @@ def test_full_table_concentration_agrees_with_the_sampled_one(frame, monkeypatch
     assert np.allclose(whole.location, sampled.location, atol=0.1)
 
 
-def test_several_estimates_take_steps_at_once(frame):
+@pytest.mark.parametrize("open_rows", [0, 5, 2_000])
+def test_several_estimates_take_steps_at_once(frame, monkeypatch, open_rows):
+    monkeypatch.setattr(robust, "OPEN_ROWS", open_rows)
     x = np.random.default_rng(9).standard_normal((800, 3)) * [1, 10, 100] + 5
     features, h = frame(x), 430
     starts = [robust.Scatter(x[rows].mean(0), np.cov(x[rows].T, ddof=0)) for rows in (slice(0, 10), slice(10, 40), slice(0, 800))]
@@ -161,7 +163,9 @@ def test_several_estimates_take_steps_at_once(frame):
         assert np.allclose(got.location, near.mean(0)) and np.allclose(got.cov, np.cov(near.T, ddof=0))
 
 
-def test_rows_tied_with_the_last_are_in_a_step(frame):
+@pytest.mark.parametrize("open_rows", [0, 2, 2_000])
+def test_rows_tied_with_the_last_are_in_a_step(frame, monkeypatch, open_rows):
+    monkeypatch.setattr(robust, "OPEN_ROWS", open_rows)
     x = np.array([[-2.0, 0], [2, 0], [0, 1], [0, -1], [0, 0], [9, 9], [-9, 9], [9, -9]])
     (got,) = robust.concentration_steps(frame(x), [robust.Scatter(np.zeros(2), np.eye(2))], 4)
     assert np.allclose(got.location, 0) and np.allclose(got.cov, np.cov(x[:5].T, ddof=0))
