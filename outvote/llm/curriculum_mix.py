@@ -151,6 +151,9 @@ def mix(
 def in_training_order(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row for each copy, range-partitioned and sorted by its time."""
     rows = Beside(mixed.select(*map(named, columns), "positions"))
-    timed = rows.df.select(*rows.numbers[:-1], F.explode(rows.numbers[-1]).alias("__time"))
+    # written once before it is sorted: sorting by ranges reads its input twice, and the files of
+    # the shuffles so far can go
+    mixed = stage(rows.df, "mixed")
+    timed = mixed.select(*rows.numbers[:-1], F.explode(rows.numbers[-1]).alias("__time"))
     ordered = timed.repartitionByRange("__time").sortWithinPartitions("__time")
     return ordered.select(*rows.others()[:-1])
