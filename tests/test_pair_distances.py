@@ -86,6 +86,20 @@ def test_few_rows_are_summed_against_all(frame, monkeypatch):
     assert 0 < summed[0] < 0.05 * len(x)
 
 
+def test_more_rows_are_settled_until_sums_are_cheap(frame, mask, monkeypatch):
+    """Sums of a fixed share of the rows would grow with the square of the table."""
+    x = clouds(4_000, 2, 9)
+    summed = []
+    before = P.distance_sums
+    monkeypatch.setattr(P, "distance_sums", lambda points, wanted, cols, n: summed.append(wanted.count()) or before(points, wanted, cols, n))
+    coarse = (P.Level(4, 0.5),)
+    first = mask(P.mean_distance(frame(x), 0.05, levels=coarse, cheap=0))
+    monkeypatch.setattr(P, "CHEAP_DISTANCES", len(x))
+    second = mask(P.mean_distance(frame(x), 0.05, levels=coarse, cheap=0))
+    assert (first == brute_flags(x, 0.05)).all() and (second == first).all()
+    assert 0 < summed[1] < 0.3 * summed[0]
+
+
 def test_any_names_and_no_id(spark):
     x = clouds(400, 2, 8)
     df = spark.createDataFrame([(float(a), float(b)) for a, b in x], "`a.b` double, `c``d` double")
