@@ -76,6 +76,47 @@ def test_every_score_is_exact_in_blocks(frame, scores, monkeypatch):
     assert np.allclose(scores(P.mean_distance(frame(x), 0.1, every_score=True)), exact(x), rtol=1e-11)
 
 
+@pytest.mark.parametrize("name", ["one feature", "two", "copies", "lattice", "one place", "two places"])
+def test_every_score_is_exact_by_boxes(frame, scores, name, monkeypatch):
+    x = SHAPES[name]
+    monkeypatch.setattr(P, "CHEAP_DISTANCES", 0)
+    monkeypatch.setattr(P, "LEAF_PLACES", 40)
+    assert np.allclose(scores(P.mean_distance(frame(x), 0.1, every_score=True)), exact(x), rtol=1e-13)
+
+
+def test_every_score_takes_few_distances(frame, scores, monkeypatch):
+    """Sums of all pairs grow with the square of the table, and partial sums of each task with them."""
+    rng = np.random.default_rng(10)
+    x = np.column_stack([rng.uniform(-1_000, 10_000, 6_000).round(2), rng.integers(0, 25, 6_000)])
+    places, features = np.unique(x, axis=0), frame(x)
+    monkeypatch.setattr(P, "LEAF_PLACES", 40)
+    located, *tree = P._located(features.df.selectExpr("x0", "x1", "1L as copies").distinct(), features.cols, len(places))
+    stands = P.build_stands(located, features.cols, *tree)
+    inner, met = len(stands.feature), 0
+    assert stands.first[1] <= P.orders(np.ones(2)).prod()
+    leaf = P.partition_tree.leaf_of(places, stands.feature, stands.value, tree[-1])
+    rows = np.bincount(leaf, minlength=inner + 1)
+    for own in np.unique(leaf):
+        far, near = stands.around(stands.low[own + inner], stands.high[own + inner])
+        met += rows[own] * ((stands.first[far + 1] - stands.first[far]).sum() + rows[near].sum())
+    assert met < 0.5 * len(places) ** 2
+
+
+@pytest.mark.parametrize("shape", [(1.0, 1.0), (1.0, 0.1), (1.0, 1e-6), (1.0, 0.0)])
+def test_condensed_rows_stand_for_all_rows_from_afar(shape):
+    rng = np.random.default_rng(11)
+    low, high = np.zeros(2), np.array(shape)
+    x, weight = rng.uniform(low, high, (4_000, 2)), rng.integers(1, 9, 4_000).astype(float)
+    places, stands = P.condensed(x, weight, low, high)
+    assert len(places) <= P.orders((high - low) / 2).prod() < 400
+    for angle in np.linspace(0, 2 * np.pi, 60):
+        step = np.array([np.cos(angle), np.sin(angle)])
+        # the nearest place on this ray that counts as far
+        at = next(t for r in np.arange(0.5, 4, 0.001) if (np.maximum(np.maximum(low - (t := high / 2 + r * step), t - high), 0) ** 2).sum() >= (P.APART / 2) ** 2)
+        true = np.sqrt(((x - at) ** 2).sum(1)) @ weight
+        assert np.sqrt(((places - at) ** 2).sum(1)) @ stands == pytest.approx(true, rel=1e-14)
+
+
 def test_few_rows_are_summed_against_all(frame, monkeypatch):
     """Most rows are settled by bounds; only the open ones reach the sums."""
     x = clouds(20_000, 2, 7)
