@@ -259,6 +259,38 @@ def test_svm_passes_agree_with_tasks(frame, mask):
     assert 0.05 <= tasks.mean() <= 0.21 and tasks[270:].mean() > tasks[:270].mean()
 
 
+@pytest.mark.parametrize("misled", [False, True])
+def test_svm_takes_a_pass_a_step(frame, monkeypatch, misled):
+    """A second pass is needed only where the sample misleads; weights are the same."""
+    x = np.random.default_rng(12).standard_normal((3_000, 3))
+    features, passes = frame(x), []
+    phi, grid = one_class.CosineMap(3, [0.1, 0.5], 0), [(0, 0.05), (0, 0.2), (1, 0.1)]
+    monkeypatch.setattr(one_class, "PASS_STEPS", 5)
+    before = one_class.map_in_arrow
+    monkeypatch.setattr(one_class, "map_in_arrow", lambda *a: passes.append(1) or before(*a))
+    if misled:
+        monkeypatch.setattr(one_class, "_likely_bins", lambda *a: np.zeros((3, 2), np.int64))
+    w = one_class._train_in_passes(features, phi, grid)
+    assert len(passes) == (11 if misled else 6)
+    m = phi.phis((x - features.profile.mean) / features.profile.std)
+    for c, (g, nu) in enumerate(grid):
+        own = m[g].mean(0)
+        for _ in range(5):
+            reach = np.sqrt(2.0) * np.linalg.norm(own) + 1e-12
+            at, wanted = one_class._bins_of(m[g] @ own, reach), nu * len(x)
+            counts = np.bincount(at, minlength=one_class.HISTOGRAM_BINS)
+            last = np.searchsorted(counts.cumsum(), wanted)
+            share = (wanted - counts[:last].sum()) / counts[last]
+            own = one_class.toward(own, (m[g][at < last].sum(0) + share * m[g][at == last].sum(0)) / wanted)
+        assert np.allclose(w[c], own, rtol=0, atol=1e-12)
+
+
+@pytest.mark.parametrize("reach", [1.0, 50.0, 1e4])
+def test_cosines(reach):
+    half = np.random.default_rng(13).uniform(-reach, reach, 10_000)
+    assert np.allclose(one_class.cosine(half.copy()), np.cos(2 * half), rtol=0, atol=4e-15)
+
+
 def test_svm_edges(frame, mask):
     x = INPUTS["normal"]
     assert not mask(one_class.svm(frame(x), 0.0)).any()
